@@ -1 +1,9 @@
 """Text-classification analytics as Spark jobs: features, splits, models, reports."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run inside tasks travel with the task, so executors need no
+# installed copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
