@@ -36,15 +36,24 @@ def clean_text(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(words, r"\s+", " ")))
 
 
+def _cut_words(words: Column) -> Column:
+    fused = "|".join(f"{a}(?={b}\\b)" for a, b in FUSED_WORDS)
+    return F.split(F.regexp_replace(words, rf"\b({fused})", "$1 "), " ")
+
+
 def tokens_of_clean(clean: Column) -> Column:
     """Word tokens of text that went through `clean_text`."""
-    fused = "|".join(f"{a}(?={b}\\b)" for a, b in FUSED_WORDS)
-    cut = F.regexp_replace(clean, rf"\b({fused})", "$1 ")
-    return F.filter(F.split(cut, " "), lambda t: t != "")
+    return F.filter(_cut_words(clean), lambda t: t != "")
 
 
 def tokens(text: Column) -> Column:
-    return tokens_of_clean(clean_text(text))
+    """Word tokens of the cleaned raw text.
+
+    Cleaned text is the words of two or more letters, so the length test on the
+    split text stands for two of the three replacements of `clean_text`.
+    """
+    letters = F.lower(F.regexp_replace(text, "[^a-zA-Z]+", " "))
+    return F.filter(_cut_words(letters), lambda t: F.length(t) >= 2)
 
 
 def content_tokens(token_array: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from corpuslens.operators.features import with_tokens
 from corpuslens.operators.lookup import lookup_join
 from corpuslens.schema import ID
+from corpuslens.session import stage
 
 # Reserved ids.
 PAD, UNKNOWN, START, END = 0, 1, 2, 3
@@ -16,15 +17,28 @@ FIRST_WORD = 4
 def token_vocabulary(df: DataFrame, text: str = "text", size: int = 30_522) -> DataFrame:
     """`(token, n, token_id)`: the `size` most frequent tokens of the whole corpus.
 
-    The size of a tokenizer vocabulary is fixed by design, so the ranking window
-    runs on at most `size` rows after a distributed top-k.
+    The size of a tokenizer vocabulary is fixed by design. The count of the last
+    token that fits comes from the table of distinct counts, which is small (their
+    sum is at most the number of tokens); only tokens from there up are sorted.
     """
     counts = (
-        with_tokens(df, text).select(F.explode("tokens").alias("token"))
+        with_tokens(df, text)
+        .select(F.explode_outer("tokens").alias("token"))
+        .where(F.col("token").isNotNull())
         .groupBy("token")
         .agg(F.count("*").alias("n"))
     )
-    top = counts.orderBy(F.desc("n"), "token").limit(size)
+    counts = stage(counts, "token-counts")
+    above = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
+    least = (
+        counts.groupBy("n")
+        .agg(F.count("*").alias("tokens"))
+        .withColumn("_above", F.coalesce(F.sum("tokens").over(above), F.lit(0)))
+        .where(F.col("_above") < size)
+        .agg(F.min("n"))
+        .first()[0]
+    )
+    top = counts.where(F.col("n") >= F.lit(least)).orderBy(F.desc("n"), "token").limit(size)
     rank = F.row_number().over(Window.orderBy(F.desc("n"), "token"))
     return top.withColumn("token_id", (rank + (FIRST_WORD - 1)).cast("int"))
 
@@ -45,21 +59,16 @@ def encode_fixed(
     labels = labels or []
     body = F.slice("tokens", 1, max_len - 2)
     tokenised = with_tokens(df, text).select(id_col, *labels, body.alias("tokens"))
-    words = tokenised.select(id_col, F.posexplode("tokens").alias("pos", "token"))
+    # The outer form keeps a row for a document without tokens.
+    words = tokenised.select(id_col, *labels, F.posexplode_outer("tokens").alias("pos", "token"))
     found = lookup_join(words, vocabulary.select("token", "token_id", "n"), "token", weight="n")
-    known = F.coalesce("token_id", F.lit(UNKNOWN))
-    sequences = found.groupBy(id_col).agg(
-        F.array_sort(F.collect_list(F.struct("pos", known.alias("token_id")))).alias("s")
-    )
-    ids = F.concat(
-        F.array(F.lit(START)),
-        F.coalesce(F.col("s.token_id"), F.array().cast("array<int>")),
-        F.array(F.lit(END)),
+    known = F.struct("pos", F.coalesce("token_id", F.lit(UNKNOWN)).alias("token_id"))
+    sequences = found.groupBy(id_col, *labels).agg(
+        F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), known))).alias("s")
     )
+    ids = F.concat(F.array(F.lit(START)), F.col("s.token_id"), F.array(F.lit(END)))
     return (
-        tokenised.drop("tokens")
-        .join(sequences, id_col, "left")
-        .withColumn("_ids", ids)
+        sequences.withColumn("_ids", ids)
         .select(
             id_col,
             F.concat("_ids", F.array_repeat(F.lit(PAD), F.lit(max_len) - F.size("_ids"))).alias(

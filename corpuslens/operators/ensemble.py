@@ -7,6 +7,7 @@ import math
 import os
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from functools import partial
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -17,7 +18,7 @@ from corpuslens.operators.ranking import class_counts
 from corpuslens.operators.splits import stratified_kfold
 from corpuslens.operators.svm import ROWS_PER_TASK, SvmModel, SvmSpec
 from corpuslens.schema import ID, LABEL
-from corpuslens.session import stage
+from corpuslens.session import side_by_side, stage
 
 
 # --- votes over a long table of predictions -------------------------------------------
@@ -87,7 +88,12 @@ def fit_voting(
     df: DataFrame, specs: dict[str, SvmSpec], kind: str = "hard", vec: str = "features", label: str = LABEL, id_col: str = ID
 ) -> VotingModel:
     specs = {n: replace(s, probability=s.probability or kind == "soft") for n, s in specs.items()}
-    return VotingModel({n: s.fit(df, vec, label, id_col) for n, s in specs.items()}, kind)
+    return VotingModel(_fit_members(specs, df, vec, label, id_col), kind)
+
+
+def _fit_members(specs: dict[str, SvmSpec], *args) -> dict[str, SvmModel]:
+    models = side_by_side([partial(s.fit, *args) for s in specs.values()])
+    return dict(zip(specs, models, strict=True))
 
 
 def _meta_features(df: DataFrame, members: dict[str, SvmModel], vec: str) -> DataFrame:
@@ -111,10 +117,14 @@ def out_of_fold(
 ) -> DataFrame:
     """Each training row once, with base probabilities of models that never saw it."""
     folded = stage(stratified_kfold(df.select(id_col, label, vec), folds, label, id_col), "folds")
-    parts = []
+    tasks = [
+        partial(s.fit, folded.where(F.col("fold") != fold), vec, label, id_col)
+        for fold in range(folds)
+        for s in specs.values()
+    ]
+    models, parts = iter(side_by_side(tasks)), []
     for fold in range(folds):
-        train = folded.where(F.col("fold") != fold)
-        members = {n: s.fit(train, vec, label, id_col) for n, s in specs.items()}
+        members = {name: next(models) for name in specs}
         parts.append(_meta_features(folded.where(F.col("fold") == fold), members, vec))
     rows = parts[0]
     for part in parts[1:]:
@@ -175,8 +185,7 @@ def fit_stacking(
         combiner = logistic_final(meta, classes, label=label)
     else:
         combiner = replace(specs[final], probability=True).fit(meta, "meta", label, id_col)
-    members = {n: s.fit(df, vec, label, id_col) for n, s in bases.items()}
-    return StackingModel(members, combiner, classes)
+    return StackingModel(_fit_members(bases, df, vec, label, id_col), combiner, classes)
 
 
 # --- bagging and boosting -------------------------------------------------------------
@@ -202,11 +211,14 @@ def fit_bagging(
     seed: int = 42,
 ) -> VotingModel:
     """Members trained on bootstrap weights; their mean probability decides."""
-    members = {}
-    for i in range(n_estimators):
-        drawn = df.withColumn("_w", poisson_weight(id_col, f"{seed}:bag:{i}")).where(F.col("_w") > 0)
-        members[f"bag{i}"] = replace(spec, probability=True).fit(drawn, vec, label, id_col, "_w")
-    return VotingModel(members, "soft")
+    calibrated = replace(spec, probability=True)
+
+    def fit(i: int) -> SvmModel:
+        drawn = df.withColumn("_w", poisson_weight(id_col, f"{seed}:bag:{i}"))
+        return calibrated.fit(drawn.where(F.col("_w") > 0), vec, label, id_col, "_w")
+
+    models = side_by_side([partial(fit, i) for i in range(n_estimators)])
+    return VotingModel({f"bag{i}": m for i, m in enumerate(models)}, "soft")
 
 
 def adaboost_step(weight: Column, wrong: Column, error: Column, n_classes: int) -> tuple[Column, Column]:

@@ -74,22 +74,22 @@ def pos_counts(
         counts = tags.tag_counts(F.col("_tags"))
         return tagged.select(id_col, *[c.alias(n) for n, c in counts.items()])
     words = (
-        df.select(id_col, F.explode(X.tokens(F.col(text))).alias("word"))
+        df.select(id_col, F.explode_outer(X.tokens(F.col(text))).alias("word"))
         .groupBy(id_col, "word")
         .agg(F.count("*").alias("n"))
     )
-    weights = words.groupBy("word").agg(F.count("*").alias("docs"))
+    weights = words.where(F.col("word").isNotNull()).groupBy("word").agg(F.count("*").alias("docs"))
     table = lexicon.select("word", "tag").join(weights, "word")
     tagged = lookup_join(words, table, "word", weight="docs").withColumn(
-        "tag", F.coalesce("tag", tags.fine_tag(F.col("word")))
+        "tag",
+        F.when(F.col("word").isNotNull(), F.coalesce("tag", tags.fine_tag(F.col("word")))),
     )
     sums = [
         F.sum(F.when(F.col("tag").isin(group), F.col("n")).otherwise(0)).cast("int").alias(name)
         for name, group in tags.TAG_GROUPS.items()
     ]
-    counted = tagged.groupBy(id_col).agg(*sums)
-    empty = {name: 0 for name in tags.TAG_GROUPS}
-    return df.select(id_col).join(counted, id_col, "left").na.fill(empty)
+    # A document without words has one row without a word and so counts of zero.
+    return tagged.groupBy(id_col).agg(*sums)
 
 
 def linguistic_features(

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import partial
 from itertools import product
-from multiprocessing.pool import ThreadPool
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -12,7 +12,7 @@ from corpuslens.operators.metrics import class_scores
 from corpuslens.operators.splits import stratified_kfold
 from corpuslens.operators.svm import SvmModel, SvmSpec
 from corpuslens.schema import ID, LABEL
-from corpuslens.session import stage
+from corpuslens.session import side_by_side, stage
 
 # The full search grid.
 GRID = {
@@ -89,15 +89,14 @@ def grid_search(
     folded = stage(stratified_kfold(df.select(id_col, label, vec), folds, label, id_col), "folds")
     tasks = [(key, f) for key in dict.fromkeys(map(_work_key, points)) for f in range(folds)]
 
-    def score(task: tuple) -> tuple[float, float]:
-        key, fold = task
+    def score(key: tuple, fold: int) -> tuple[float, float]:
         model = replace(base, **dict(key)).fit(
             folded.where(F.col("fold") != fold), vec, label, id_col
         )
         return fold_metrics(model.transform(folded.where(F.col("fold") == fold), vec), label)
 
-    with ThreadPool(parallelism) as pool:
-        scores = dict(zip(tasks, pool.map(score, tasks, chunksize=1), strict=True))
+    results = side_by_side([partial(score, *task) for task in tasks], parallelism)
+    scores = dict(zip(tasks, results, strict=True))
     rows = [
         (i, float(p["C"]), float(p.get("gamma") or 0.0), p["kernel"], f, *scores[(_work_key(p), f)])
         for i, p in enumerate(points)

@@ -88,7 +88,7 @@ def kernel_table(
     rows = marks.select(id_col, as_array(marks, vec).alias("v")).orderBy(id_col).limit(MAX_LANDMARKS + 1).collect()
     if len(rows) > MAX_LANDMARKS:
         raise ValueError(f"at most {MAX_LANDMARKS} landmarks")
-    ids = F.array(*[F.lit(r[id_col]) for r in rows])
+    ids = F.array(*[F.lit(r[id_col]).cast(marks.schema[id_col].dataType) for r in rows])
     matrix = np.array([r.v for r in rows], dtype=np.float64)
     values = kernel_column(packed(df, vec), matrix, kind, gamma)
     return df.select(

@@ -36,7 +36,7 @@ def lookup_join(
     marked = facts.join(F.broadcast(heavy), key, "left")
     found = F.col(f"_heavy_{weight}").isNotNull()
     # Facts that already have their row get a spread-out key that matches nothing.
-    spread_key = F.when(found, F.concat(F.lit("\u0000"), F.rand(7).cast("string"))).otherwise(
+    spread_key = F.when(found, F.concat(F.lit("\u0000"), F.xxhash64(*facts.columns).cast("string"))).otherwise(
         F.col(key).cast("string")
     )
     rest = table.select(F.col(key).cast("string").alias("_key"), *values)

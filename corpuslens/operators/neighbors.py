@@ -1,8 +1,9 @@
 """Nearest neighbours over stored vectors, exact and distributed.
 
 Base vectors are assigned to cells around sampled pivots, and cells are cut into
-blocks of bounded size, so a hot cell (a third of all vectors close together, or
-copies of one vector) is many tasks. A query first searches its own cell; the
+blocks of bounded size, so a hot cell (a third of all vectors close together) is
+many tasks; of copies of one vector only as many as can be among the k nearest
+are searched. A query first searches its own cell; the
 k-th score found there bounds how far a better neighbour can be, and only the
 cells that the triangle inequality cannot exclude are searched after that. The
 result is exact. Inside a task, one block of queries meets one block of vectors
@@ -22,6 +23,7 @@ from corpuslens.session import stage
 
 SCORE_DIGITS = 9
 SLACK = 1e-6
+COPY_RATIO = 1.3
 
 
 def _matrix(column: pd.Series, cosine: bool) -> np.ndarray:
@@ -33,6 +35,12 @@ def _matrix(column: pd.Series, cosine: bool) -> np.ndarray:
 
 
 def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances: by differences for a few columns (exact zeros), else by a product."""
+    if a.shape[1] <= 32:
+        total = np.zeros((len(a), len(b)))
+        for j in range(a.shape[1]):
+            total += np.square(a[:, j, None] - b[None, :, j])
+        return total
     cross = a @ b.T
     return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * cross, 0.0)
 
@@ -149,7 +157,14 @@ def knn_join(
         F.col(base_id).alias("base_id"), F.col(vec).cast("array<double>").alias("vec"), group.alias("g")
     )
 
-    n = b.count()
+    size = b.agg(F.count("*").alias("n"), F.approx_count_distinct(F.xxhash64("vec")).alias("d")).first()
+    n = size.n
+    if n > COPY_RATIO * size.d:
+        # Of equal vectors only the smallest ids can be among the k nearest (one more
+        # if a query may be excluded). The cut happens before the shuffle.
+        same = Window.partitionBy("g", "vec").orderBy("base_id")
+        b = b.withColumn("_rn", F.row_number().over(same)).where(F.col("_rn") <= k + 1).drop("_rn")
+        n = b.count()
     n_cells = max(1, min(max_cells, n // cell_rows))
     if n_cells > 1:
         # A bounded number of pivots; any choice is exact, a spread one prunes more.
@@ -160,6 +175,7 @@ def knn_join(
         placed = b.withColumn("_near", near).select(
             "*", F.col("_near.cells")[0].alias("cell"), F.col("_near.distance").alias("distance")
         ).drop("_near")
+        placed = stage(placed, "cells")
     else:
         pivots = None
         placed = b.withColumns({"cell": F.lit(0), "distance": F.lit(0.0)})

@@ -63,8 +63,10 @@ def _number(keyed: DataFrame, by: list[str], order: list[Column], out: str) -> D
     starts = counts.select(*group, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     within = Window.partitionBy(*group).orderBy(*order)
     numbered = keyed.withColumn("_in", F.row_number().over(within))
+    # `numbered` is already placed and sorted by (class, bucket), so only the small
+    # table of starts moves for this join.
     return (
-        numbered.join(F.broadcast(starts), group)
+        numbered.join(starts, group)
         .withColumn(out, (F.col("_start") + F.col("_in") - 1).cast("bigint"))
         .drop("_bucket", "_start", "_in")
     )

@@ -7,6 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+MAX_GROUPS = 1_000
+
+
 @dataclass(frozen=True)
 class MinMaxModel:
     """Bounded by the number of columns, so it travels as literals."""
@@ -38,12 +41,20 @@ def min_max(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def min_max_by(df: DataFrame, cols: list[str], group: str) -> DataFrame:
-    """Each group (split) scaled with its own minimum and maximum."""
+    """Each group (split) scaled with its own minimum and maximum.
+
+    There are few groups and each may hold most rows, so their statistics go to
+    the rows, never the rows to their group.
+    """
     stats = df.groupBy(group).agg(
         *[F.min(c).cast("double").alias(f"_lo_{c}") for c in cols],
         *[F.max(c).cast("double").alias(f"_hi_{c}") for c in cols],
     )
-    joined = df.join(F.broadcast(stats), group)
+    rows = stats.limit(MAX_GROUPS + 1).collect()
+    if len(rows) > MAX_GROUPS:
+        raise ValueError(f"{group} has more than {MAX_GROUPS} values")
+    small = df.sparkSession.createDataFrame(rows, stats.schema)
+    joined = df.join(F.broadcast(small), group)
     scaled = {
         c: F.when(F.col(f"_lo_{c}") == F.col(f"_hi_{c}"), F.lit(0.0)).otherwise(
             (F.col(c) - F.col(f"_lo_{c}")) / (F.col(f"_hi_{c}") - F.col(f"_lo_{c}"))

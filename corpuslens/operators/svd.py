@@ -59,11 +59,14 @@ def _gram_times(rows: DataFrame, q: np.ndarray) -> np.ndarray:
         rows.mapInPandas(partial, "idx int, part array<double>")
         .groupBy("idx")
         .agg(*[F.sum(F.col("part")[i]).alias(f"c{i}") for i in range(cols)])
-        .orderBy("idx")
-        .toPandas()
+        .toArrow()
     )
     shared.unpersist()
-    return sums.drop(columns="idx").to_numpy()
+    out = np.zeros((width, cols))
+    where = sums.column("idx").to_numpy()
+    for i in range(cols):
+        out[where, i] = sums.column(f"c{i}").to_numpy()
+    return out
 
 
 def fit_svd(
@@ -82,6 +85,9 @@ def fit_svd(
         raise ValueError(f"{width} features: prune the vocabulary below {MAX_FEATURES}")
     k = min(k, width)
     rows = df.select(packed(df, vec).alias("v")).select("v.*")
+    parallelism = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < parallelism:
+        rows = rows.repartition(parallelism)
     start = np.random.default_rng(seed).normal(size=(width, min(width, k + OVERSAMPLING)))
     q = np.linalg.qr(start)[0]
     for _ in range(n_iter):

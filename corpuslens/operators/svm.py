@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 from dataclasses import asdict, dataclass, field, replace
+from functools import partial
 from itertools import combinations
 
 from pyspark.ml import PipelineModel, Transformer
@@ -22,6 +23,7 @@ from corpuslens.functions.hashing import hash_unit
 from corpuslens.operators.kernels import KernelFeatures, gamma_scale, landmarks
 from corpuslens.operators.ranking import class_counts
 from corpuslens.schema import ID, LABEL
+from corpuslens.session import side_by_side
 
 MAX_CLASSES = 100
 ROWS_PER_TASK = 10_000
@@ -75,7 +77,9 @@ class SvmSpec:
             ]
         else:
             tasks = [(mapped, c, n) for c in classes]
-        models = [self._fit_one(rows, c, size, features, label, weight) for rows, c, size in tasks]
+        models = side_by_side(
+            [partial(self._fit_one, rows, c, size, features, label, weight) for rows, c, size in tasks]
+        )
         model = SvmModel(self, classes, maps, models, features if maps else None)
         return self._calibrated(model, data, vec, label, id_col, weight) if self.probability else model
 

@@ -35,11 +35,14 @@ def postings(
     """`(doc_id, term, tf)`.
 
     Documents are placed by id once; counting terms and the unit-length step then
-    stay inside a partition. A document is the largest group, never a term.
+    stay inside a partition. A document is the largest group, never a term. (A
+    plain `explode` would make Catalyst filter on the size of the array first and
+    so tokenise every text twice.)
     """
     placed = df.select(id_col, text).repartition(id_col)
     return (
-        placed.select(id_col, F.explode(terms(F.col(text), low, high)).alias("term"))
+        placed.select(id_col, F.explode_outer(terms(F.col(text), low, high)).alias("term"))
+        .where(F.col("term").isNotNull())
         .groupBy(id_col, "term")
         .agg(F.count("*").alias("tf"))
     )

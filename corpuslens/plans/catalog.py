@@ -34,6 +34,7 @@ from corpuslens.operators.features import (
 )
 from corpuslens.operators.grid import grid_rank, grid_search, preset_table
 from corpuslens.operators.kernels import gamma_scale, kernel_table
+from corpuslens.operators.lookup import lookup_join
 from corpuslens.operators.neighbors import ann_topk, cosine_topk, knn_label
 from corpuslens.operators.resample import class_weights, smote, under_sample
 from corpuslens.operators.scaling import fit_max_abs, max_abs_terms, min_max
@@ -541,7 +542,8 @@ def chi2_terms_table(spark, sf):
     corpus = content(binary(spark, sf))
     values = fit_tfidf(corpus, min_df=0.01)
     long = values.transform(corpus).join(corpus.select(ID, LABEL), ID)
-    long = long.join(F.broadcast(values.feature_names()), "term")
+    names = values.feature_names().join(values.vocabulary.select("term", "docs"), "term")
+    long = lookup_join(long, names, "term", weight="docs", how="inner")
     sizes = corpus.groupBy(LABEL).agg(F.count("*").alias("n"))
     scores = chi2_terms(long, sizes)
     return scores.select("feature", "idx", r("score").alias("score"))

@@ -48,11 +48,11 @@ def feature_job(
 
     Text features are computed once and stored; the scaler then reads 21 numeric
     columns. With a `split` column the scaler is fitted on the train rows, or on
-    each split by itself with `fit_per_split`.
+    each split by itself with `fit_per_split`. All rows are scaled and written;
+    rows without content text are dropped where the table is read.
     """
     keep = (ID, LABEL, split) if split else (ID, LABEL)
-    raw = drop_missing(linguistic_features(corpus, keep=keep, **feature_args))
-    features = stage(raw, "features")
+    features = stage(linguistic_features(corpus, keep=keep, **feature_args), "features")
     if split and fit_per_split:
         scaled = min_max_by(features, FEATURES, split)
     else:
@@ -62,7 +62,7 @@ def feature_job(
         scaled = columns_in_order(scaled)
     if path:
         write_features(scaled, path, fmt, split)
-    return scaled
+    return drop_missing(scaled)
 
 
 # --- feature sets ---------------------------------------------------------------------

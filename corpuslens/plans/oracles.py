@@ -175,7 +175,10 @@ def scaled() -> str:
     )
 
 
-SCALED = f"scaled AS (SELECT doc_id, text, {scaled()}, label FROM features WHERE trim(text) <> '' WINDOW w AS ())"
+SCALED = (
+    f"scaled0 AS (SELECT doc_id, text, {scaled()}, label FROM features WINDOW w AS ()),\n"
+    "scaled AS (SELECT * FROM scaled0 WHERE trim(text) <> '')"
+)
 ROUNDED = ", ".join(f"{r(f)} AS {f}" for f in FEATURES)
 
 
@@ -627,7 +630,7 @@ LATERAL (SELECT unnest(['title', 'text']) AS part, unnest([d.source, d.text]) AS
     q["statements_roundtrip"] = join(SIX, three_way("corpus", 0.2, "doc_id, label, text")) + f"""
 SELECT CAST(doc_id AS VARCHAR) AS id, CASE split WHEN 'validation' THEN 'valid' ELSE split END AS split, label,
   {SQUEEZE.format('text')} AS digest FROM three"""
-    splits = "features_s AS (SELECT f.*, s.split FROM features f JOIN strat s ON f.doc_id = s.doc_id WHERE trim(f.text) <> '')"
+    splits = "features_s AS (SELECT f.*, s.split FROM features f JOIN strat s ON f.doc_id = s.doc_id)"
     on_train = ", ".join(
         f"{r(f'({f} - t.lo_{f}) / (t.hi_{f} - t.lo_{f})')} AS {f}" for f in FEATURES
     )
@@ -635,14 +638,15 @@ SELECT CAST(doc_id AS VARCHAR) AS id, CASE split WHEN 'validation' THEN 'valid'
         f"min({f}) AS lo_{f}, max({f}) AS hi_{f}" for f in FEATURES
     ) + " FROM features_s WHERE split = 'train')"
     q["features_roundtrip"] = (
-        features(SIX) + f",\n{stratified('corpus')},\n{splits},\n{train}\nSELECT doc_id, split, label, {on_train} FROM features_s CROSS JOIN t"
+        features(SIX) + f",\n{stratified('corpus')},\n{splits},\n{train}\nSELECT doc_id, split, label, {on_train} FROM features_s CROSS JOIN t WHERE trim(text) <> ''"
     )
     per_split = ", ".join(
         f"{r(f'CASE WHEN max({f}) OVER w = min({f}) OVER w THEN 0.0 ELSE ({f} - min({f}) OVER w) / (max({f}) OVER w - min({f}) OVER w) END')} AS {f}"
         for f in FEATURES
     )
     q["features_scaled_per_split"] = (
-        features(SIX) + f",\n{stratified('corpus')},\n{splits}\nSELECT doc_id, split, label, {per_split} FROM features_s WINDOW w AS (PARTITION BY split)"
+        features(SIX) + f",\n{stratified('corpus')},\n{splits},\nall_s AS (SELECT doc_id, text, split, label, {per_split} FROM features_s WINDOW w AS (PARTITION BY split))"
+        + "\nSELECT doc_id, split, label, " + ", ".join(FEATURES) + " FROM all_s WHERE trim(text) <> ''"
     )
     q["features_csv_roundtrip"] = (
         features(BINARY) + f"\nSELECT md5(text) AS digest, label, {ROUNDED} FROM features WHERE trim(text) <> ''"

@@ -5,9 +5,13 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
+from multiprocessing.pool import ThreadPool
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
 _local_stage_dir: str | None = None
 
 
@@ -63,6 +67,14 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def side_by_side(tasks: list[Callable[[], T]], threads: int = 4) -> list[T]:
+    """Results of independent Spark jobs submitted from a few driver threads."""
+    if len(tasks) < 2:
+        return [task() for task in tasks]
+    with ThreadPool(min(threads, len(tasks))) as pool:
+        return pool.map(lambda task: task(), tasks, chunksize=1)
+
+
 def spread(scan: DataFrame, key: str) -> DataFrame:
     """Hash-partition a scan by `key` when it has fewer splits than the cluster has cores.
 
