@@ -104,7 +104,7 @@ def linguistic_features(
     Readability runs on the raw text; tags and stop words on the cleaned tokens.
     """
     kept = [c for c in keep if c in df.columns]
-    source = df.select(*kept, F.col(text).alias("_raw"))
+    source = df.select(*kept, F.coalesce(F.col(text), F.lit("")).alias("_raw"))
     base = with_counts(with_tokens(source, "_raw"), "_raw", easy_words)
     columns = readability_scores("_raw") | {
         "text": X.content_text(F.col("tokens")),
@@ -130,9 +130,16 @@ def linguistic_features(
 
 
 def drop_missing(df: DataFrame, text: str = "text") -> DataFrame:
-    """Rows with a NULL anywhere or with a text that cleaned down to nothing are dropped."""
-    kept = df.na.drop()
-    return kept.where(F.trim(F.col(text)) != "") if text in df.columns else kept
+    """Rows with a NULL or NaN anywhere, or a text that cleaned down to nothing, are dropped.
+
+    One test per column: `na.drop()` is a single predicate over all columns, and
+    the optimiser would rewrite it once for every subset of renamed columns.
+    """
+    for name, kind in df.dtypes:
+        df = df.where(F.col(name).isNotNull())
+        if kind in ("double", "float"):
+            df = df.where(~F.isnan(name))
+    return df.where(F.trim(F.col(text)) != "") if text in df.columns else df
 
 
 def rename_reorder(df: DataFrame) -> DataFrame:

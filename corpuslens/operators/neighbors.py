@@ -208,14 +208,21 @@ def knn_join(
         layout = F.broadcast(
             spark.createDataFrame(plan, "g string, cell int, blocks int, chunks int")
         )
+
+        def laid_out(rows: DataFrame) -> DataFrame:
+            if pivots is None and not by:
+                _, _, n_blocks, n_chunks = plan[0]
+                return rows.withColumns({"blocks": F.lit(n_blocks), "chunks": F.lit(n_chunks)})
+            return rows.join(layout, ["g", "cell"])
+
         left = (
-            routed.join(layout, ["g", "cell"])
+            laid_out(routed)
             .withColumn("chunk", F.expr("int(pmod(xxhash64(query_id), chunks))"))
             .withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)")))
             .select("query_id", "vec", "g", "cell", "block", "chunk")
         )
         right = (
-            placed.join(layout, ["g", "cell"])
+            laid_out(placed)
             .withColumn("block", F.expr("int(pmod(xxhash64(base_id), blocks))"))
             .withColumn("chunk", F.explode(F.expr("sequence(0, chunks - 1)")))
             .select("base_id", "vec", "g", "cell", "block", "chunk")

@@ -83,8 +83,10 @@ def query(fn: Query) -> Query:
 
 
 def r(value: Column | str, digits: int = 6) -> Column:
+    """Rounded by plain double arithmetic, which is the same in every engine."""
     value = F.col(value) if isinstance(value, str) else value
-    return F.round(value.cast("double"), digits)
+    scale = float(10**digits)
+    return F.floor(value.cast("double") * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
 
 
 # --- corpora --------------------------------------------------------------------------
@@ -326,7 +328,7 @@ def by_class(spark, sf):
 @query
 def by_class_stats(spark, sf):
     stats = P.class_stats(numeric(spark, sf), MEASURES)
-    return stats.select(LABEL, "n", *[r(c, 4).alias(c) for c in stats.columns if c not in (LABEL, "n")])
+    return stats.select(LABEL, "n", *[r(c).alias(c) for c in stats.columns if c not in (LABEL, "n")])
 
 
 @query
@@ -1072,7 +1074,7 @@ def selection_job(spark, sf):
 def selection_classes(spark, sf):
     processed = J.feature_job(six_class(spark, sf))
     stats = J.selection_job(processed, 3)["classes"]
-    return stats.select(LABEL, "n", *[r(c, 5).alias(c) for c in stats.columns if c not in (LABEL, "n")])
+    return stats.select(LABEL, "n", *[r(c, 9).alias(c) for c in stats.columns if c not in (LABEL, "n")])
 
 
 @query

@@ -15,8 +15,9 @@ def words_in(words) -> str:
 
 
 def r(expr: str, digits: int = 6) -> str:
-    """Rounded double without a negative zero."""
-    return f"(round(CAST({expr} AS DOUBLE), {digits}) + 0.0)"
+    """Rounded by plain double arithmetic, which is the same in every engine."""
+    scale = f"{10**digits}::DOUBLE"
+    return f"(floor(CAST({expr} AS DOUBLE) * {scale} + 0.5::DOUBLE) / {scale})"
 
 
 def join(*parts: str) -> str:
@@ -379,7 +380,7 @@ SELECT vec_id, landmark, {r(expr)} AS value FROM asked CROSS JOIN marks"""
 DOT = "list_dot_product(a, b)"
 
 UPSERT = """SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN label + 100 ELSE label END AS label,
-  CASE WHEN vec_id % 3 = 0 THEN 2 ELSE 1 END AS version, (round(CAST(embedding[1] AS DOUBLE), 6) + 0.0) AS e0 FROM embeddings"""
+  CASE WHEN vec_id % 3 = 0 THEN 2 ELSE 1 END AS version, """ + r("embedding[1]") + " AS e0 FROM embeddings"
 
 PRESET_ROWS = ", ".join(
     f"('{d}', '{k}', {c}::DOUBLE, {'NULL' if g is None else g}::DOUBLE)"
@@ -453,7 +454,7 @@ def oracles() -> dict[str, str]:
     ) + " FROM documents"
     q["by_class"] = f"SELECT doc_id, n_chars FROM documents WHERE {SIX_LABEL} = 4"
     q["by_class_stats"] = class_stats(
-        "(SELECT *, l_returnflag AS label FROM lineitem)", MEASURES, 4
+        "(SELECT *, l_returnflag AS label FROM lineitem)", MEASURES, 6
     )
     q["feature_points"] = features(SIX) + "\nSELECT doc_id, label, adjective_count, lexicon_count, conjunction_count FROM features"
     q["holdout_union"] = (
@@ -661,7 +662,7 @@ SELECT CAST(doc_id AS VARCHAR) AS id, CASE split WHEN 'validation' THEN 'valid'
 
     # studies
     q["selection_job"] = features(SIX) + f",\n{SCALED},\n{chi2('scaled', FEATURES)}\n" + best(3)
-    q["selection_classes"] = features(SIX) + f",\n{SCALED}\n" + class_stats("scaled", FEATURES, 5)
+    q["selection_classes"] = features(SIX) + f",\n{SCALED}\n" + class_stats("scaled", FEATURES, 9)
     q["multilabel_job"] = (
         join(
             BINARY,

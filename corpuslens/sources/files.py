@@ -73,10 +73,12 @@ def read_articles(spark: SparkSession, folder: str, fake_file: str = "Fake.csv")
     One scan yields both corpora: `part` is `title` or `text`. A folder with the
     file's name, as a distributed writer leaves it, counts as that file.
     """
-    # The columns are addressed by header name, so files may carry others.
+    # The columns are addressed by header name, so files may carry others; a file
+    # with another header than the first one is an error, never a silent misread.
     reader = (
         _tree(spark, ".csv")
         .option("header", True)
+        .option("enforceSchema", False)
         .option("quote", '"')
         .option("escape", '"')
         .option("multiLine", True)

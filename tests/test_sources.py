@@ -1,7 +1,6 @@
 import pytest
 from pyspark.ml.feature import MaxAbsScaler, VectorAssembler
 from pyspark.ml import Pipeline
-from pyspark.sql import functions as F
 
 from corpuslens.operators.features import linguistic_features, rename_reorder
 from corpuslens.operators.scaling import MinMaxModel
@@ -51,7 +50,7 @@ def test_unknown_statement_label(spark, tmp_path):
 
 def test_articles(spark, tmp_path):
     (tmp_path / "Fake.csv").write_text('title,text,subject\nT1,"Body, with\nnewline and ""quotes""",news\n')
-    (tmp_path / "True.csv").write_text("subject,title,text\nnews,T2,Body two\n")
+    (tmp_path / "True.csv").write_text("title,text,subject\nT2,Body two,news\n")
     rows = {(r.part, r.label): r.text for r in read_articles(spark, str(tmp_path)).collect()}
     assert rows == {
         ("title", 1): "T1",
@@ -61,6 +60,13 @@ def test_articles(spark, tmp_path):
     }
 
 
+def test_articles_with_other_header_fail(spark, tmp_path):
+    (tmp_path / "Fake.csv").write_text("title,text\nT1,Body\n")
+    (tmp_path / "True.csv").write_text("text,title\nBody,T2\n")
+    with pytest.raises(Exception, match="header"):
+        read_articles(spark, str(tmp_path)).collect()
+
+
 def test_tree_reads_only_the_extension(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a" / "x.csv").write_text("1\n")
@@ -140,4 +146,3 @@ def test_resample_only_train(spark):
     under = J.resample_train(features, "undersample")
     assert under.train.count() == 24
     assert J.resample_train(features, "none") is features
-    assert F is not None
