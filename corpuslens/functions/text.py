@@ -70,12 +70,17 @@ def stopword_count(token_array: Column) -> Column:
 
 
 def _runs_of(token_array: Column, n: int) -> Column:
-    if n == 1:
-        return token_array
-    last = F.size(token_array) - (n - 1)
-    none = F.array().cast("array<int>")
-    starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(none)
-    return F.transform(starts, lambda i: F.array_join(F.slice(token_array, i, F.lit(n)), " "))
+    # Shifted copies of the array are zipped: an array expression inside a lambda
+    # would be evaluated again for every element.
+    grams = token_array
+    for shift in range(1, n):
+        count = F.greatest(F.size(token_array) - shift, F.lit(0))
+        grams = F.zip_with(
+            F.slice(grams, 1, count),
+            F.slice(token_array, shift + 1, count),
+            lambda a, b: F.concat_ws(" ", a, b),
+        )
+    return grams
 
 
 def ngrams(token_array: Column, low: int = 1, high: int = 1) -> Column:

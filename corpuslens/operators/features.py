@@ -132,8 +132,10 @@ def linguistic_features(
 def drop_missing(df: DataFrame, text: str = "text") -> DataFrame:
     """Rows with a NULL or NaN anywhere, or a text that cleaned down to nothing, are dropped.
 
-    One test per column: `na.drop()` is a single predicate over all columns, and
-    the optimiser would rewrite it once for every subset of renamed columns.
+    Meant for a stored table: over freshly computed columns the tests would be pushed
+    below the projection and compute them again. One test per column, because
+    `na.drop()` is a single predicate over all columns, which the optimiser would
+    rewrite once for every subset of renamed columns.
     """
     for name, kind in df.dtypes:
         df = df.where(F.col(name).isNotNull())

@@ -305,7 +305,7 @@ def linguistic_set(spark, sf):
 def drop_missing_rows(spark, sf):
     docs = content(six_class(spark, sf))
     holes = docs.withColumn("text", F.when(F.col(ID) % 7 != 0, F.col("text")))
-    return drop_missing(holes).select(ID, LABEL, F.length("text").alias("n"))
+    return drop_missing(stage(holes, "holes")).select(ID, LABEL, F.length("text").alias("n"))
 
 
 @query
@@ -513,7 +513,7 @@ def vocabulary(spark, sf):
 def feature_set(spark, sf):
     """Both feature sets by name, as the shapes of their train and test sides."""
     train, test = (
-        stage(drop_missing(linguistic_features(part)), "processed")
+        drop_missing(stage(linguistic_features(part), "processed"))
         for part in (
             binary(spark, sf).where(f"{ID} % 5 <> 0"),
             binary(spark, sf).where(f"{ID} % 5 = 0"),
