@@ -24,6 +24,7 @@ from corpuslens.session import stage
 SCORE_DIGITS = 9
 SLACK = 1e-6
 COPY_RATIO = 1.3
+BLOCK_BYTES = 16 << 20
 
 
 def _matrix(column: pd.Series, cosine: bool) -> np.ndarray:
@@ -55,8 +56,8 @@ def _block_topk(k: int, cosine: bool, exclude_self: bool, with_vector: bool):
         base = base.sort_values("base_id", kind="stable")
         ids, stored = base["base_id"].to_numpy(), _matrix(base["vec"], cosine)
         found = []
-        for start in range(0, len(queries), 512):
-            part = queries.iloc[start : start + 512]
+        for start in range(0, len(queries), 128):
+            part = queries.iloc[start : start + 128]
             asked = _matrix(part["vec"], cosine)
             score = asked @ stored.T if cosine else -np.sqrt(_squared(asked, stored))
             score = np.round(score, SCORE_DIGITS) + 0.0
@@ -135,15 +136,16 @@ def knn_join(
     exclude_self: bool = False,
     with_vector: bool = False,
     cell_rows: int = 100_000,
-    max_cells: int = 256,
-    block_rows: int = 2048,
+    max_cells: int = 2048,
+    block_rows: int | None = None,
     probe: int | None = None,
 ) -> DataFrame:
     """`query_id, rank, base_id, score[, vector]`: the k nearest base vectors per query.
 
     `score` is the cosine similarity or the negative Euclidean distance; equal
     scores go to the smaller id, and a zero vector has cosine 0 to everything.
-    `by` restricts neighbours to the same group. With `probe` only that many
+    `by` restricts neighbours to the same group. A block holds `block_rows` vectors
+    or 16 MB of numbers, and as many queries. With `probe` only that many
     nearest cells are searched (approximate); without it the result is exact.
     """
     if metric not in ("cosine", "euclidean"):
@@ -157,8 +159,14 @@ def knn_join(
         F.col(base_id).alias("base_id"), F.col(vec).cast("array<double>").alias("vec"), group.alias("g")
     )
 
-    size = b.agg(F.count("*").alias("n"), F.approx_count_distinct(F.xxhash64("vec")).alias("d")).first()
+    size = b.agg(
+        F.count("*").alias("n"),
+        F.approx_count_distinct(F.xxhash64("vec")).alias("d"),
+        F.max(F.size("vec")).alias("width"),
+    ).first()
     n = size.n
+    if block_rows is None:
+        block_rows = max(256, BLOCK_BYTES // (8 * (size.width or 1)))
     if n > COPY_RATIO * size.d:
         # Of equal vectors only the smallest ids can be among the k nearest (one more
         # if a query may be excluded). The cut happens before the shuffle.

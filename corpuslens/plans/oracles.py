@@ -562,7 +562,7 @@ SELECT * FROM parts JOIN preset USING (dataset)"""
     votes = """WITH v AS (SELECT o_orderkey AS doc_id, unnest([o_orderkey % 3, o_custkey % 3, (o_orderkey + o_custkey) % 3]) AS p
   FROM orders), c AS (SELECT doc_id, p, count(*) AS n FROM v GROUP BY doc_id, p)"""
     q["vote_hard"] = votes + """
-SELECT doc_id, CAST(p AS INTEGER) AS prediction, n AS votes FROM
+SELECT doc_id, CAST(p AS INTEGER) AS prediction FROM
   (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, p) AS rn FROM c) WHERE rn = 1"""
     q["vote_soft"] = f"""WITH p AS (SELECT o_orderkey AS doc_id, (((o_orderkey * 7 + o_custkey) % 11) + ((o_orderkey * 7 + o_custkey * 3) % 11)
   + ((o_orderkey * 7 + o_custkey * 5) % 11)) AS tenths FROM orders)
