@@ -175,9 +175,13 @@ def fit_stacking(
     vec: str = "features",
     label: str = LABEL,
     id_col: str = ID,
+    bases: list[str] | None = None,
 ) -> StackingModel:
-    """`final` is one of the kernels (that model combines the other two) or `none` (logistic)."""
-    bases = {n: replace(specs[n], probability=True) for n in STACK_BASES[final]}
+    """`final` is one of the kernels (that model combines the other two) or `none` (logistic).
+
+    `bases` names other base models of `specs`.
+    """
+    bases = {n: replace(specs[n], probability=True) for n in bases or STACK_BASES[final]}
     meta = stage(out_of_fold(df, bases, folds, vec, label, id_col), "meta")
     classes = list(class_counts(meta, label))
     if final == "none":

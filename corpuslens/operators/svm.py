@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corpuslens.functions.hashing import hash_unit
 from corpuslens.operators.kernels import KernelFeatures, gamma_scale, landmarks
-from corpuslens.operators.ranking import class_counts
+from corpuslens.operators.ranking import by_class, class_counts
 from corpuslens.schema import ID, LABEL
 from corpuslens.session import side_by_side
 
@@ -37,12 +37,17 @@ def _few_tasks(df: DataFrame, n: int) -> DataFrame:
 
 @dataclass(frozen=True)
 class SvmSpec:
-    """Parameters of one classifier. `gamma=None` means 1 / (features * variance)."""
+    """Parameters of one classifier.
+
+    `gamma=None` means 1 / (features * variance); `balanced` weighs the rows of a
+    class by the inverse of its size.
+    """
 
     kernel: str = "linear"
     C: float = 1.0
     gamma: float | None = None
     probability: bool = False
+    balanced: bool = False
     multiclass: str = "ovr"  # or "ovo": one model per pair of classes
     n_landmarks: int = 100
     max_iter: int = 50
@@ -63,6 +68,11 @@ class SvmSpec:
         counts = class_counts(data, label, MAX_CLASSES)
         if len(counts) < 2:
             raise ValueError("training needs at least two classes")
+        if self.balanced:
+            rows = sum(counts.values())
+            share = by_class(label, {c: rows / (len(counts) * m) for c, m in counts.items()})
+            data = data.withColumn("_share", share * F.col(weight) if weight else share)
+            weight = "_share"
         maps = self._maps(data, vec, id_col)
         mapped = data
         for m in maps:

@@ -1020,6 +1020,14 @@ def features_scaled_per_split(spark, sf):
     return scaled.select(ID, "split", LABEL, *[r(c).alias(c) for c in FEATURES])
 
 
+@query
+def feature_job(spark, sf):
+    """Raw article files to two scaled corpora, titles and bodies, each with its own range."""
+    articles = read_articles(spark, _write_articles(spark, sf))
+    scaled = J.feature_job(articles, split="part", fit_per_split=True)
+    return scaled.select("part", LABEL, F.md5("text").alias("digest"), *[r(c).alias(c) for c in FEATURES])
+
+
 @query
 def features_csv_roundtrip(spark, sf):
     path = scratch(spark, "processed-csv")

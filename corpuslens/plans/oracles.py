@@ -649,6 +649,17 @@ SELECT CAST(doc_id AS VARCHAR) AS id, CASE split WHEN 'validation' THEN 'valid'
         features(SIX) + f",\n{stratified('corpus')},\n{splits},\nall_s AS (SELECT doc_id, text, split, label, {per_split} FROM features_s WINDOW w AS (PARTITION BY split))"
         + "\nSELECT doc_id, split, label, " + ", ".join(FEATURES) + " FROM all_s WHERE trim(text) <> ''"
     )
+    articles = (
+        "corpus AS (SELECT d.doc_id * 2 + k AS doc_id, CASE WHEN k = 0 THEN d.source ELSE d.text END AS text, "
+        "l.quality AS label FROM documents d JOIN labels l ON d.doc_id = l.doc_id CROSS JOIN (VALUES (0), (1)) s(k))"
+    )
+    q["feature_job"] = (
+        features(articles)
+        + f",\nall_p AS (SELECT doc_id, text, label, {per_split} FROM features WINDOW w AS (PARTITION BY doc_id % 2))"
+        + "\nSELECT CASE WHEN doc_id % 2 = 0 THEN 'title' ELSE 'text' END AS part, label, md5(text) AS digest, "
+        + ", ".join(FEATURES)
+        + " FROM all_p WHERE trim(text) <> ''"
+    )
     q["features_csv_roundtrip"] = (
         features(BINARY) + f"\nSELECT md5(text) AS digest, label, {ROUNDED} FROM features WHERE trim(text) <> ''"
     )

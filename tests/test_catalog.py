@@ -37,6 +37,19 @@ def test_equals_sql(spark, sf, db, name):
     assert digest(got) == digest(want)
 
 
+@pytest.mark.parametrize("partitions", ["1", "16"])
+@pytest.mark.parametrize(
+    "name", ["tfidf_max_abs", "stratified_folds", "smote_2d", "cosine_top5_cells", "class_report", "decision_path", "vocabulary"]
+)
+def test_any_number_of_partitions(spark, sf, db, name, partitions):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        test_equals_sql(spark, sf, db, name)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 

@@ -41,6 +41,18 @@ def test_linear_multiclass(blobs, multiclass):
     assert hit_rate(SvmSpec(multiclass=multiclass, max_iter=20).fit(blobs), blobs) > 0.95
 
 
+def test_balanced_weights_help_the_rare_class(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, int(i % 20 == 0), [float(rng.normal(1.0 if i % 20 == 0 else 0.0, 0.8))]) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id bigint, label int, features array<double>").coalesce(1).cache()
+
+    def recall(spec):
+        hit = (F.col("prediction") == 1).cast("int")
+        return spec.fit(df).transform(df).where("label = 1").agg(F.avg(hit)).first()[0]
+
+    assert recall(SvmSpec(balanced=True, max_iter=15)) > recall(SvmSpec(max_iter=15))
+
+
 def test_kernel_beats_linear_on_ring(ring):
     linear = hit_rate(SvmSpec(max_iter=10).fit(ring), ring)
     rbf = hit_rate(SvmSpec(kernel="rbf", C=10.0, gamma=1.0, n_landmarks=30, max_iter=20).fit(ring), ring)
