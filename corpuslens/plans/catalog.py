@@ -110,6 +110,17 @@ def six_class(spark: SparkSession, sf: str) -> DataFrame:
     return documents(spark, sf).select(ID, "text", "n_chars", label.alias(LABEL))
 
 
+def six_labels(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """The six-class labels without the texts, straight from the scan."""
+    label = F.expr("int(int(substr(source, 4)) % 6)")
+    return table(spark, sf, "documents").select(ID, *columns, label.alias(LABEL))
+
+
+def binary_labels(spark: SparkSession, sf: str) -> DataFrame:
+    labels = table(spark, sf, "labels").select(ID, F.col("quality").alias(LABEL))
+    return table(spark, sf, "documents").select(ID).join(labels, ID)
+
+
 def content(df: DataFrame) -> DataFrame:
     """Content text in place of the raw text."""
     return df.select(ID, LABEL, X.content_text(X.tokens(F.col("text"))).alias("text"))
@@ -311,18 +322,18 @@ def drop_missing_rows(spark, sf):
 @query
 def label_map(spark, sf):
     names = F.array(*[F.lit(n) for n in TRUTH_LABELS])
-    named = six_class(spark, sf).withColumn("name", F.get(names, F.col(LABEL)))
+    named = six_labels(spark, sf).withColumn("name", F.get(names, F.col(LABEL)))
     return named.select(ID, "name", P.map_label(F.col("name")).alias("code"))
 
 
 @query
 def one_hot(spark, sf):
-    return P.one_hot(six_class(spark, sf).select(ID, LABEL), TRUTH_LABELS)
+    return P.one_hot(six_labels(spark, sf), TRUTH_LABELS)
 
 
 @query
 def by_class(spark, sf):
-    return P.by_class(six_class(spark, sf).select(ID, "n_chars", LABEL), 4)
+    return P.by_class(six_labels(spark, sf, "n_chars"), 4)
 
 
 @query
@@ -339,25 +350,25 @@ def feature_points(spark, sf):
 
 @query
 def holdout_union(spark, sf):
-    split = random_split3(six_class(spark, sf).select(ID, LABEL))
+    split = random_split3(six_labels(spark, sf))
     test, valid = (split.where(F.col("split") == s) for s in ("test", "validation"))
     return P.union_holdout(test, valid)
 
 
 @query
 def attach_features(spark, sf):
-    left = documents(spark, sf).select(ID, "n_chars")
+    left = table(spark, sf, "documents").select(ID, "n_chars")
     return P.attach(left, table(spark, sf, "labels"))
 
 
 @query
 def sample_n(spark, sf):
-    return P.sample_n(six_class(spark, sf).select(ID, LABEL), 100)
+    return P.sample_n(six_labels(spark, sf), 100)
 
 
 @query
 def head_n(spark, sf):
-    return P.head_n(six_class(spark, sf).select(ID, LABEL), 50)
+    return P.head_n(six_labels(spark, sf), 50)
 
 
 @query
@@ -368,7 +379,7 @@ def rename_reorder_columns(spark, sf):
 
 @query
 def shape_report(spark, sf):
-    split = random_split3(six_class(spark, sf).select(ID, LABEL))
+    split = random_split3(six_labels(spark, sf))
     return P.shape_report(
         train=split.where("split = 'train'").drop("split"),
         test=split.where("split = 'test'").drop("split"),
@@ -380,37 +391,37 @@ def shape_report(spark, sf):
 
 @query
 def stratified_train_test(spark, sf):
-    return stratified_split(six_class(spark, sf).select(ID, LABEL))
+    return stratified_split(six_labels(spark, sf))
 
 
 @query
 def random_split_80_10_10(spark, sf):
-    return random_split3(documents(spark, sf).select(ID))
+    return random_split3(table(spark, sf, "documents").select(ID))
 
 
 @query
 def random_split_70_15_15(spark, sf):
-    return random_split3(documents(spark, sf).select(ID), 0.3)
+    return random_split3(table(spark, sf, "documents").select(ID), 0.3)
 
 
 @query
 def random_split_approximate(spark, sf):
-    return random_split3(documents(spark, sf).select(ID), exact=False)
+    return random_split3(table(spark, sf, "documents").select(ID), exact=False)
 
 
 @query
 def stratified_folds(spark, sf):
-    return stratified_kfold(binary(spark, sf).select(ID, LABEL))
+    return stratified_kfold(binary_labels(spark, sf))
 
 
 @query
 def split_label_counts(spark, sf):
-    return split_counts(stratified_split(binary(spark, sf).select(ID, LABEL)))
+    return split_counts(stratified_split(binary_labels(spark, sf)))
 
 
 @query
 def split_dictionary(spark, sf):
-    split = random_split3(six_class(spark, sf).select(ID, LABEL), 0.3)
+    split = random_split3(six_labels(spark, sf), 0.3)
     parts = [split.where(F.col("split") == s).drop("split") for s in ("train", "test", "validation")]
     return split_table(*parts)
 
@@ -420,18 +431,18 @@ def split_dictionary(spark, sf):
 
 @query
 def under_sampled(spark, sf):
-    return under_sample(binary(spark, sf).select(ID, LABEL))
+    return under_sample(binary_labels(spark, sf))
 
 
 @query
 def class_weighted(spark, sf):
-    weighted = class_weights(six_class(spark, sf).select(ID, LABEL))
+    weighted = class_weights(six_labels(spark, sf))
     return weighted.withColumn("weight", r("weight"))
 
 
 @query
 def label_distribution(spark, sf):
-    return E.label_distribution(binary(spark, sf).select(LABEL))
+    return E.label_distribution(binary_labels(spark, sf))
 
 
 @query
