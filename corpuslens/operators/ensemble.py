@@ -45,7 +45,8 @@ def vote_soft(probabilities: DataFrame, id_col: str = ID) -> DataFrame:
 # --- ensembles ------------------------------------------------------------------------
 
 
-def _first_best(scores: Column, classes: list) -> Column:
+def argmax_label(scores: Column, classes: list) -> Column:
+    """The class of the highest score; the first of equal scores."""
     place = F.array_position(scores, F.array_max(scores)).cast("int")
     return F.element_at(F.array(*[F.lit(c) for c in classes]), place)
 
@@ -73,13 +74,13 @@ class VotingModel:
                 total = F.zip_with(total, p, lambda a, b: a + b)
             out = out.withColumn("probability", F.transform(total, lambda x: x / len(shares)))
         if self.kind == "soft":
-            choice = _first_best(F.col("probability"), self.classes)
+            choice = argmax_label(F.col("probability"), self.classes)
         else:
             votes = [
                 sum((F.col(f"_{n}_prediction") == F.lit(c)).cast("int") for n in self.members)
                 for c in self.classes
             ]
-            choice = _first_best(F.array(*votes), self.classes)
+            choice = argmax_label(F.array(*votes), self.classes)
         return out.withColumn("prediction", choice).drop(*columns)
 
 
@@ -145,7 +146,7 @@ class StackingModel:
             {self.final.probabilityCol: "_p", self.final.predictionCol: "_c", self.final.rawPredictionCol: "_r"}
         ).transform(meta)
         scored = scored.withColumn("probability", vector_to_array("_p"))
-        choice = _first_best(F.col("probability"), self.classes)
+        choice = argmax_label(F.col("probability"), self.classes)
         return scored.withColumn("prediction", choice).drop("_p", "_c", "_r", "meta")
 
 
@@ -262,7 +263,7 @@ class BoostModel:
                 hit = F.col(f"_b{i}_prediction") == F.lit(c)
                 totals[c] = totals[c] + F.when(hit, alpha).otherwise(0.0)
         scores = F.array(*[totals[c] for c in self.classes])
-        return out.withColumn("prediction", _first_best(scores, self.classes)).drop(*columns)
+        return out.withColumn("prediction", argmax_label(scores, self.classes)).drop(*columns)
 
 
 def fit_adaboost(

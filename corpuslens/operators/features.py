@@ -7,8 +7,9 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpuslens.functions import readability as R, tags, text as X
-from corpuslens.operators.lookup import lookup_join
+from corpuslens.operators.lookup import BROADCAST_ROWS, lookup_join
 from corpuslens.schema import COLUMNS, FEATURES, ID, LABEL
+from corpuslens.session import stage
 
 
 def with_tokens(df: DataFrame, text: str = "text", out: str = "tokens") -> DataFrame:
@@ -78,9 +79,11 @@ def pos_counts(
         .groupBy(id_col, "word")
         .agg(F.count("*").alias("n"))
     )
-    weights = words.where(F.col("word").isNotNull()).groupBy("word").agg(F.count("*").alias("docs"))
-    table = lexicon.select("word", "tag").join(weights, "word")
-    tagged = lookup_join(words, table, "word", weight="docs").withColumn(
+    table, weight = lexicon.select("word", "tag"), None
+    if table.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        weights = words.where(F.col("word").isNotNull()).groupBy("word").agg(F.count("*").alias("docs"))
+        table, weight = stage(table.join(weights, "word"), "lexicon"), "docs"
+    tagged = lookup_join(words, table, "word", weight).withColumn(
         "tag",
         F.when(F.col("word").isNotNull(), F.coalesce("tag", tags.fine_tag(F.col("word")))),
     )

@@ -46,6 +46,16 @@ def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * cross, 0.0)
 
 
+def _top_cells(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k best finite scores per row; of equal scores the first column."""
+    kth = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k]
+    row, col = np.nonzero((score >= kth[:, None]) & np.isfinite(score))
+    order = np.lexsort((col, -score[row, col], row))
+    row, col = row[order], col[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row, side="left")
+    return row[place < k], col[place < k]
+
+
 def _block_topk(k: int, cosine: bool, exclude_self: bool, with_vector: bool):
     """Top k of one block of base vectors for one block of queries."""
 
@@ -53,7 +63,7 @@ def _block_topk(k: int, cosine: bool, exclude_self: bool, with_vector: bool):
         columns = ["query_id", "base_id", "score"] + (["vector"] if with_vector else [])
         if queries.empty or base.empty:
             return pd.DataFrame(columns=columns)
-        base = base.sort_values("base_id", kind="stable")
+        base = base.sort_values("base_id")
         ids, stored = base["base_id"].to_numpy(), _matrix(base["vec"], cosine)
         found = []
         for start in range(0, len(queries), 128):
@@ -64,12 +74,7 @@ def _block_topk(k: int, cosine: bool, exclude_self: bool, with_vector: bool):
             asker = part["query_id"].to_numpy()
             if exclude_self:
                 score[asker[:, None] == ids[None, :]] = -np.inf
-            # Stable sort over base ids in order: equal scores go to the smaller id.
-            best = np.argsort(-score, axis=1, kind="stable")[:, :k]
-            row = np.repeat(np.arange(len(part)), best.shape[1])
-            col = best.ravel()
-            keep = np.isfinite(score[row, col])
-            row, col = row[keep], col[keep]
+            row, col = _top_cells(score, min(k, len(ids)))
             out = {"query_id": asker[row], "base_id": ids[col], "score": score[row, col]}
             if with_vector:
                 raw = base["vec"].to_numpy()
@@ -135,7 +140,7 @@ def knn_join(
     metric: str = "cosine",
     exclude_self: bool = False,
     with_vector: bool = False,
-    cell_rows: int = 100_000,
+    cell_rows: int = 10_000,
     max_cells: int = 2048,
     block_rows: int | None = None,
     probe: int | None = None,

@@ -6,6 +6,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from corpuslens.operators.lookup import lookup_join
+from corpuslens.session import stage
+
 
 MAX_GROUPS = 1_000
 
@@ -81,13 +84,12 @@ def fit_max_abs(df: DataFrame, cols: list[str]) -> MaxAbsModel:
 
 def max_abs_terms(train: DataFrame, other: DataFrame | None = None) -> DataFrame:
     """Long form: `value` over the largest absolute value of its term in `train`."""
-    from corpuslens.operators.lookup import lookup_join
-
     scale = train.groupBy("term").agg(
         F.max(F.abs("value")).alias("scale"), F.count("*").alias("docs")
     )
     target = train if other is None else other
-    joined = lookup_join(target, scale, "term", weight="docs", how="inner")
+    # The fitted scales are small next to the rows and are read several times.
+    joined = lookup_join(target, stage(scale, "scales"), "term", weight="docs", how="inner")
     return joined.withColumn(
         "value", F.when(F.col("scale") == 0, F.col("value")).otherwise(F.col("value") / F.col("scale"))
     ).drop("scale", "docs")

@@ -843,6 +843,15 @@ def multilabel_metrics(spark, sf):
     return out.select(*[r(c).alias(c) for c in ("f1", "roc_auc", "accuracy")])
 
 
+@query
+def argmax_prediction(spark, sf):
+    """One label from several scores, as a sequence classifier predicts."""
+    scores = F.array("s_quality", "s_toxic")
+    return _multilabel(spark, sf).select(
+        ID, V.argmax_label(scores, ["quality", "toxic"]).alias("prediction")
+    )
+
+
 # --- vectors ----------------------------------------------------------------------------
 
 

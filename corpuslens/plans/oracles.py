@@ -600,6 +600,11 @@ c AS (SELECT CAST(count_if(y AND p) AS DOUBLE) AS tp, CAST(count_if(NOT y AND p)
 SELECT {r('2 * tp / (2 * tp + fp + fn)')} AS f1, {r('(tp / (tp + fn) + tn / (tn + fp)) / 2')} AS roc_auc,
   {r('(SELECT avg(CASE WHEN (quality = 1) = pq AND (toxic = 1) = pt THEN 1.0::DOUBLE ELSE 0.0 END) FROM s)')} AS accuracy FROM c"""
 
+    q["argmax_prediction"] = (
+        "SELECT l.doc_id, CASE WHEN (n_chars % 777) / 200.0::DOUBLE > (n_chars % 1000) / 250.0::DOUBLE THEN 'toxic' "
+        "ELSE 'quality' END AS prediction FROM documents d JOIN labels l ON d.doc_id = l.doc_id"
+    )
+
     # vectors
     q["upsert_latest"] = q["upsert_collection"] = UPSERT
     for name, k in (("cosine_top1", 1), ("cosine_top5", 5), ("cosine_top5_cells", 5)):

@@ -15,21 +15,17 @@ from corpuslens.schema import COLUMNS, FEATURE_SCHEMA, ID, LABEL, STATEMENT_SCHE
 ARTICLE_COLUMNS = ("title", "text")
 
 
-def with_row_id(df: DataFrame, *fields: str, out: str = ID) -> DataFrame:
-    """A stable key from the content; equal rows are told apart by a tie number.
+def with_row_id(df: DataFrame, path: str, *fields: str, out: str = ID) -> DataFrame:
+    """A stable key from the file and the content; equal rows of a file get tie numbers.
 
-    Equal rows are interchangeable, so the tie number may follow any order. It is
-    counted inside 64 sub-groups, so copies of one row are never one task.
+    A quoted multi-line file is read by one task, so its copies of a row - one
+    window group - are never more than what one task has read already.
     """
-    content = F.xxhash64(*[F.coalesce(F.col(f).cast("string"), F.lit("\u0000")) for f in fields])
-    marked = df.withColumn("_h", content).withColumn(
-        "_lane", (F.monotonically_increasing_id() % 64).cast("int")
-    )
-    tie = F.row_number().over(Window.partitionBy("_h", "_lane").orderBy(F.lit(1)))
-    key = F.concat_ws(
-        "-", F.hex("_h"), F.col("_lane").cast("string"), tie.cast("string")
-    )
-    return marked.withColumn(out, key).drop("_h", "_lane")
+    content = [F.coalesce(F.col(f).cast("string"), F.lit("\u0000")) for f in (path, *fields)]
+    marked = df.withColumn("_h", F.xxhash64(*content))
+    tie = F.row_number().over(Window.partitionBy("_h").orderBy(F.hash(*content)))
+    key = F.concat_ws("-", F.lower(F.hex("_h")), tie.cast("string"))
+    return marked.withColumn(out, key).drop("_h")
 
 
 def _tree(spark: SparkSession, extension: str):
