@@ -29,14 +29,17 @@ def packed(df: DataFrame, name: str) -> Column:
     )
 
 
+def vector_size(df: DataFrame, name: str) -> Column:
+    """Number of features of each row."""
+    if not is_vector(df, name):
+        return F.size(name)
+    raw = F.unwrap_udt(F.col(name))
+    return F.coalesce(raw["size"], F.size(raw["values"]))
+
+
 def vector_width(df: DataFrame, name: str) -> int | None:
     """Number of features (the largest over the rows), None without rows."""
-    if is_vector(df, name):
-        raw = F.unwrap_udt(F.col(name))
-        width = F.coalesce(raw["size"], F.size(raw["values"]))
-    else:
-        width = F.size(name)
-    return df.agg(F.max(width)).first()[0]
+    return df.agg(F.max(vector_size(df, name))).first()[0]
 
 
 def dense(batch: pd.DataFrame, width: int) -> np.ndarray:

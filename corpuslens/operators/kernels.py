@@ -14,7 +14,7 @@ from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, functions as F
 
-from corpuslens.functions.vectors import as_array, dense, packed
+from corpuslens.functions.vectors import as_array, dense, packed, vector_size
 from corpuslens.operators.relational import sample_n
 from corpuslens.schema import ID
 
@@ -97,10 +97,10 @@ def kernel_table(
 
 
 def gamma_scale(df: DataFrame, vec: str) -> DataFrame:
-    """1 / (features * variance of all entries), from one aggregate."""
-    value = as_array(df, vec)
+    """1 / (features * variance of all entries), from one aggregate over the non-zero entries."""
+    value = packed(df, vec)["values"]
     sums = df.select(
-        F.size(value).alias("d"),
+        vector_size(df, vec).alias("d"),
         F.aggregate(value, F.lit(0.0), lambda a, x: a + x).alias("s"),
         F.aggregate(value, F.lit(0.0), lambda a, x: a + x * x).alias("q"),
     ).agg(F.max("d").alias("d"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum("d").alias("n"))

@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from corpuslens.operators import attribution as A, ensemble as V
@@ -83,6 +84,8 @@ def test_kernels(spark):
     assert kernel_matrix(rows, marks, "poly", 0.5)[0, 0] == pytest.approx(1.0)
     df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [3.0, 6.0])], "doc_id int, features array<double>")
     assert gamma_scale(df, "features").first().gamma == pytest.approx(1 / (2 * np.var([1, 2, 3, 6])))
+    sparse = spark.createDataFrame([(1, Vectors.sparse(4, [1], [2.0])), (2, Vectors.dense([1, 0, 3, 0]))], ["doc_id", "v"])
+    assert gamma_scale(sparse, "v").first().gamma == pytest.approx(1 / (4 * np.var([0, 2, 0, 0, 1, 0, 3, 0])))
     table = kernel_table(df, df.where("doc_id = 2"), "sigmoid", 0.01, "features").collect()
     assert {(r.doc_id, r.landmark) for r in table} == {(1, 2), (2, 2)}
 
