@@ -58,33 +58,44 @@ TAG_GROUPS = {
 }
 
 
-def suffix_tag(word: Column) -> Column:
-    rule = None
-    for suffix, tag in SUFFIX_TAGS:
-        test = word.endswith(suffix)
-        rule = F.when(test, tag) if rule is None else rule.when(test, tag)
-    return rule.otherwise(OTHER_TAG)
+def _by_tag(word: Column, value: dict[str, object]) -> Column:
+    """`value` of the word's tag: closed classes first, then suffix rules."""
 
+    def case(tests: list[tuple[Column, str]]):
+        rule = None
+        for test, tag in tests:
+            out = F.lit(value[tag])
+            rule = F.when(test, out) if rule is None else rule.when(test, out)
+        return rule
 
-def fine_tag(word: Column) -> Column:
-    """Tag of one lower-case word: closed classes first, then suffix rules."""
-    known = None
-    for tag, words in TAG_WORDS.items():
-        test = word.isin(words.split())
-        known = F.when(test, tag) if known is None else known.when(test, tag)
+    known = case([(word.isin(words.split()), tag) for tag, words in TAG_WORDS.items()])
+    rules = case([(word.endswith(suffix), tag) for suffix, tag in SUFFIX_TAGS])
     closed = [w for words in TAG_WORDS.values() for w in words.split()]
     # One set test sends most words straight to the suffix rules.
-    return F.when(word.isin(closed), known).otherwise(suffix_tag(word))
+    return F.when(word.isin(closed), known).otherwise(rules.otherwise(F.lit(value[OTHER_TAG])))
+
+
+ALL_TAGS = {*TAG_WORDS, *(tag for _, tag in SUFFIX_TAGS), OTHER_TAG}
+
+
+def fine_tag(word: Column) -> Column:
+    """Tag of one lower-case word."""
+    return _by_tag(word, {tag: tag for tag in ALL_TAGS})
 
 
-def tag_array(token_array: Column) -> Column:
-    return F.transform(token_array, fine_tag)
+def feature_bits(token_array: Column) -> Column:
+    """For each token a number with one bit per feature column that counts it."""
+    bits = {
+        tag: sum(1 << i for i, group in enumerate(TAG_GROUPS.values()) if tag in group)
+        for tag in ALL_TAGS
+    }
+    return F.transform(token_array, lambda t: _by_tag(t, bits))
 
 
-def _count_in(tags: Column, group: list[str]) -> Column:
-    return F.size(F.filter(tags, lambda t: t.isin(group)))
+def _with_bit(bits: Column, i: int) -> Column:
+    return F.size(F.filter(bits, lambda b: b.bitwiseAND(F.lit(1 << i)) != 0))
 
 
-def tag_counts(tags: Column) -> dict[str, Column]:
-    """One count per feature column over an array of fine tags."""
-    return {name: _count_in(tags, group) for name, group in TAG_GROUPS.items()}
+def tag_counts(bits: Column) -> dict[str, Column]:
+    """One count per feature column over the array of `feature_bits`."""
+    return {name: _with_bit(bits, i) for i, name in enumerate(TAG_GROUPS)}

@@ -71,8 +71,8 @@ def pos_counts(
     there fall back to the built-in rules.
     """
     if lexicon is None:
-        tagged = with_tokens(df, text).withColumn("_tags", tags.tag_array(F.col("tokens")))
-        counts = tags.tag_counts(F.col("_tags"))
+        tagged = with_tokens(df, text).withColumn("_bits", tags.feature_bits(F.col("tokens")))
+        counts = tags.tag_counts(F.col("_bits"))
         return tagged.select(id_col, *[c.alias(n) for n, c in counts.items()])
     words = (
         df.select(id_col, F.explode_outer(X.tokens(F.col(text))).alias("word"))
@@ -118,8 +118,8 @@ def linguistic_features(
         "stopword_count": X.stopword_count(F.col("tokens")),
     }
     if lexicon is None:
-        base = base.withColumn("_tags", tags.tag_array(F.col("tokens")))
-        columns |= tags.tag_counts(F.col("_tags"))
+        base = base.withColumn("_bits", tags.feature_bits(F.col("tokens")))
+        columns |= tags.tag_counts(F.col("_bits"))
     wide = base.withColumns(columns)
     if lexicon is not None:
         wide = wide.join(pos_counts(source, "_raw", lexicon), ID)
