@@ -5,8 +5,9 @@
    32-bit anchor codes to code ranges, and get back those that several documents have.
 2. Around shared anchors, the bytes of all windows of one anchor (a context, at most
    `SPAN + SPAN - K` bytes) go to the anchor's range, equal contexts of a chunk once.
-3. A range builds a run-length Burrows-Wheeler index of its different contexts, streams
-   the contexts through it, and finds for each window the smallest document id that has it.
+3. A range builds a run-length Burrows-Wheeler index of the contexts of all anchors with
+   more than one, streams them through it, and so finds for each window the smallest
+   document id that has it. (The windows of an anchor with one context are its owner's.)
 4. Chunks mark the windows that a smaller document has, and cut their bytes.
 
 All groups are bounded: a chunk holds about `CHUNK_BYTES` of text, a range the anchors of
@@ -80,9 +81,10 @@ def window_groups(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nd
     for begin in range(0, max(0, len(data) - SPAN + 1), PIECE):
         piece = data[begin : begin + PIECE + SPAN - 1]
         place, hashes = _piece_anchors(piece)
-        start = np.arange(len(place))
-        stop = ends[np.searchsorted(ends, begin + start, side="right")]
-        valid = begin + start + SPAN <= stop
+        valid = np.ones(len(place), dtype=bool)  # the window ends inside its document
+        near = np.searchsorted(ends, [begin, begin + len(piece)], side="left")
+        for end in (ends[near[0] : near[1] + 1] - begin).tolist():
+            valid[max(0, end - SPAN + 1) : max(0, end)] = False
         change = np.flatnonzero((np.diff(place, prepend=-1) != 0) | (valid != np.concatenate([[False], valid[:-1]])))
         first = change[valid[change]]
         following = np.append(change[1:], len(place))[valid[change]]
@@ -125,7 +127,11 @@ class Chunk:
             (np.int64(b) << np.int64(32)) | np.frombuffer(x, dtype="<u4").astype(np.int64)
             for b, x in zip(mine["bucket"], mine["blob"])
         ]
-        keep = np.isin(self.code, np.concatenate(codes)) if codes else np.zeros(len(self.code), dtype=bool)
+        keep = np.zeros(len(self.code), dtype=bool)
+        if codes:
+            known = np.sort(np.concatenate(codes))
+            at = np.searchsorted(known, self.code)
+            keep = known[np.minimum(at, len(known) - 1)] == self.code
         for name in ("first", "last", "place", "code", "doc"):
             setattr(self, name, getattr(self, name)[keep])
 
@@ -146,7 +152,7 @@ class Chunk:
 
 def _by_range(codes: np.ndarray) -> list[tuple[int, np.ndarray]]:
     """(range, places of its codes) for each range that occurs."""
-    order = np.argsort(codes, kind="stable")
+    order = np.argsort(codes >> 32, kind="stable")
     ranges = codes[order] >> 32
     cuts = np.flatnonzero(np.diff(ranges)) + 1
     return [(int(codes[part[0]] >> 32), part) for part in np.split(order, cuts) if len(part)]
@@ -158,10 +164,19 @@ def _send_anchors(range_bits: int):
         if len(rows):
             chunk = Chunk(rows, notes, range_bits)
             number = int(rows["chunk"].iloc[0])
-            pair = np.unique(np.stack([chunk.code, chunk.doc], axis=1), axis=0) if len(chunk.code) else np.zeros((0, 2), np.int64)
-            codes, count = np.unique(pair[:, 0], return_counts=True)
-            codes = np.repeat(codes, np.minimum(count, 2))  # twice: two documents of this chunk have it
-            out = [(b, number, (codes[at] & 0xFFFFFFFF).astype("<u4").tobytes()) for b, at in _by_range(codes)]
+            order = np.argsort(chunk.code)
+            codes, docs = chunk.code[order], chunk.doc[order]
+            first = np.flatnonzero(np.diff(codes, prepend=-1))
+            # an anchor of two documents of this chunk is sent twice
+            other = np.concatenate([[False], (codes[1:] == codes[:-1]) & (docs[1:] != docs[:-1])])
+            several = np.add.reduceat(other, first) > 0 if len(first) else first
+            codes = np.repeat(codes[first], 1 + several)
+            cuts = np.flatnonzero(np.diff(codes >> 32)) + 1
+            out = [
+                (int(part[0] >> 32), number, (part & 0xFFFFFFFF).astype("<u4").tobytes())
+                for part in np.split(codes, cuts)
+                if len(part)
+            ]
         return pd.DataFrame(out, columns=["bucket", "chunk", "blob"])
 
     return run
@@ -169,12 +184,17 @@ def _send_anchors(range_bits: int):
 
 def _find_shared(rows: pd.DataFrame) -> pd.DataFrame:
     blobs = [np.frombuffer(b, dtype="<u4") for b in rows["blob"]]
-    value, count = np.unique(np.concatenate(blobs), return_counts=True)
-    shared = value[count > 1]
-    out = []
+    values = np.concatenate(blobs)
+    order = np.argsort(values)
+    same = np.diff(values[order]) == 0
+    shared = np.empty(len(values), dtype=bool)
+    shared[order] = np.append(same, False) | np.append(False, same)
+    out, low = [], 0
     for chunk, bucket, blob in zip(rows["chunk"], rows["bucket"], blobs):
-        mine = np.unique(blob[np.isin(blob, shared)])
+        mine = blob[shared[low : low + len(blob)]]
+        low += len(blob)
         if len(mine):
+            mine = mine[np.append(True, mine[1:] != mine[:-1])]
             out.append((chunk, SHARED, bucket, None, mine.tobytes()))
     return pd.DataFrame(out, columns=["chunk", "kind", "bucket", "doc_id", "blob"]).astype({"doc_id": "Int64"})
 
@@ -209,39 +229,56 @@ def _send_contexts(range_bits: int):
 CONTEXTS = "bucket bigint, chunk bigint, context binary, code binary, before binary, size binary, doc binary, text binary"
 
 
+def _smallest_documents(strings: list[bytes], codes: np.ndarray, owners: np.ndarray):
+    """Runs of windows with one smallest document: (string, first window, last window, document), by string.
+
+    An anchor with a single context needs no search: all its windows are the owner's.
+    The contexts of the others are indexed and streamed.
+    """
+    windows = np.array([len(s) for s in strings], dtype=np.int64) - SPAN + 1
+    _, code, uses = np.unique(codes, return_inverse=True, return_counts=True)
+    alone = np.flatnonzero(uses[code] == 1)
+    parts = [(alone, np.zeros(len(alone), dtype=np.int64), windows[alone] - 1, owners[alone])]
+    among = np.flatnonzero(uses[code] > 1)
+    if len(among):
+        several = [strings[i] for i in among]
+        _, best = RunLengthIndex(several, owners[among], SPAN).stream(several)
+        size = windows[among]
+        best = best[:, : int(size.max())]
+        inside = np.arange(best.shape[1])[None] < size[:, None]
+        turn = inside & np.concatenate([np.ones((len(best), 1), dtype=bool), best[:, 1:] != best[:, :-1]], axis=1)
+        string, low = np.nonzero(turn)
+        last = np.append(string[1:] != string[:-1], True)
+        high = np.where(last, size[string] - 1, np.append(low[1:], 0) - 1)
+        parts.append((among[string], low, high, best[string, low]))
+    string, low, high, doc = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(string, kind="stable")
+    return string[order], low[order], high[order], doc[order]
+
+
 def _match_contexts(rows: pd.DataFrame) -> pd.DataFrame:
-    """Index the different contexts of a range, stream them, and tell each chunk of smaller documents."""
+    """Find the smallest document of every window of a range's contexts, and tell the chunks that have larger ones."""
     index: dict[bytes, int] = {}
     smallest: list[int] = []
+    codes: list[int] = []
     held = []
     for row in rows.itertuples(index=False):
-        cuts = np.cumsum(np.frombuffer(row.size, dtype=np.uint8).astype(np.int64))
+        cuts = np.cumsum(np.frombuffer(row.size, dtype=np.uint8).astype(np.int64)).tolist()
         docs = np.frombuffer(row.doc, dtype="<i8")
         which = np.empty(len(docs), dtype=np.int64)
         low = 0
-        for i, high in enumerate(cuts.tolist()):
+        for i, (high, doc, code) in enumerate(zip(cuts, docs.tolist(), np.frombuffer(row.code, dtype="<u4").tolist())):
             at = index.setdefault(row.text[low:high], len(smallest))
             if at == len(smallest):
-                smallest.append(int(docs[i]))
-            elif docs[i] < smallest[at]:
-                smallest[at] = int(docs[i])
+                smallest.append(doc)
+                codes.append(code)
+            elif doc < smallest[at]:
+                smallest[at] = doc
             which[i] = at
             low = high
         held.append((int(row.chunk), int(row.bucket), np.frombuffer(row.context, dtype="<u4"), docs, which))
-    strings = list(index)
-    owners = np.array(smallest, dtype=np.int64)
-    _, best = RunLengthIndex(strings, owners, SPAN).stream(strings)
-    windows = np.array([len(s) for s in strings], dtype=np.int64) - SPAN + 1
-    # runs of windows with one smallest document
-    best = best[:, : int(windows.max())]
-    inside = np.arange(best.shape[1])[None] < windows[:, None]
-    turn = inside & np.concatenate([np.ones((len(best), 1), dtype=bool), best[:, 1:] != best[:, :-1]], axis=1)
-    string, low = np.nonzero(turn)
-    following = np.append(low[1:], 0)
-    last = np.append(string[1:] != string[:-1], True)
-    high = np.where(last, windows[string] - 1, following - 1)
-    value = best[string, low]
-    begin = np.searchsorted(string, np.arange(len(strings) + 1))
+    string, low, high, value = _smallest_documents(list(index), np.array(codes), np.array(smallest, dtype=np.int64))
+    begin = np.searchsorted(string, np.arange(len(smallest) + 1))
     out = []
     for chunk, bucket, context, docs, which in held:
         size = begin[which + 1] - begin[which]
