@@ -8,8 +8,9 @@ a short sketch drops most false meetings, and the sets themselves decide.
 
 Equal sets are one node from the start. Inside a meeting group no pairs are listed: the
 smallest member is compared with all, later rounds compare the next 2, 4, 8 ... members
-with those members that are still in another component. So a crowd of near copies costs
-about one comparison each, and no pair that could join two components is left out.
+with those members that are still in another component and whose distances from the
+smallest member do not rule a link out (triangle inequality). So a crowd of near copies
+costs about one comparison each, and no pair that could join two components is left out.
 """
 
 from __future__ import annotations
@@ -102,23 +103,29 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _linked(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of (a, b) pairs those whose sets link; the short sketch is asked first."""
+def _side(df: DataFrame, name: str, *columns: str) -> DataFrame:
+    return df.select(F.col("doc_id").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
 
-    def side(df: DataFrame, name: str, *columns: str) -> DataFrame:
-        return df.select(F.col("doc_id").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
 
-    both = pairs.join(side(sketches, "a", "n", "sketch"), "a").join(side(sketches, "b", "n", "sketch"), "b")
+def _near(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Of (a, b) pairs those that sizes and sketches do not rule out."""
+    both = pairs.join(_side(sketches, "a", "n", "sketch"), "a").join(_side(sketches, "b", "n", "sketch"), "b")
     flips: Column = F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
     distance = F.aggregate(flips, F.lit(0), lambda s, x: s + x)
     low, high = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    near = both.where(
+    return both.where(
         (100 * low >= percent * high) & ((100 + percent) * distance <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
     ).select("a", "b")
-    met = near.join(side(sets, "a", "hashes"), "a").join(side(sets, "b", "hashes"), "b")
-    common = F.size(F.array_intersect("hashes_a", "hashes_b"))
-    union = F.size("hashes_a") + F.size("hashes_b") - common
-    return met.where(100 * common >= percent * union).select("a", "b")
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, differ, linked): the size of the symmetric difference and whether the sets link."""
+    met = pairs.join(_side(sets, "a", "hashes"), "a").join(_side(sets, "b", "hashes"), "b")
+    total = F.size("hashes_a") + F.size("hashes_b")
+    differ = total - 2 * F.size(F.array_intersect("hashes_a", "hashes_b"))
+    return met.select("a", "b", differ.cast("bigint").alias("differ"), total.alias("total")).select(
+        "a", "b", "differ", ((100 + percent) * F.col("differ") <= (100 - percent) * F.col("total")).alias("linked")
+    )
 
 
 def jaccard_components(docs: DataFrame, percent: int = 90) -> DataFrame:
@@ -144,27 +151,35 @@ def jaccard_components(docs: DataFrame, percent: int = 90) -> DataFrame:
     nodes = stage(nodes, "jaccard-nodes")
     own = nodes.where(F.col("n") >= SizeBands(percent).least).select(F.col("node").alias("doc_id"), *sign)
     heads = stage(known.join(own, ["doc_id", *sign], "left_semi").dropDuplicates(["doc_id", *sign]), "jaccard-heads")
-    blocks = heads.select("doc_id", F.explode("keys").alias("key"))
+    blocks = heads.select("doc_id", "n", F.explode("keys").alias("key"))
     shared = blocks.groupBy("key").agg(F.count("*").alias("size"), F.min("doc_id").alias("head")).where("size > 1")
     members = stage(blocks.join(shared, "key"), "jaccard-members")
     met = members.select("doc_id").distinct()
     sketches = stage(heads.join(met, "doc_id", "left_semi").select("doc_id", "n", "sketch"), "jaccard-sketches")
-    sets = stage(rows.join(met, "doc_id", "left_semi").mapInArrow(_sets, "doc_id bigint, hashes array<bigint>"), "jaccard-sets")
-
-    tried = stage(
-        members.where("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct(),
-        "jaccard-pairs",
+    sets = stage(
+        rows.join(met, "doc_id", "left_semi").mapInArrow(_sets, "doc_id bigint, hashes array<bigint>"), "jaccard-sets"
     )
-    links = stage(_linked(tried, sketches, sets, percent).distinct(), "jaccard-links")
+
+    first = members.where("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
+    first = stage(_compared(first, sets, percent), "jaccard-pairs")
+    tried = first.select("a", "b")
+    links = first.where("linked").select("a", "b").distinct()
     parts = components(links)
+    away = first.groupBy(F.col("a").alias("head"), F.col("b").alias("doc_id")).agg(F.min("differ").alias("away"))
+    # `away`: how many shingles differ between the member and the first of its group. Symmetric
+    # differences obey the triangle inequality, so two members whose `away` lie too far apart cannot link.
+    members = stage(
+        members.where("size > 2").join(away, ["head", "doc_id"], "left").withColumn("away", F.coalesce("away", F.lit(0))),
+        "jaccard-members",
+    )
     done = 1
     while True:
-        placed = members.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-            "key", "doc_id", F.coalesce("component", "doc_id").alias("part"), "size"
+        placed = members.where(F.col("size") >= done + 2).join(
+            parts.withColumnRenamed("node", "doc_id"), "doc_id", "left"
         )
+        placed = placed.select("key", "doc_id", "n", "away", F.coalesce("component", "doc_id").alias("part"))
         open_keys = (
-            placed.where(F.col("size") >= done + 2)
-            .groupBy("key")
+            placed.groupBy("key")
             .agg(F.min("part").alias("low"), F.max("part").alias("high"))
             .where("low < high")
             .select("key")
@@ -177,20 +192,26 @@ def jaccard_components(docs: DataFrame, percent: int = 90) -> DataFrame:
             live.withColumn("rank", F.row_number().over(order))
             .where(F.col("rank") <= 2 * done + 1)
             .where(F.col("rank") > done)
-            .select("key", F.col("doc_id").alias("a"), F.col("part").alias("part_a"))
+            .select("key", *[F.col(c).alias(f"{c}_a") for c in ("doc_id", "n", "away", "part")])
+        )
+        possible = (
+            (F.col("part") != F.col("part_a"))
+            & (F.col("doc_id") > F.col("doc_id_a"))
+            & (100 * F.least("n", "n_a") >= percent * F.greatest("n", "n_a"))
+            & ((100 + percent) * F.abs(F.col("away") - F.col("away_a")) <= (100 - percent) * (F.col("n") + F.col("n_a")))
         )
         pairs = (
-            centres.join(live, "key")
-            .where((F.col("part") != F.col("part_a")) & (F.col("doc_id") > F.col("a")))
-            .select("a", F.col("doc_id").alias("b"))
+            live.alias("m")
+            .join(centres.alias("c"), (F.col("m.key") == F.col("c.key")) & possible)
+            .select(F.col("doc_id_a").alias("a"), F.col("doc_id").alias("b"))
             .distinct()
             .join(tried, ["a", "b"], "left_anti")
         )
         pairs = stage(pairs, "jaccard-pairs")
         tried = tried.unionByName(pairs)
-        new = stage(_linked(pairs, sketches, sets, percent).distinct(), "jaccard-links")
+        new = stage(_compared(_near(pairs, sketches, percent), sets, percent).where("linked"), "jaccard-links")
         if not new.isEmpty():
-            links = links.unionByName(new)
+            links = links.unionByName(new.select("a", "b"))
             parts = components(links)
         done = 2 * done + 1
 
