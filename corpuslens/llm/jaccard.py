@@ -3,13 +3,12 @@
 Sets with Jaccard similarity t or more differ in at most (1 - t)/(1 + t) of the sum of
 their sizes. XOR-ing every shingle into one bit of a sketch, the Hamming distance of two
 sketches is at most that difference; so, with more blocks than it, one block must be
-equal. Documents meet where a block of their size band is equal, the Hamming distance of
-a short sketch drops most false meetings, and the sets themselves decide.
+equal. Documents meet where a block of their size band is equal, and the sets decide.
 
 Equal sets are one node from the start. Inside a meeting group no pairs are listed: the
 smallest member is compared with all, later rounds compare the next 2, 4, 8 ... members
 with those members that are still in another component and whose distances from the
-smallest member do not rule a link out (triangle inequality). So a crowd of near copies
+smallest member (by the triangle inequality) and short sketches do not rule a link out. So a crowd of near copies
 costs about one comparison each, and no pair that could join two components is left out.
 """
 
@@ -107,15 +106,10 @@ def _side(df: DataFrame, name: str, *columns: str) -> DataFrame:
     return df.select(F.col("doc_id").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
 
 
-def _near(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Of (a, b) pairs those that sizes and sketches do not rule out."""
-    both = pairs.join(_side(sketches, "a", "n", "sketch"), "a").join(_side(sketches, "b", "n", "sketch"), "b")
-    flips: Column = F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-    distance = F.aggregate(flips, F.lit(0), lambda s, x: s + x)
-    low, high = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    return both.where(
-        (100 * low >= percent * high) & ((100 + percent) * distance <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
-    ).select("a", "b")
+def _distance(a: str, b: str) -> Column:
+    """Hamming distance of two short sketches."""
+    flips = F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return F.aggregate(flips, F.lit(0), lambda s, x: s + x)
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -184,7 +178,8 @@ def jaccard_components(docs: DataFrame, percent: int = 90) -> DataFrame:
             .where("low < high")
             .select("key")
         )
-        live = stage(placed.join(open_keys, "key", "left_semi"), "jaccard-live")
+        live = placed.join(open_keys, "key", "left_semi").join(sketches.select("doc_id", "sketch"), "doc_id")
+        live = stage(live, "jaccard-live")
         if live.isEmpty():
             break
         order = Window.partitionBy("key").orderBy("doc_id")
@@ -192,13 +187,15 @@ def jaccard_components(docs: DataFrame, percent: int = 90) -> DataFrame:
             live.withColumn("rank", F.row_number().over(order))
             .where(F.col("rank") <= 2 * done + 1)
             .where(F.col("rank") > done)
-            .select("key", *[F.col(c).alias(f"{c}_a") for c in ("doc_id", "n", "away", "part")])
+            .select("key", *[F.col(c).alias(f"{c}_a") for c in ("doc_id", "n", "away", "part", "sketch")])
         )
+        most = (100 - percent) * (F.col("n") + F.col("n_a"))
         possible = (
             (F.col("part") != F.col("part_a"))
             & (F.col("doc_id") > F.col("doc_id_a"))
             & (100 * F.least("n", "n_a") >= percent * F.greatest("n", "n_a"))
-            & ((100 + percent) * F.abs(F.col("away") - F.col("away_a")) <= (100 - percent) * (F.col("n") + F.col("n_a")))
+            & ((100 + percent) * F.abs(F.col("away") - F.col("away_a")) <= most)
+            & ((100 + percent) * _distance("sketch", "sketch_a") <= most)
         )
         pairs = (
             live.alias("m")
@@ -209,7 +206,7 @@ def jaccard_components(docs: DataFrame, percent: int = 90) -> DataFrame:
         )
         pairs = stage(pairs, "jaccard-pairs")
         tried = tried.unionByName(pairs)
-        new = stage(_compared(_near(pairs, sketches, percent), sets, percent).where("linked"), "jaccard-links")
+        new = stage(_compared(pairs, sets, percent).where("linked"), "jaccard-links")
         if not new.isEmpty():
             links = links.unionByName(new.select("a", "b"))
             parts = components(links)
