@@ -58,8 +58,9 @@ def flat_text(text: Column) -> Column:
 
 
 def syllable_runs(flat: Column) -> Column:
-    """One run of `1` per word: vowel groups without a silent final e."""
-    silent = F.regexp_replace(F.concat(flat, F.lit(" ")), "([^aeiouy ])e ", "$1 ")
+    """One run of `1` per word: vowel groups without a silent final e. A digit is no vowel."""
+    no_ones = F.replace(flat, F.lit("1"), F.lit("0"))
+    silent = F.regexp_replace(F.concat(no_ones, F.lit(" ")), "([^aeiouy ])e ", "$1 ")
     voiced = F.regexp_replace(silent, "[aeiouy]+", "1")
     return F.regexp_replace(F.rtrim(voiced), "[^1 ]+", "")
 

@@ -236,12 +236,17 @@ def adaboost_round(
 ) -> DataFrame:
     """One reweighting of a table of predictions: adds `alpha` and `new_weight` (sum 1).
 
+    Without a wrong row alpha is 1, as in `fit_adaboost`, and the weights stay as they are.
+
     The two totals come from one aggregate over the table.
     """
     wrong = F.col(label) != F.col(prediction)
     sums = df.agg(
         F.sum(weight).alias("all"), F.sum(F.when(wrong, F.col(weight)).otherwise(0.0)).alias("bad")
     ).first()
+    if not sums["bad"]:
+        total = sums["all"] or 1.0
+        return df.withColumns({"alpha": F.lit(1.0), "new_weight": F.col(weight) / F.lit(float(total))})
     error = sums["bad"] / sums["all"]
     alpha, updated = adaboost_step(F.col(weight), wrong, F.lit(error), n_classes)
     total = (sums["all"] - sums["bad"]) + sums["bad"] * (1.0 - error) / error * (n_classes - 1)

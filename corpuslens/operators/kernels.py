@@ -97,7 +97,7 @@ def kernel_table(
 
 
 def gamma_scale(df: DataFrame, vec: str) -> DataFrame:
-    """1 / (features * variance of all entries), from one aggregate over the non-zero entries."""
+    """1 / (features * variance of all entries), from one aggregate over the non-zero entries; 1 on constant data."""
     value = packed(df, vec)["values"]
     sums = df.select(
         vector_size(df, vec).alias("d"),
@@ -105,4 +105,4 @@ def gamma_scale(df: DataFrame, vec: str) -> DataFrame:
         F.aggregate(value, F.lit(0.0), lambda a, x: a + x * x).alias("q"),
     ).agg(F.max("d").alias("d"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum("d").alias("n"))
     variance = F.col("q") / F.col("n") - (F.col("s") / F.col("n")) ** 2
-    return sums.select((1.0 / (F.col("d") * variance)).alias("gamma"))
+    return sums.select(F.when(variance > 0, 1.0 / (F.col("d") * variance)).otherwise(F.lit(1.0)).alias("gamma"))

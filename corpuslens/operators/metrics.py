@@ -28,14 +28,16 @@ def confusion_matrix(
 ) -> DataFrame:
     """One row per (truth, predicted), zeros included, over the union of labels."""
     pairs = pair_counts(df, label, prediction)
-    labels = F.array_sort(F.array_union(F.collect_set("truth"), F.collect_set("predicted")))
+    # a bounded number of labels is taken before any set of them is built in one task
+    seen = pairs.select(F.col("truth").alias("truth")).union(pairs.select("predicted")).distinct().limit(MAX_CLASSES + 1)
+    labels = F.array_sort(F.collect_set("truth"))
     checked = F.when(F.size("labels") <= MAX_CLASSES, F.col("labels")).otherwise(
         F.raise_error(F.lit("too many classes for a confusion matrix")).cast(
             f"array<{dict(pairs.dtypes)['truth']}>"
         )
     )
     grid = (
-        pairs.agg(labels.alias("labels"))
+        seen.agg(labels.alias("labels"))
         .select(checked.alias("labels"))
         .select(F.explode("labels").alias("truth"), "labels")
         .select("truth", F.explode("labels").alias("predicted"))

@@ -252,7 +252,7 @@ def voting_experiment(
     C: float = 1.0,
     gamma: float = 0.1,
     svd_k: int | None = None,
-    min_df: bool = True,
+    min_df: bool = False,
     **overrides,
 ) -> dict[str, DataFrame]:
     """TF-IDF, over-sampling, then (here after it) the optional reduction, then a vote."""

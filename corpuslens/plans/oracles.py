@@ -67,11 +67,12 @@ FLAT = (
 THREE_WORDS = r"[^ \t\n\r\f][ \t\n\r\f]+[^ \t\n\r\f]+[ \t\n\r\f]+[^ \t\n\r\f]"
 
 
-def runs_sql(flat: str) -> str:
+def syllables_sql(words: str) -> str:
+    """Syllables of each word by the rule for a word: vowel groups, a final e after a consonant silent, at least 1."""
     return (
-        r"regexp_replace(rtrim(regexp_replace(regexp_replace("
-        + flat
-        + r" || ' ', '([^aeiouy ])e ', '\1 ', 'g'), '[aeiouy]+', '1', 'g')), '[^1 ]+', '', 'g')"
+        f"list_transform({words}, lambda w: greatest(1, len(regexp_extract_all("
+        "CASE WHEN length(w) > 1 AND w[-1:] = 'e' AND w[-2:-2] NOT IN ('a', 'e', 'i', 'o', 'u', 'y') "
+        "THEN w[:-2] ELSE w END, '[aeiouy]+'))))"
     )
 
 
@@ -91,20 +92,21 @@ def counted() -> str:
     first = f"regexp_extract(text, '{R.FIRST_100}', 1)"
     first_flat = FLAT.replace("lower(text)", "lower(first)")
     return f"""flat0 AS (SELECT *, {FLAT} AS flat, {first} AS first FROM corpus),
-flat1 AS (SELECT *, {runs_sql('flat')} AS runs, list_filter(string_split(flat, ' '), lambda w: w <> '') AS ws,
-  {runs_sql(first_flat)} AS first_runs, len(string_split_regex(first, '{R.SPACE}')) AS first_words,
+flat1 AS (SELECT *, list_filter(string_split(flat, ' '), lambda w: w <> '') AS ws,
+  {syllables_sql("list_filter(string_split(flat, ' '), lambda w: w <> '')")} AS syl,
+  {syllables_sql(f"list_filter(string_split({first_flat}, ' '), lambda w: w <> '')")} AS first_syl, len(string_split_regex(first, '{R.SPACE}')) AS first_words,
   {sentences_sql('first')} AS first_sentences FROM flat0),
 counted AS (SELECT *, len(ws) AS words,
   {sentences_sql('text')} AS sentences,
-  length(replace(runs, ' ', '')) + len(ws) - {matches('runs', '1+')} AS syllables,
-  {matches('runs', '111+')} AS polysyllables,
-  len(ws) - {matches('runs', '11+')} AS monosyllables,
+  coalesce(list_sum(syl), 0)::INTEGER AS syllables,
+  len(list_filter(syl, lambda n: n >= 3)) AS polysyllables,
+  len(list_filter(syl, lambda n: n < 2)) AS monosyllables,
   length(replace(flat, ' ', '')) AS letters,
   len(list_filter(ws, lambda w: length(w) <= 3)) AS miniwords,
   len(list_filter(ws, lambda w: w IN {EASY})) AS easy,
-  len(list_filter(list_zip(ws, string_split(runs, ' ')),
-    lambda p: length(p[2]) >= 3 AND p[1] NOT IN {EASY})) AS hard,
-  {matches('first_runs', '111+')} AS first_hard FROM flat1)"""
+  len(list_filter(list_zip(ws, syl),
+    lambda p: p[2] >= 3 AND p[1] NOT IN {EASY})) AS hard,
+  len(list_filter(first_syl, lambda n: n >= 3)) AS first_hard FROM flat1)"""
 
 
 LINSEAR = "((first_words - first_hard) + 3 * first_hard) / CAST(first_sentences AS DOUBLE)"
@@ -422,7 +424,7 @@ def oracles() -> dict[str, str]:
             ALL,
             tokenised(),
             f"lex0 AS (SELECT unnest({tokens_sql(CLEAN)}) AS word FROM benchmark)",
-            "lex AS (SELECT word FROM lex0 GROUP BY word HAVING count(*) >= 3)",
+            "lex AS (SELECT DISTINCT word FROM lex0)",
             "long AS (SELECT doc_id, unnest(tokens) AS word FROM tok)",
             f"hits AS (SELECT doc_id, CASE WHEN lex.word IS NOT NULL THEN 'JJ' ELSE {tag_sql('long.word')} END AS tag "
             "FROM long LEFT JOIN lex ON long.word = lex.word)",
@@ -436,7 +438,7 @@ def oracles() -> dict[str, str]:
         + "\nSELECT doc_id, ids AS input_ids, CAST(used AS INTEGER) AS n_used FROM encoded"
     )
     q["token_vocabulary_table"] = (
-        join(ALL, tokenised(), encoding("tok", 5000, 512)) + "\nSELECT token, n, token_id FROM vocab"
+        join(ALL, tokenised(), encoding("tok", 30522, 512)) + "\nSELECT token, n, token_id FROM vocab"
     )
 
     # projections and samples
@@ -685,7 +687,7 @@ SELECT CAST(doc_id AS VARCHAR) AS id, CASE split WHEN 'validation' THEN 'valid'
             tokenised(),
             three_way("corpus", 0.2, "doc_id, label"),
             "train_tok AS (SELECT tokens FROM tok WHERE doc_id IN (SELECT doc_id FROM three WHERE split = 'train'))",
-            encoding("train_tok", 30522, 64),
+            encoding("train_tok", 30522, 512),
         )
         + "\nSELECT e.doc_id, split, ids AS input_ids, CASE WHEN label = 0 THEN '1 0' ELSE '0 1' END AS labels "
         "FROM encoded e JOIN three t ON e.doc_id = t.doc_id"

@@ -131,15 +131,20 @@ class DatasetRegistry:
 
 
 def fit_or_load(path: str, estimator, df: DataFrame) -> PipelineModel:
-    """The stored model if there is one, else a fitted model that is stored first."""
+    """The stored model if there is a whole one, else a fitted model that is stored first.
+
+    An empty file `_COMPLETE` is written last: a folder without it was cut off by a failure.
+    """
     spark = df.sparkSession
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if files.exists(hadoop):
+    complete = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(hadoop, "_COMPLETE")
+    if files.exists(complete):
         return PipelineModel.load(path)
     stages = estimator if isinstance(estimator, Pipeline) else Pipeline(stages=[estimator])
     model = stages.fit(df)
     model.write().overwrite().save(path)
+    files.create(complete).close()
     return model
 
 

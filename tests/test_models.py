@@ -86,6 +86,8 @@ def test_kernels(spark):
     assert gamma_scale(df, "features").first().gamma == pytest.approx(1 / (2 * np.var([1, 2, 3, 6])))
     sparse = spark.createDataFrame([(1, Vectors.sparse(4, [1], [2.0])), (2, Vectors.dense([1, 0, 3, 0]))], ["doc_id", "v"])
     assert gamma_scale(sparse, "v").first().gamma == pytest.approx(1 / (4 * np.var([0, 2, 0, 0, 1, 0, 3, 0])))
+    same = spark.createDataFrame([(1, [2.0, 2.0]), (2, [2.0, 2.0])], "doc_id int, features array<double>")
+    assert gamma_scale(same, "features").first().gamma == 1.0
     table = kernel_table(df, df.where("doc_id = 2"), "sigmoid", 0.01, "features").collect()
     assert {(r.doc_id, r.landmark) for r in table} == {(1, 2), (2, 2)}
 
@@ -187,6 +189,12 @@ def test_boost_round_weights(spark):
     assert [r.new_weight for r in rows] == pytest.approx([w / sum(raw) for w in raw])
 
 
+def test_boost_round_without_a_wrong_row(spark):
+    df = spark.createDataFrame([(1, 0, 0, 1.0), (2, 1, 1, 3.0)], "doc_id int, label int, prediction int, w double")
+    rows = V.adaboost_round(df, "label", "prediction", "w", 2).orderBy("doc_id").collect()
+    assert [(r.alpha, r.new_weight) for r in rows] == [(1.0, 0.25), (1.0, 0.75)]
+
+
 def test_linear_shap_and_tables(spark):
     df = spark.createDataFrame([(1, 1.0, 10.0), (2, 3.0, 30.0)], "doc_id int, a double, b double")
     phi = A.linear_shap(df, {"a": 2.0, "b": -0.1})

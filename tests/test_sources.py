@@ -118,6 +118,8 @@ def test_fit_or_load(spark, tmp_path):
     first = fit_or_load(path, stages, df).transform(df).select("s").collect()
     other = spark.createDataFrame([(100.0, 100.0)], "a double, b double")
     assert fit_or_load(path, stages, other).transform(df).select("s").collect() == first
+    (tmp_path / "model" / "_COMPLETE").unlink()  # as if the writer had been cut off
+    assert fit_or_load(path, stages, other).transform(df).select("s").collect() != first
 
 
 def test_stream_equals_batch(spark, tmp_path):

@@ -155,3 +155,14 @@ def test_easy_words_from_table(spark):
     df = spark.createDataFrame([(1, "zebra cat")], "doc_id int, text string")
     easy = spark.createDataFrame([("Zebra",)], "word string")
     assert with_counts(df, easy_words=easy).first().easy == 1
+
+
+def test_digits_are_not_syllables(spark):
+    from corpuslens.functions import readability as R
+
+    words = ["111", "2011", "a1", "1", "1e", "table1", "be1a"]
+    df = spark.createDataFrame([(w,) for w in words], "w string").withColumn("flat", R.flat_text(F.col("w")))
+    df = df.withColumn("runs", R.syllable_runs(F.col("flat")))
+    got = df.select("w", R.syllable_count(F.col("runs"), F.lit(1)).alias("n"), R.polysyllable_count(F.col("runs")).alias("p"))
+    assert {r.w: r.n for r in got.collect()} == {"111": 1, "2011": 1, "a1": 1, "1": 1, "1e": 1, "table1": 2, "be1a": 2}
+    assert {r.p for r in got.collect()} == {0}
