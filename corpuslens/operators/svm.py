@@ -124,18 +124,16 @@ class SvmSpec:
     def _calibrated(self, model, data, vec, label, id_col, weight) -> SvmModel:
         """Logistic curves fitted on margins of rows the margin model has not seen.
 
-        Each row decides by its own hash whether it is held out: no shuffle.
+        Each row decides by its own hash whether it is held out: no shuffle. A class
+        without rows on both sides of that draw is an error.
         """
         out = hash_unit(id_col, f"{self.seed}:calibrate") < HELD_OUT
         counts = class_counts(data.where(out), label)
-        if len(counts) == len(model.classes) and len(class_counts(data.where(~out), label)) == len(
-            counts
-        ):
-            part = replace(self, probability=False).fit(data.where(~out), vec, label, id_col, weight)
-            scored = part.transform(data.where(out), vec)
-        else:
-            # A class too small to be on both sides: the margins of the training rows.
-            scored, counts = model.transform(data, vec), class_counts(data, label)
+        thin = set(model.classes) - (counts.keys() & class_counts(data.where(~out), label).keys())
+        if thin:
+            raise ValueError(f"too few rows to calibrate probabilities for {sorted(thin)}")
+        part = replace(self, probability=False).fit(data.where(~out), vec, label, id_col, weight)
+        scored = part.transform(data.where(out), vec)
         n = sum(counts.values())
         scored = _few_tasks(scored.select(label, "margins"), n).persist()
         curves = []

@@ -69,6 +69,12 @@ def test_probabilities(blobs, ring):
     assert all(a[1] <= b[1] + 1e-12 for a, b in zip(pairs, pairs[1:]))
 
 
+def test_calibration_refuses_a_thin_class(ring):
+    one = ring.where("label = 1").limit(1).unionByName(ring.where("label <> 1"))
+    with pytest.raises(ValueError, match="too few rows to calibrate"):
+        SvmSpec(probability=True, max_iter=5).fit(one)
+
+
 def test_model_roundtrip(spark, ring, tmp_path):
     model = SvmSpec(kernel="rbf", gamma=1.0, n_landmarks=10, probability=True, max_iter=10).fit(ring)
     model.save(spark, str(tmp_path / "m"))
