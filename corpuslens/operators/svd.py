@@ -16,9 +16,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from corpuslens.functions.vectors import dense, packed, vector_width
 
-MAX_FEATURES = 20_000
+MAX_FEATURES = 50_000
 OVERSAMPLING = 10
-BATCH_ROWS = 512
+BATCH_CELLS = 10_000_000
 
 
 @dataclass
@@ -35,7 +35,11 @@ def _product(rows: Column, components: np.ndarray) -> Column:
     @F.pandas_udf("array<double>")
     def product(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series(list(dense(batch, len(components)) @ components), dtype=object)
+            step = max(1, BATCH_CELLS // len(components))
+            found = []
+            for start in range(0, len(batch), step):
+                found.extend(dense(batch.iloc[start : start + step], len(components)) @ components)
+            yield pd.Series(found, dtype=object)
 
     return product(rows)
 
@@ -47,9 +51,10 @@ def _gram_times(rows: DataFrame, q: np.ndarray) -> np.ndarray:
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((width, cols))
+        step = max(1, BATCH_CELLS // width)
         for batch in batches:
-            for start in range(0, len(batch), BATCH_ROWS):
-                part = dense(batch.iloc[start : start + BATCH_ROWS], width)
+            for start in range(0, len(batch), step):
+                part = dense(batch.iloc[start : start + step], width)
                 total += part.T @ (part @ shared.value)
         for start in range(0, width, 2048):
             chunk = total[start : start + 2048]
