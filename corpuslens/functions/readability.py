@@ -144,15 +144,17 @@ def coleman_liau(letters: Column, words: Column, sentences: Column) -> Column:
     return F.when(words == 0, F.lit(0.0)).otherwise(value)
 
 
-def linsear_write(first: Column) -> Column:
-    """The formula over the first 100 words (`first` from `first_100`)."""
-    runs = syllable_runs(flat_text(first))
-    hard = polysyllable_count(runs)
-    n_words = F.size(F.split(first, SPACE))
-    number = ((n_words - hard) + 3 * hard) / sentence_count(marked_text(first))
-    return F.when(first == "", F.lit(0.0)).otherwise(
-        F.when(number > 20, number / 2).otherwise((number - 2) / 2)
-    )
+def linsear_number(first: Column) -> Column:
+    """Points per sentence of the first 100 words (`first` from `first_100`); NULL without words."""
+    hard = polysyllable_count(syllable_runs(flat_text(first)))
+    points = F.size(F.split(first, SPACE)) + 2 * hard
+    return F.when(first != "", points / sentence_count(marked_text(first)))
+
+
+def linsear_write(number: Column) -> Column:
+    """The formula over a column of `linsear_number`: a column, so that it is computed once."""
+    scaled = F.when(number > 20, number / 2).otherwise((number - 2) / 2)
+    return F.when(number.isNull(), F.lit(0.0)).otherwise(scaled)
 
 
 def first_100(text: Column) -> Column:

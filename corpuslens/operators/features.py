@@ -37,10 +37,11 @@ def with_counts(
                 "miniwords": R.miniword_count(F.col("_words")),
                 "easy": R.easy_count(F.col("_words"), easy),
                 "hard": R.hard_count(F.col("_words"), F.col("_runs"), easy),
-                "first": R.first_100(raw),
+                "_first": R.first_100(raw),
             }
         )
-        .drop("_flat", "_runs", "_words")
+        .withColumn("linsear", R.linsear_number(F.col("_first")))
+        .drop("_flat", "_runs", "_words", "_first")
     )
 
 
@@ -54,7 +55,7 @@ def readability_scores(text: Column | str = "text") -> dict[str, Column]:
         "flesch_kincaid_grade_level": R.flesch_kincaid_grade(words, sentences, syllables),
         "gunning_fog_scale": R.gunning_fog(words, sentences, F.col("hard")),
         "coleman_liau_index": R.coleman_liau(F.col("letters"), words, sentences),
-        "linsear_write_formula": R.linsear_write(F.col("first")),
+        "linsear_write_formula": R.linsear_write(F.col("linsear")),
         "dale_chall_readability": R.dale_chall(words, sentences, F.col("easy")),
         "mcalpine_eflaw_readability": R.mcalpine_eflaw(words, F.col("miniwords"), sentences),
         "reading_time": R.reading_time(raw),

@@ -15,6 +15,7 @@ from corpuslens.functions.hashing import hash_key
 from corpuslens.schema import ID
 
 SPLITS = 255
+BUCKET_ROWS = 20_000
 
 
 def hash_rank(
@@ -23,14 +24,18 @@ def hash_rank(
     id_col: str = ID,
     seed: int | str = 42,
     out: str = "rn",
+    rows: int = 0,
 ) -> DataFrame:
     """0-based position of each row in seeded hash order, within `by`.
 
-    Buckets are the first three hex digits of the hash: 4,096 buckets of equal
-    expected size, whatever the ids look like.
+    Buckets are the first hex digits of the hash, of equal expected size whatever the
+    ids look like: three digits, and more where `rows`, the number of rows, asks for it.
     """
+    digits = 3
+    while rows > BUCKET_ROWS * 16**digits:
+        digits += 1
     keyed = df.withColumn("_key", hash_key(id_col, seed)).withColumn(
-        "_bucket", F.substring("_key", 1, 3)
+        "_bucket", F.substring("_key", 1, digits)
     )
     return _number(keyed, list(by or []), [F.col("_key"), F.col(id_col)], out).drop("_key")
 
@@ -72,6 +77,41 @@ def _number(keyed: DataFrame, by: list[str], order: list[Column], out: str) -> D
     )
 
 
+def hash_bounds(
+    df: DataFrame, places: dict, label: str | None, id_col: str = ID, seed: int | str = 42
+) -> dict[tuple, tuple]:
+    """(class, place) -> (hash, id) of the row at that 0-based place of its class in hash order.
+
+    Only the id and the label are ranked; the few rows asked for come to the driver, and a
+    wide table is then cut by comparing each row's own hash with them. `places` has a list
+    of places for each class (of the one class None, without a label).
+    """
+    narrow = df.select(*([label] if label else []), id_col)
+    ranked = hash_rank(narrow, [label] if label else [], id_col, seed, "_rn", sum(max(p, default=0) for p in places.values()))
+    return _rows_at(ranked.withColumn("_key", hash_key(id_col, seed)), places, label, ("_key", id_col))
+
+
+def ordered_bounds(df: DataFrame, order_col: str, places: dict, label: str) -> dict[tuple, tuple]:
+    """(class, place) -> (value,) of the row at that 0-based place of its class in the order of `order_col`."""
+    ranked = ordered_rank(df.select(label, order_col), order_col, [label], "_rn")
+    return _rows_at(ranked, places, label, (order_col,))
+
+
+def _rows_at(ranked: DataFrame, places: dict, label: str | None, names: tuple[str, ...]) -> dict[tuple, tuple]:
+    lists = {c: F.array(*[F.lit(p).cast("bigint") for p in ps]) for c, ps in places.items() if ps}
+    if not lists:
+        return {}
+    wanted = by_class(label, lists) if label else lists[None]
+    rows = ranked.where(F.array_contains(wanted, F.col("_rn"))).collect()
+    return {(r[label] if label else None, r._rn): tuple(r[n] for n in names) for r in rows}
+
+
+def hash_below(bound: tuple, id_col: str = ID, seed: int | str = 42) -> Column:
+    """Whether a row stands at or before the row `bound` of `hash_bounds`."""
+    key = hash_key(id_col, seed)
+    return (key < F.lit(bound[0])) | ((key == F.lit(bound[0])) & (F.col(id_col) <= F.lit(bound[1])))
+
+
 def class_counts(df: DataFrame, label: str = "label", limit: int = 10_000) -> dict:
     """Rows per label, on the driver; refuses a column that is not a class label."""
     rows = df.groupBy(label).agg(F.count("*").alias("n")).limit(limit + 1).collect()

@@ -7,15 +7,17 @@ from pyspark.sql import DataFrame, functions as F
 from corpuslens.functions.hashing import hash_int, hash_unit
 from corpuslens.operators.neighbors import knn_join
 from corpuslens.operators.ranking import by_class, class_counts, hash_rank
+from corpuslens.operators.splits import first_of_class
 from corpuslens.schema import ID, LABEL
 
 
 def under_sample(
     df: DataFrame, seed: int = 42, label: str = LABEL, id_col: str = ID
 ) -> DataFrame:
-    """Every class cut to the size of the smallest one, without replacement."""
-    least = min(class_counts(df, label).values())
-    return hash_rank(df, [label], id_col, seed, "_rn").where(F.col("_rn") < least).drop("_rn")
+    """Every class cut to the size of the smallest one, without replacement. Ids are unique; no row moves."""
+    counts = class_counts(df, label)
+    least = min(counts.values())
+    return df.where(first_of_class(df, dict.fromkeys(counts, least), seed, label, id_col))
 
 
 def smote(

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from corpuslens.functions.hashing import hash_unit
-from corpuslens.operators.ranking import by_class, class_counts, hash_rank, ordered_rank
+from corpuslens.operators.ranking import by_class, class_counts, hash_below, hash_bounds, ordered_bounds
 from corpuslens.schema import ID, LABEL
 
 
@@ -33,11 +33,15 @@ def train_quotas(counts: dict, test_fraction: float) -> dict:
 def stratified_split(
     df: DataFrame, test_fraction: float = 0.2, seed: int = 42, label: str = LABEL, id_col: str = ID
 ) -> DataFrame:
-    """Adds `split` (train/test) with the class proportions kept."""
-    quotas = train_quotas(class_counts(df, label), test_fraction)
-    ranked = hash_rank(df, [label], id_col, seed, "_rn")
-    train = F.col("_rn") < by_class(label, quotas)
-    return ranked.withColumn("split", F.when(train, "train").otherwise("test")).drop("_rn")
+    """Adds `split` (train/test) with the class proportions kept. Ids are unique; no row moves."""
+    train = first_of_class(df, train_quotas(class_counts(df, label), test_fraction), seed, label, id_col)
+    return df.withColumn("split", F.when(train, "train").otherwise("test"))
+
+
+def first_of_class(df: DataFrame, quotas: dict, seed: int, label: str = LABEL, id_col: str = ID) -> Column:
+    """Whether a row is among the first `quotas[class]` rows of its class in hash order."""
+    last = hash_bounds(df, {c: [q - 1] if q else [] for c, q in quotas.items()}, label, id_col, seed)
+    return by_class(label, {c: hash_below(bound, id_col, seed) for (c, _), bound in last.items()}, False)
 
 
 def random_split3(
@@ -46,7 +50,8 @@ def random_split3(
     """Adds `split` (train/test/validation); `held_out` is halved into test and validation.
 
     0.2 gives 80/10/10 and 0.3 gives 70/15/15. `exact=False` needs no shuffle:
-    each row decides from its own hash and the sizes are only expected sizes.
+    each row decides from its own hash and the sizes are only expected sizes. `exact=True`
+    ranks the ids alone, which are unique, to find the two rows where the parts meet.
     """
     if not exact:
         u = hash_unit(id_col, seed)
@@ -57,14 +62,12 @@ def random_split3(
     n = df.count()
     held = exact_fraction(held_out, n)
     validation = exact_fraction(0.5, held)
-    ranked = hash_rank(df, [], id_col, seed, "_rn")
-    position = F.col("_rn")
-    return ranked.withColumn(
-        "split",
-        F.when(position < n - held, "train")
-        .when(position < n - validation, "test")
-        .otherwise("validation"),
-    ).drop("_rn")
+    ends = [n - held, n - validation]
+    last = hash_bounds(df, {None: [e - 1 for e in ends if e]}, None, id_col, seed)
+    before = [hash_below(last[None, e - 1], id_col, seed) if e else F.lit(False) for e in ends]
+    return df.withColumn(
+        "split", F.when(before[0], "train").when(before[1], "test").otherwise("validation")
+    )
 
 
 def fold_sizes(counts: dict, k: int = 5) -> dict[object, list[int]]:
@@ -80,15 +83,20 @@ def fold_sizes(counts: dict, k: int = 5) -> dict[object, list[int]]:
 def stratified_kfold(
     df: DataFrame, k: int = 5, label: str = LABEL, id_col: str = ID, out: str = "fold"
 ) -> DataFrame:
-    """Adds the fold number; the rows of a class are cut in id order, unshuffled."""
+    """Adds the fold number; the rows of a class are cut in id order, unshuffled.
+
+    Only ids and labels are ranked, to find the first id of each fold; no row moves.
+    """
     sizes = fold_sizes(class_counts(df, label), k)
-    ends = {c: [sum(s[: i + 1]) for i in range(k)] for c, s in sizes.items()}
-    bounds = by_class(
-        label, {c: F.array(*[F.lit(e).cast("bigint") for e in e_list]) for c, e_list in ends.items()}
-    )
-    ranked = ordered_rank(df, id_col, [label], "_rn")
-    fold = F.size(F.filter(bounds, lambda end: end <= F.col("_rn")))
-    return ranked.withColumn(out, fold.cast("int")).drop("_rn")
+    # Places where a fold begins; one that begins behind the last row of its class is empty.
+    starts = {c: [p for i in range(1, k) if (p := sum(s[:i])) < sum(s)] for c, s in sizes.items()}
+    first = ordered_bounds(df, id_col, starts, label)
+    kind = df.schema[id_col].dataType
+    bounds = {c: F.array(*[F.lit(first[c, p][0]).cast(kind) for p in ps]) for c, ps in starts.items() if ps}
+    if not bounds:
+        return df.withColumn(out, F.lit(0))
+    below = F.filter(by_class(label, bounds), lambda start: start <= F.col(id_col))
+    return df.withColumn(out, F.coalesce(F.size(below), F.lit(0)).cast("int"))
 
 
 def split_counts(df: DataFrame, label: str = LABEL) -> DataFrame:

@@ -23,7 +23,7 @@ from corpuslens.functions.hashing import hash_unit
 from corpuslens.operators.kernels import KernelFeatures, gamma_scale, landmarks
 from corpuslens.operators.ranking import by_class, class_counts
 from corpuslens.schema import ID, LABEL
-from corpuslens.session import side_by_side
+from corpuslens.session import side_by_side, stage
 
 MAX_CLASSES = 100
 ROWS_PER_TASK = 10_000
@@ -78,6 +78,8 @@ class SvmSpec:
         for m in maps:
             mapped = m.transform(mapped)
         features = "_kernel" if maps else vec
+        if maps:  # every class and every step of the optimiser reads the kernel values again
+            mapped = stage(mapped.select(label, features, *([weight] if weight else [])), "kernel")
         classes = list(counts)
         n = sum(counts.values())
         if len(classes) == 2 or self.multiclass == "ovo":

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from corpuslens.functions.hashing import hash_key, hash_unit
 from corpuslens.operators.ranking import hash_rank, ordered_rank
+from corpuslens.operators.resample import under_sample
 from corpuslens.operators.relational import map_label, one_hot, sample_n
 from corpuslens.operators.splits import (
     fold_sizes,
@@ -125,3 +126,30 @@ def test_same_choice_for_any_partitioning(spark, partitions):
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert got == want
     assert folds == sorted(map(tuple, stratified_kfold(df).collect()))
+
+
+def test_cuts_move_no_row(spark):
+    df = corpus(spark, {0: 70, 1: 20, 2: 11}).withColumn("text", F.lit("a wide column"))
+    for out in (stratified_split(df), random_split3(df), stratified_kfold(df), under_sample(df)):
+        assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cuts_equal_ranks(spark):
+    sizes = {0: 70, 1: 20, 2: 3}
+    df = corpus(spark, sizes)
+    rank = {r.doc_id: r.rn for r in hash_rank(df, ["label"]).collect()}
+    quota = train_quotas(sizes, 0.2)
+    assert all((r.split == "train") == (rank[r.doc_id] < quota[r.label]) for r in stratified_split(df).collect())
+    kept = {r.doc_id for r in under_sample(df).collect()}
+    assert kept == {i for i, n in rank.items() if n < 3}
+
+
+def test_more_digits_for_more_rows(spark):
+    df = corpus(spark, {0: 500})
+    plain = {r.doc_id: r.rn for r in hash_rank(df).collect()}
+    assert plain == {r.doc_id: r.rn for r in hash_rank(df, rows=10**9).collect()}
+
+
+def test_three_way_of_few_rows(spark):
+    assert random_split3(corpus(spark, {0: 0})).count() == 0
+    assert [r.split for r in random_split3(corpus(spark, {0: 1})).collect()] == ["validation"]
