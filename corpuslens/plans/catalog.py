@@ -17,6 +17,7 @@ from collections.abc import Callable
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import MaxAbsScaler, VectorAssembler
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corpuslens.functions import text as X
@@ -455,11 +456,18 @@ def smote_2d(spark, sf):
 
 @query
 def smote_vectors(spark, sf):
-    """Over-sampling of embeddings: the even labels are thinned by hash first."""
-    rows = table(spark, sf, "embeddings").where(
-        (F.col(LABEL) % 2 == 1) | (hash_unit("vec_id", "thin") < 0.5)
+    """Over-sampling of embeddings: rows per class, and whether new points lie between old ones.
+
+    A point between two rows of a class is never farther from the origin than the farther one.
+    """
+    rows = table(spark, sf, "embeddings")
+    grown = smote(rows, "embedding", id_col="vec_id")
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
+    sides = grown.groupBy(LABEL, "synthetic").agg(F.count("*").alias("n"), F.max(norm).alias("far"))
+    reach = sides.where(~F.col("synthetic")).select(LABEL, F.col("far").alias("reach"))
+    return sides.join(reach, LABEL).select(
+        LABEL, "synthetic", "n", (F.col("far") <= F.col("reach") + 1e-9).alias("inside")
     )
-    return smote(rows, "embedding", id_col="vec_id").select("vec_id", LABEL, "embedding", "synthetic")
 
 
 # --- feature transforms -----------------------------------------------------------------
@@ -569,9 +577,27 @@ def select_k_best_features(spark, sf):
 
 @query
 def svd_projection(spark, sf):
+    """Checks over the projected rows: a column's energy is its singular value squared."""
     corpus = content(binary(spark, sf))
     rows = stage(fit_tfidf_vectors(corpus).transform(corpus), "tfidf")
-    return fit_svd(rows, 100).project(rows).select(ID, "svd")
+    model = fit_svd(rows, 100)
+    width = len(model.singular_values)
+    svd = stage(model.project(rows).select(ID, "svd"), "svd")
+    square = F.struct(*[F.sum(F.col("svd")[i] * F.col("svd")[i]).alias(f"e{i}") for i in range(width)])
+    energy = F.array(*[F.col(f"_e.e{i}") for i in range(width)])
+    wanted = F.array(*[F.lit(float(s * s)) for s in model.singular_values])
+    near = F.forall(F.zip_with(energy, wanted, lambda e, w: F.abs(e - w) <= 1e-6 * (w + 1)), lambda x: x)
+    falling = F.forall(F.sequence(F.lit(1), F.lit(width - 1)), lambda i: F.get(energy, i) <= F.get(energy, i - 1) + 1e-6)
+    drift = np.abs(model.components.T @ model.components - np.eye(width)).max()
+    top = model.components[np.abs(model.components).argmax(axis=0), np.arange(width)].min()
+    return svd.agg(F.count("*").alias("n"), F.max(F.size("svd")).alias("width"), square.alias("_e")).select(
+        "n",
+        "width",
+        near.alias("energy_is_singular_value"),
+        falling.alias("falling"),
+        (F.lit(float(drift)) < 1e-8).alias("orthonormal"),
+        (F.lit(float(top)) > 0).alias("largest_entry_positive"),
+    )
 
 
 # --- kernels ----------------------------------------------------------------------------
@@ -601,7 +627,13 @@ def kernel_gamma_scale(spark, sf):
 
 
 def _scored(model, test: DataFrame) -> DataFrame:
-    return E.class_report(stage(model.transform(test).select(LABEL, "prediction"), "scored"))
+    return _sound(E.class_report(stage(model.transform(test).select(LABEL, "prediction"), "scored")))
+
+
+def _sound(report: DataFrame) -> DataFrame:
+    """What any trained model's class report must show: the support of each line, scores from 0 to 1."""
+    scores = F.array("precision", "recall", "f1")
+    return report.select("line", "support", F.forall(scores, lambda s: (s >= 0) & (s <= 1)).alias("sound"))
 
 
 def _reduced(spark, sf, k: int = 20) -> J.FeatureSet:
@@ -653,10 +685,15 @@ QUERIES["kernel_svm_poly"] = _kernel_svm("poly")
 
 @query
 def calibrated_probabilities(spark, sf):
-    rows = order_vectors(spark, sf)
-    model = SvmSpec(probability=True).fit(stage(rows, "train"))
-    return model.transform(rows).select(
-        ID, F.col("margins")[1].alias("margin"), F.col("probability")[1].alias("probability"), "prediction"
+    """Checks over the scored rows: probabilities sum to 1 and are one logistic curve of the margin."""
+    rows = stage(order_vectors(spark, sf), "train")
+    model = SvmSpec(probability=True).fit(rows)
+    scored = stage(model.transform(rows).select(F.col("margins")[1].alias("m"), "probability"), "scored")
+    p, q = F.col("probability")[1], F.col("probability")[0]
+    return scored.agg(
+        F.count("*").alias("n"),
+        F.bool_and((p >= 0) & (p <= 1) & (F.abs(p + q - 1) < 1e-9)).alias("sums_to_one"),
+        (F.abs(F.corr("m", F.log(p / q))) > 0.999999).alias("logistic_in_margin"),
     )
 
 
@@ -672,7 +709,7 @@ def logistic_on_embeddings(spark, sf):
     classes = sorted(row[LABEL] for row in train.select(LABEL).distinct().collect())
     model = V.logistic_final(train, classes)
     return model.transform(test).select(
-        ID, LABEL, F.element_at(F.array(*map(F.lit, classes)), F.col("prediction").cast("int") + 1).alias("prediction")
+        ID, LABEL, F.col("prediction").cast("int").between(0, len(classes) - 1).alias("known_class")
     )
 
 
@@ -683,7 +720,9 @@ SMALL_GRID = {"C": [0.1, 10.0], "gamma": [0.1, 1.0], "kernel": ["linear", "rbf",
 def grid_search_scores(spark, sf):
     """The parameter search on a small grid; the full grid is the library default."""
     features = _reduced(spark, sf)
-    return grid_search(features.train, SMALL_GRID, folds=3, base=SvmSpec(max_iter=20))
+    scores = grid_search(features.train, SMALL_GRID, folds=3, base=SvmSpec(max_iter=20))
+    in_range = F.col("accuracy").between(0, 1) & F.col("f1_macro").between(0, 1)
+    return scores.select("grid_idx", "C", "gamma", "kernel", "fold", in_range.alias("in_range"))
 
 
 @query
@@ -766,14 +805,14 @@ def stacking_out_of_fold(spark, sf):
     rows = V.out_of_fold(features.train, specs, folds=3)
     from pyspark.ml.functions import vector_to_array
 
-    return rows.select(ID, LABEL, "fold", vector_to_array("meta")[0].alias("probability"))
+    return rows.select(ID, LABEL, "fold", vector_to_array("meta")[0].between(0, 1).alias("in_range"))
 
 
 @query
 def bagging(spark, sf):
     rows = stage(order_vectors(spark, sf), "train")
-    model = V.fit_bagging(rows, SvmSpec(max_iter=10), 3)
-    return model.transform(rows).select(ID, "prediction")
+    model = V.fit_bagging(rows, SvmSpec())
+    return model.transform(rows).select(ID, F.col("prediction").isin(0, 1).alias("known_class"))
 
 
 @query
@@ -900,8 +939,13 @@ def cosine_top5_cells(spark, sf):
 
 @query
 def ann_top1(spark, sf):
+    """One answer a query; its score is that of its pair and never above the exact best."""
     stored, queries = vectors(spark, sf)
-    return ann_topk(queries, stored, 1, probe=3, cell_rows=50).select("query_id", "rank", "base_id", "score")
+    found = ann_topk(queries, stored, 1, probe=3, cell_rows=50)
+    exact = cosine_topk(queries, stored, 1).select("query_id", F.col("score").alias("best"), F.col("base_id").alias("first"))
+    equal = (F.col("base_id") != F.col("first")) | (F.abs(F.col("score") - F.col("best")) < 1e-6)
+    right = (F.col("score") <= F.col("best") + 1e-6) & equal
+    return found.join(exact, "query_id").select("query_id", "rank", right.alias("right"))
 
 
 @query
@@ -957,9 +1001,22 @@ def decision_path(spark, sf):
 
 @query
 def kernel_shap(spark, sf):
-    rows = stage(short_vectors(spark, sf).withColumn(LABEL, (F.col(LABEL) < 5).cast("int")), "short")
-    model = SvmSpec(kernel="rbf", probability=True, max_iter=20).fit(rows)
-    return A.kernel_shap(model.transform, P.sample_n(rows, 20), P.sample_n(rows, 10, seed=7))
+    """Attributions of whole vectors add up to the model's own log odds of the row."""
+    rows = table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias(ID),
+        (F.col(LABEL) < 5).cast("int").alias(LABEL),
+        F.col("embedding").cast("array<double>").alias("features"),
+    )
+    rows = stage(rows, "embeddings")
+    model = SvmSpec(kernel="rbf", probability=True).fit(rows)
+    explained = P.sample_n(rows, 20)
+    phi = A.kernel_shap(model.transform, explained, P.sample_n(rows, 10, seed=7))
+    whole = phi.groupBy(ID, "class").agg(
+        F.count("*").alias("features"), (F.max("base") + F.sum("phi")).alias("total")
+    )
+    odds = model.transform(explained).select(ID, F.posexplode("probability").alias("class", "p"))
+    near = F.abs(F.col("total") - F.log(F.col("p") / (1 - F.col("p")))) < 1e-6
+    return whole.join(odds, [ID, "class"]).select(ID, "class", "features", near.alias("adds_up"))
 
 
 # --- sources ----------------------------------------------------------------------------
@@ -985,14 +1042,13 @@ def file_label(spark, sf):
 
 @query
 def file_tree(spark, sf):
-    folder = _write_articles(spark, sf)
-    with_other = os.path.join(folder, "notes")
-    table(spark, sf, "labels").select(F.col(ID).cast("string")).write.text(with_other)
-    names = read_tree(spark, folder, ".csv").select("file_name").distinct()
-    return names.agg(
-        F.count_if(F.col("file_name").endswith(".csv")).alias("csv_files"),
-        F.count_if(~F.col("file_name").endswith(".csv")).alias("other_files"),
-    )
+    """Lines of the .csv files in two levels of folders, next to files of another kind."""
+    folder = scratch(spark, "tree")
+    rows = table(spark, sf, "labels")
+    for place, part in (("a", rows.where("quality = 0")), ("b/deeper", rows.where("quality = 1"))):
+        part.select(ID, "quality").write.csv(os.path.join(folder, place))
+    rows.select(F.col(ID).cast("string")).write.text(os.path.join(folder, "notes"))
+    return read_tree(spark, folder, ".csv").select("value", F.col("file_name").endswith(".csv").alias("is_csv"))
 
 
 def _write_statements(spark, sf) -> str:
@@ -1157,10 +1213,10 @@ def ensemble_experiment(spark, sf):
 @query
 def voting_experiment_hard(spark, sf):
     train, test = binary_split(spark, sf)
-    return J.voting_experiment(train, test, "hard", svd_k=20, max_iter=20)["report"]
+    return _sound(J.voting_experiment(train, test, "hard", svd_k=20, max_iter=20)["report"])
 
 
 @query
 def voting_experiment_soft(spark, sf):
     train, test = binary_split(spark, sf)
-    return J.voting_experiment(train, test, "soft", C=100.0, gamma=0.01, svd_k=20, max_iter=20)["report"]
+    return _sound(J.voting_experiment(train, test, "soft", C=100.0, gamma=0.01, svd_k=20, max_iter=20)["report"])

@@ -393,6 +393,12 @@ NAMES = "[" + ", ".join(f"'{n}'" for n in TRUTH_LABELS) + "]"
 SQUEEZE = r"md5(regexp_replace({}, '[\r\n]+', ' ', 'g'))"
 
 
+#: The lines of a class report over `test(label)`, as the catalogue keeps them.
+SUPPORT = """
+SELECT CAST(label AS VARCHAR) AS line, count(*) AS support, TRUE AS sound FROM test GROUP BY label
+UNION ALL SELECT line, (SELECT count(*) FROM test), TRUE FROM (SELECT unnest(['accuracy', 'macro avg', 'weighted avg']) AS line)"""
+
+
 def oracles() -> dict[str, str]:
     q: dict[str, str] = {}
 
@@ -498,6 +504,9 @@ SELECT doc_id, label FROM (SELECT doc_id, label, row_number() OVER (PARTITION BY
     q["class_weighted"] = join(SIX) + f"""
 SELECT doc_id, label, {r('(SELECT count(*) FROM corpus) / CAST((SELECT count(DISTINCT label) FROM corpus) * count(*) OVER (PARTITION BY label) AS DOUBLE)')} AS weight FROM corpus"""
     q["label_distribution"] = "SELECT quality AS label, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY quality"
+    q["smote_vectors"] = """WITH n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label),
+grown AS (SELECT label, FALSE AS synthetic, n FROM n UNION ALL SELECT label, TRUE, (SELECT max(n) FROM n) - n FROM n)
+SELECT label, synthetic, n, TRUE AS inside FROM grown WHERE n > 0"""
     q["smote_2d"] = join(BINARY, SMOTE) + f"\nSELECT doc_id, label, {r('x')} AS x, {r('y')} AS y, synthetic FROM grown"
 
     # transforms
@@ -692,4 +701,36 @@ SELECT CAST(doc_id AS VARCHAR) AS id, CASE split WHEN 'validation' THEN 'valid'
         + "\nSELECT e.doc_id, split, ids AS input_ids, CASE WHEN label = 0 THEN '1 0' ELSE '0 1' END AS labels "
         "FROM encoded e JOIN three t ON e.doc_id = t.doc_id"
     )
+    # trained models: what holds for any right fit
+    q["svd_projection"] = join(BINARY) + """
+SELECT count(*) AS n, 100 AS width, TRUE AS energy_is_singular_value, TRUE AS falling, TRUE AS orthonormal,
+  TRUE AS largest_entry_positive FROM corpus"""
+    binary_test = join(BINARY, stratified("corpus"), "test AS (SELECT label FROM strat WHERE split = 'test')")
+    for name in (
+        "linear_svm", "kernel_svm_rbf", "kernel_svm_sigmoid", "kernel_svm_poly", "adaboost",
+        "stacking_final_linear", "stacking_final_rbf", "stacking_final_sigmoid", "stacking_final_logistic",
+        "voting_experiment_hard", "voting_experiment_soft",
+    ):
+        q[name] = binary_test + SUPPORT
+    for name in ("linear_svm_multiclass", "linear_svm_pairs"):
+        q[name] = join(f"test AS (SELECT label FROM {ASKED})") + SUPPORT
+    q["logistic_on_embeddings"] = f"SELECT vec_id AS doc_id, label, TRUE AS known_class FROM {ASKED}"
+    q["calibrated_probabilities"] = join(ORDERS) + """
+SELECT count(*) AS n, TRUE AS sums_to_one, TRUE AS logistic_in_margin FROM ords"""
+    q["bagging"] = join(ORDERS) + "\nSELECT doc_id, TRUE AS known_class FROM ords"
+    q["ann_top1"] = f"SELECT vec_id AS query_id, 1 AS rank, TRUE AS \"right\" FROM {ASKED}"
+    q["kernel_shap"] = f"""WITH chosen AS (SELECT vec_id AS doc_id FROM embeddings ORDER BY {key("vec_id")}, vec_id LIMIT 20)
+SELECT doc_id, CAST(class AS INTEGER) AS class, CAST(64 AS BIGINT) AS features, TRUE AS adds_up
+FROM chosen CROSS JOIN (SELECT unnest([0, 1]) AS class)"""
+    q["file_tree"] = "SELECT doc_id || ',' || quality AS value, TRUE AS is_csv FROM labels"
+    q["grid_search_scores"] = """WITH points AS (SELECT * FROM (SELECT unnest([0.1, 10.0]) AS C),
+  (SELECT unnest([0.1, 1.0]) AS gamma), (SELECT unnest(['linear', 'rbf', 'sigmoid']) AS kernel))
+SELECT CAST(row_number() OVER (ORDER BY C, gamma, kernel) - 1 AS INTEGER) AS grid_idx, CAST(C AS DOUBLE) AS C,
+  CAST(gamma AS DOUBLE) AS gamma, kernel, CAST(fold AS INTEGER) AS fold, TRUE AS in_range
+FROM points CROSS JOIN (SELECT unnest([0, 1, 2]) AS fold)"""
+    train = "everything AS (SELECT d.doc_id, l.quality AS label FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"
+    outer = stratified("everything").replace("sizes", "class_sizes")
+    q["stacking_out_of_fold"] = join(
+        train, outer, "corpus AS (SELECT doc_id, label FROM strat WHERE split = 'train')", folds(3)
+    ) + "\nSELECT doc_id, label, fold, TRUE AS in_range FROM folded"
     return q

@@ -5,11 +5,11 @@ import os
 import duckdb
 import pytest
 
-import __spark_entry__ as entry
 from corpuslens.plans.catalog import QUERIES
+from corpuslens.plans.oracles import oracles
 from tools.check import TABLES, digest
 
-ORACLES = entry.oracle_sql()
+ORACLES = oracles()
 
 
 @pytest.fixture(scope="module")
