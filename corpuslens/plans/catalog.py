@@ -21,7 +21,6 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corpuslens.functions import text as X
-from corpuslens.functions.hashing import hash_unit
 from corpuslens.operators import attribution as A, ensemble as V, metrics as E, relational as P
 from corpuslens.operators.encode import encode_fixed, token_vocabulary
 from corpuslens.operators.features import (
@@ -156,15 +155,6 @@ def vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return rows.where("vec_id % 5 <> 0"), rows.where("vec_id % 5 = 0")
 
 
-def short_vectors(spark: SparkSession, sf: str, n: int = 8) -> DataFrame:
-    rows = table(spark, sf, "embeddings")
-    return rows.select(
-        F.col("vec_id").alias(ID),
-        LABEL,
-        F.slice("embedding", 1, n).cast("array<double>").alias("features"),
-    )
-
-
 def judged(spark: SparkSession, sf: str) -> DataFrame:
     """lineitem with a rule-made prediction of the return flag."""
     rule = (
