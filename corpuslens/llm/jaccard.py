@@ -14,6 +14,7 @@ costs about one comparison each, and no pair that could join two components is l
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +39,7 @@ class SizeBands:
     def __init__(self, percent: int):
         self.percent = percent
         self.least = -(-percent // (100 - percent)) if percent < 100 else 1 << 62
+        self._blocks: dict[int, int] = {}
 
     def low(self, band: int) -> int:
         return int(np.ceil(self.least * BAND**band))
@@ -46,6 +48,22 @@ class SizeBands:
         high = self.low(band + 1) - 1
         return ((100 - self.percent) * (high + high * 100 // self.percent)) // (100 + self.percent)
 
+    def blocks(self, band: int) -> int:
+        """So many that the band's smallest sets, too, seldom fill as few as `differing` of them.
+
+        A set that does gives the keys of its empty blocks, which all such sets share.
+        """
+        if band not in self._blocks:
+            least, low = self.differing(band), self.low(band)
+            n = least + 1 + least // 50 + (least >= 10)
+            while n < low:
+                empty = math.exp(-low / n)
+                if n * (1 - empty) - 2 * math.sqrt(n * empty * (1 - empty)) > least:
+                    break
+                n += 1 + n // 64
+            self._blocks[band] = n
+        return self._blocks[band]
+
     def of(self, size: int) -> list[int]:
         if size < self.least:
             return []
@@ -60,15 +78,15 @@ def _as_long(values: np.ndarray) -> np.ndarray:
     return values.view(np.int64)
 
 
-def _sketched(percent: int):
+def _sketched(percent: int, width: int):
     bands = SizeBands(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
-            sets = S.shingle_sets([(t or "").encode() for t in batch.column("text").to_pylist()])
+            sets = S.shingle_sets([(t or "").encode() for t in batch.column("text").to_pylist()], width)
             signs = np.array([S.signature(h) for h in sets], dtype=np.uint64).reshape(-1, 2)
             keys = [
-                np.unique(np.concatenate([S.block_keys(h, b, bands.differing(b)) for b in own]))
+                np.unique(np.concatenate([S.block_keys(h, b, bands.differing(b), bands.blocks(b)) for b in own]))
                 if (own := bands.of(len(h)))
                 else np.zeros(0, dtype=np.uint64)
                 for h in sets
@@ -94,12 +112,15 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays).astype(np.int64)))
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in text_slices(batches):
-        sets = S.shingle_sets([(t or "").encode() for t in batch.column("text").to_pylist()])
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), _lists([_as_long(h) for h in sets])], names=["doc_id", "hashes"]
-        )
+def _sets(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches):
+            sets = S.shingle_sets([(t or "").encode() for t in batch.column("text").to_pylist()], width)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), _lists([_as_long(h) for h in sets])], names=["doc_id", "hashes"]
+            )
+
+    return run
 
 
 def _side(df: DataFrame, name: str, *columns: str) -> DataFrame:
@@ -122,10 +143,10 @@ def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def jaccard_components(docs: DataFrame, percent: int = 90) -> DataFrame:
+def jaccard_components(docs: DataFrame, percent: int = 90, width: int = S.WIDTH) -> DataFrame:
     """doc_id, n_shingles, component_id of each row.
 
-    Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased, shingles 3 words (all words of
+    Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased, shingles `width` words (all words of
     a shorter text). Null and empty texts have no shingles and link with nothing. Rows
     with equal ids and texts get equal results; ids that stand for different texts are
     compared by either text. A null id links with nothing and gets a null component.
@@ -134,7 +155,7 @@ def jaccard_components(docs: DataFrame, percent: int = 90) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     base = stage(
         rows.mapInArrow(
-            _sketched(percent),
+            _sketched(percent, width),
             "doc_id bigint, n bigint, s1 bigint, s2 bigint, sketch array<bigint>, keys array<bigint>",
         ),
         "jaccard-base",
@@ -151,7 +172,7 @@ def jaccard_components(docs: DataFrame, percent: int = 90) -> DataFrame:
     met = members.select("doc_id").distinct()
     sketches = stage(heads.join(met, "doc_id", "left_semi").select("doc_id", "n", "sketch"), "jaccard-sketches")
     sets = stage(
-        rows.join(met, "doc_id", "left_semi").mapInArrow(_sets, "doc_id bigint, hashes array<bigint>"), "jaccard-sets"
+        rows.join(met, "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id bigint, hashes array<bigint>"), "jaccard-sets"
     )
 
     first = members.where("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()

@@ -43,20 +43,30 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.searchsorted(stops, start, side="left")
 
 
-def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text; a text of one or two words has one shingle."""
+@lru_cache(maxsize=4)
+def _factors(width: int) -> np.ndarray:
+    """An odd factor for each place in a shingle."""
+    more = mix(np.arange(1, width + 1, dtype=np.uint64) * STEP) | U(1)
+    return np.concatenate([np.array(SHINGLE_FACTORS, dtype=np.uint64), more])[:width]
+
+
+def shingle_sets(texts: list[bytes], width: int = WIDTH) -> list[np.ndarray]:
+    """Sorted distinct hashes of each text's shingles of `width` words; a text of fewer words has one shingle."""
     words, owner = word_hashes(texts)
     bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
-    a, b, c = SHINGLE_FACTORS
-    n = max(0, len(words) - WIDTH + 1)
-    rolled = mix(words[:n] * a + words[1 : n + 1] * b + words[2 : n + 2] * c)
+    factors = _factors(width)
+    n = max(0, len(words) - width + 1)
+    total = np.zeros(n, dtype=np.uint64)
+    for i, factor in enumerate(factors):
+        total += words[i : n + i] * factor
+    rolled = mix(total)
     sets = []
     for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-        if high - low >= WIDTH:
-            sets.append(np.unique(rolled[low : high - WIDTH + 1]))
+        if high - low >= width:
+            sets.append(np.unique(rolled[low : high - width + 1]))
         elif high > low:
-            whole = words[low : low + 1] * a + U(high - low)
-            sets.append(mix(whole + words[high - 1 : high] * b if high - low == 2 else whole))
+            whole = (words[low:high] * factors[: high - low]).sum(dtype=np.uint64, keepdims=True)
+            sets.append(mix(whole + U(high - low)))
         else:
             sets.append(np.zeros(0, dtype=np.uint64))
     return sets
@@ -76,15 +86,14 @@ def parity_sketch(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
-def block_keys(hashes: np.ndarray, band: int, differing: int) -> np.ndarray:
-    """Keys of the blocks of a wide parity sketch, for sets that differ in at most `differing` elements.
+def block_keys(hashes: np.ndarray, band: int, differing: int, blocks: int) -> np.ndarray:
+    """Keys of the blocks of a wide parity sketch, for sets that differ in at most `differing` (< `blocks`) elements.
 
     An element of only one set flips one bit of one block, so at most `differing` blocks
     differ. With more non-empty blocks than that, one non-empty block is equal; a set
     with fewer also gives the keys of its empty blocks. (If either of two sets has
     enough non-empty blocks, one of those is equal in both.)
     """
-    blocks = differing + 1 + differing // 50 + (differing >= 10)
     block = (((hashes >> U(32)) * U(blocks)) >> U(32)).astype(np.int64)  # rises with the hash
     first = np.flatnonzero(np.diff(block, prepend=-1))
     # the key stands for the block's odd bits: each bit number enters by XOR, twice is not at all
