@@ -15,6 +15,7 @@ window of a partition is padded.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -54,15 +55,39 @@ def _encoder(path: str):
     return tiktoken.Encoding("byte-bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@lru_cache(maxsize=2)
+def _added_tokens(path: str) -> dict[str, int]:
+    with open(path, encoding="utf-8") as file:
+        tokens = json.load(file)["added_tokens"]
+    for token in tokens:
+        if token.get("lstrip") or token.get("rstrip") or token.get("single_word"):
+            raise ValueError(f"added token with lstrip, rstrip or single_word: {token['content']!r}")
+    return {token["content"]: token["id"] for token in tokens}
+
+
 class Tokeniser:
-    """Ids of whole texts, as an array of the smallest fitting kind. Special strings are ordinary text."""
+    """Ids of whole texts, as an array of the smallest fitting kind.
+
+    With `added`, the file's added tokens get their ids in running text, as in the
+    tokenizers library left at its defaults; else they are ordinary text.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         self.encoding = _encoder(path)
-        self.dtype = np.dtype("<u2" if self.encoding.n_vocab <= 1 << 16 else "<u4")
+        tokens = _added_tokens(path)
+        most = max([self.encoding.n_vocab, *(i + 1 for i in tokens.values())])
+        self.dtype = np.dtype("<u2" if most <= 1 << 16 else "<u4")
+        self.added = tokens if added else {}
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.cut = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if self.added else None
 
     def __call__(self, text: str) -> np.ndarray:
-        return np.array(self.encoding.encode_ordinary(text), dtype=self.dtype)
+        if not any(token in text for token in self.added):
+            return np.array(self.encoding.encode_ordinary(text), dtype=self.dtype)
+        ids: list[int] = []
+        for part in self.cut.split(text):
+            ids += [self.added[part]] if part in self.added else self.encoding.encode_ordinary(part)
+        return np.array(ids, dtype=self.dtype)
 
 
 def crc(ids: np.ndarray) -> int:
@@ -85,7 +110,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> Data
     """Whole windows with their sequence id, and rests (null sequence id) with ids and MinHash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenise = Tokeniser(tokenizer)
+        tokenise = Tokeniser(tokenizer, added=True)
         sequence = TaskContext.get().partitionId() << 32
         for batch in text_slices(batches):
             rows: list[tuple] = []
