@@ -12,6 +12,7 @@ as a matrix product and only the k best per query leave the task.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -282,6 +283,34 @@ def ann_topk(queries: DataFrame, base: DataFrame, k: int = 1, probe: int = 4, **
     return cosine_topk(queries, base, k, probe=probe, **opts)
 
 
+def recall_share(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """One row: `n` queries of `exact` (one neighbour each) and the share of them that `found` has, or one of equal score."""
+    best = exact.select("query_id", F.col("base_id").alias("first"), F.col("score").alias("best"))
+    near = found.where("rank = 1").select("query_id", "base_id", "score")
+    hit = (F.col("base_id") == F.col("first")) | (F.abs(F.col("score") - F.col("best")) < 10.0**-SCORE_DIGITS)
+    return best.join(near, "query_id", "left").agg(
+        F.count("*").alias("n"), F.avg(F.coalesce(hit, F.lit(False)).cast("double")).alias("recall")
+    )
+
+
+def probe_for(queries: DataFrame, base: DataFrame, recall: float, id_col: str = "vec_id", sample: int = 400, **opts) -> int:
+    """Cells to search so that about `recall` of the queries find their nearest vector.
+
+    Raised until a sample of the queries, searched exactly as well, finds it three
+    standard errors above `recall`; searching all cells finds everything.
+    """
+    asked = stage(sample_n(queries, sample, id_col=id_col), "probe")
+    exact = stage(cosine_topk(asked, base, 1, id_col, **opts), "probe")
+    n = asked.count()
+    wanted = min(1.0, recall + 3 * math.sqrt(recall * (1 - recall) / max(1, n)))
+    probe = 4
+    while True:
+        found = recall_share(ann_topk(asked, base, 1, probe, id_col=id_col, **opts), exact).first()
+        if not found.n or found.recall >= wanted:
+            return probe
+        probe += max(1, probe // 2)
+
+
 def knn_label(
     queries: DataFrame,
     base: DataFrame,

@@ -35,7 +35,7 @@ from corpuslens.operators.features import (
 from corpuslens.operators.grid import grid_rank, grid_search, preset_table
 from corpuslens.operators.kernels import gamma_scale, kernel_table
 from corpuslens.operators.lookup import lookup_join
-from corpuslens.operators.neighbors import ann_topk, cosine_topk, knn_label
+from corpuslens.operators.neighbors import ann_topk, cosine_topk, knn_label, probe_for, recall_share
 from corpuslens.operators.resample import class_weights, smote, under_sample
 from corpuslens.operators.scaling import fit_max_abs, max_abs_terms, min_max
 from corpuslens.operators.selection import chi2_scores, chi2_terms, select_k_best
@@ -927,11 +927,35 @@ def cosine_top5_cells(spark, sf):
     return _nearest(spark, sf, 5, cell_rows=100, block_rows=64)
 
 
+#: Share of the queries whose nearest vector the approximate search must find.
+RECALL = 0.9
+
+
+def _approximate(queries, stored) -> DataFrame:
+    probe = probe_for(queries, stored, RECALL, cell_rows=50)
+    return ann_topk(queries, stored, 1, probe=probe, cell_rows=50)
+
+
+@query
+def ann_neighbours(spark, sf):
+    """The approximate neighbours themselves."""
+    stored, queries = vectors(spark, sf)
+    return _approximate(queries, stored).select("query_id", "rank", "base_id", "score")
+
+
+@query
+def ann_recall(spark, sf):
+    """Recall of the approximate neighbours against the exact search."""
+    stored, queries = vectors(spark, sf)
+    found = recall_share(_approximate(queries, stored), cosine_topk(queries, stored, 1))
+    return found.select("n", (F.col("recall") >= RECALL).alias("recall_holds"))
+
+
 @query
 def ann_top1(spark, sf):
     """One answer a query; its score is that of its pair and never above the exact best."""
     stored, queries = vectors(spark, sf)
-    found = ann_topk(queries, stored, 1, probe=3, cell_rows=50)
+    found = _approximate(queries, stored)
     exact = cosine_topk(queries, stored, 1).select("query_id", F.col("score").alias("best"), F.col("base_id").alias("first"))
     equal = (F.col("base_id") != F.col("first")) | (F.abs(F.col("score") - F.col("best")) < 1e-6)
     right = (F.col("score") <= F.col("best") + 1e-6) & equal
