@@ -16,8 +16,11 @@ from corpuslens.llm.packing import PIECE_NAMES, pack_documents
 from corpuslens.llm.pii import pseudonymise
 from corpuslens.llm.repeats import remove_repeats
 from corpuslens.llm.sampling import sample_pieces
+from corpuslens.llm.search import rank_documents
+from corpuslens.llm.secrets import find_secrets, secret_digest
 from corpuslens.llm.topk import inner_product_topk
 from corpuslens.llm.toxicity import fit_severity, score_severity
+from corpuslens.llm.whitening import whiten_embeddings
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -70,6 +73,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_language(docs, model, "doc_id").select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten_embeddings(table(spark, sf_dir, "embeddings"), k=8)
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digest(find_secrets(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -83,6 +98,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_pii,
         op9_voronoi_topk,
         op10_language_id,
+        op11_embedding_whitening,
+        op12_lexical_search,
+        op13_secret_scan,
     )
 }
 
@@ -172,10 +190,28 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+SEARCH_SQL = r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents WHERE text IS NOT NULL),
+d AS (SELECT doc_id, ws, len(ws) AS n FROM t WHERE len(ws) > 0),
+s AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM d),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+x AS (SELECT doc_id, n, unnest(ws) AS term FROM d),
+f AS (SELECT doc_id, n, term, count(*) AS tf FROM x WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM f, s GROUP BY term, n_docs),
+v AS (SELECT q.item_id, f.doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * n_docs) // n_terms)))))::BIGINT AS score
+      FROM q JOIN f USING (term) JOIN w USING (term), s GROUP BY ALL),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+      FROM v WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
 ORACLES = {
     "op2_suffix_dedup": REPEATS_SQL,
     "op4_quality_rules": QUALITY_SQL,
     "op6_jaccard_join": JACCARD_SQL,
     "op7_chat_format": CHAT_SQL,
     "op9_voronoi_topk": TOPK_SQL,
+    "op12_lexical_search": SEARCH_SQL,
 }

@@ -28,12 +28,15 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up), np.cumprod(down)
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words (A-Z lower-cased) in order, and the text each belongs to."""
+def word_hashes(texts: list[bytes], between: np.ndarray = _BLANK) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words (A-Z lower-cased) in order, and the text each belongs to.
+
+    `between` marks the bytes that are part of no word; the line feed must be one.
+    """
     data = np.frombuffer(b"\n" + b"\n".join(texts) + b"\n", dtype=np.uint8)
     size = 1 << max(16, int(len(data)).bit_length())
     up, down = _powers(size)
-    blank = _BLANK[data]
+    blank = between[data]
     edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
     start, end = edges[0::2], edges[1::2]
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
