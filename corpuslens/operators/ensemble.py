@@ -9,14 +9,26 @@ from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import partial
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corpuslens.functions.hashing import hash_unit
+from corpuslens.functions.vectors import packed
+from corpuslens.operators.batched import Boosted, boost_sums, train, training_table
 from corpuslens.operators.ranking import class_counts
 from corpuslens.operators.splits import stratified_kfold
-from corpuslens.operators.svm import ROWS_PER_TASK, SvmModel, SvmSpec
+from corpuslens.operators.svm import (
+    MAX_CLASSES,
+    ROWS_PER_TASK,
+    SvmModel,
+    SvmSpec,
+    fit_many,
+    linear_model,
+    spec_gammas,
+    spec_marks,
+)
 from corpuslens.schema import ID, LABEL
 from corpuslens.session import side_by_side, stage
 
@@ -92,8 +104,7 @@ def fit_voting(
 
 
 def _fit_members(specs: dict[str, SvmSpec], *args) -> dict[str, SvmModel]:
-    models = side_by_side([partial(s.fit, *args) for s in specs.values()])
-    return dict(zip(specs, models, strict=True))
+    return fit_many(specs, *args)
 
 
 def _meta_features(df: DataFrame, members: dict[str, SvmModel], vec: str) -> DataFrame:
@@ -115,17 +126,19 @@ def out_of_fold(
     label: str = LABEL,
     id_col: str = ID,
 ) -> DataFrame:
-    """Each training row once, with base probabilities of models that never saw it."""
+    """Each training row once, with base probabilities of models that never saw it.
+
+    The models of a fold, and those that calibrate them inside its training rows, are one batch.
+    """
     folded = stage(stratified_kfold(df.select(id_col, label, vec), folds, label, id_col), "folds")
     tasks = [
-        partial(s.fit, folded.where(F.col("fold") != fold), vec, label, id_col)
+        partial(fit_many, specs, folded.where(F.col("fold") != fold).drop("fold"), vec, label, id_col)
         for fold in range(folds)
-        for s in specs.values()
     ]
-    models, parts = iter(side_by_side(tasks)), []
-    for fold in range(folds):
-        members = {name: next(models) for name in specs}
-        parts.append(_meta_features(folded.where(F.col("fold") == fold), members, vec))
+    parts = [
+        _meta_features(folded.where(F.col("fold") == fold), members, vec)
+        for fold, members in enumerate(side_by_side(tasks))
+    ]
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part)
@@ -216,13 +229,11 @@ def fit_bagging(
 ) -> VotingModel:
     """Members trained on bootstrap weights; their mean probability decides."""
     calibrated = replace(spec, probability=True)
-
-    def fit(i: int) -> SvmModel:
-        drawn = df.withColumn("_w", poisson_weight(id_col, f"{seed}:bag:{i}"))
-        return calibrated.fit(drawn.where(F.col("_w") > 0), vec, label, id_col, "_w")
-
-    models = side_by_side([partial(fit, i) for i in range(n_estimators)])
-    return VotingModel({f"bag{i}": m for i, m in enumerate(models)}, "soft")
+    names = {f"bag{i}": f"_w{i}" for i in range(n_estimators)}
+    drawn = df.select(
+        id_col, label, vec, *[poisson_weight(id_col, f"{seed}:bag:{i}").alias(f"_w{i}") for i in range(n_estimators)]
+    )
+    return VotingModel(fit_many({n: calibrated for n in names}, drawn, vec, label, id_col, names), "soft")
 
 
 def adaboost_step(weight: Column, wrong: Column, error: Column, n_classes: int) -> tuple[Column, Column]:
@@ -255,20 +266,24 @@ def adaboost_round(
 
 @dataclass(frozen=True)
 class BoostModel:
+    """Members share their features, so a row's are computed once for all of them."""
+
     members: list[tuple[float, SvmModel]]
     classes: list
 
     def transform(self, df: DataFrame, vec: str = "features") -> DataFrame:
-        out, totals = df, {c: F.lit(0.0) for c in self.classes}
-        columns = []
-        for i, (alpha, model) in enumerate(self.members):
-            out = model.transform(out, vec, prefix=f"_b{i}_")
-            columns += [f"_b{i}_{c}" for c in ("margins", "prediction", "probability")]
-            for c in self.classes:
-                hit = F.col(f"_b{i}_prediction") == F.lit(c)
-                totals[c] = totals[c] + F.when(hit, alpha).otherwise(0.0)
-        scores = F.array(*[totals[c] for c in self.classes])
-        return out.withColumn("prediction", argmax_label(scores, self.classes)).drop(*columns)
+        first = self.members[0][1]
+        coef = np.concatenate([m.models[0].matrix() for _, m in self.members], axis=1)
+        alphas, raws, k = np.array([a for a, _ in self.members]), first.n_raws, len(self.classes)
+
+        def scores(margins: np.ndarray) -> np.ndarray:
+            chosen = (margins > 0).astype(int) if raws == 1 else margins.reshape(len(margins), -1, raws).argmax(axis=2)
+            out = np.zeros((len(margins), k))
+            np.add.at(out, (np.arange(len(margins))[:, None], chosen), alphas[None])
+            return out
+
+        scored = df.withColumn("_scores", first.models[0].of(packed(df, vec), coef, scores))
+        return scored.withColumn("prediction", argmax_label(F.col("_scores"), self.classes)).drop("_scores")
 
 
 def fit_adaboost(
@@ -278,38 +293,39 @@ def fit_adaboost(
     vec: str = "features",
     label: str = LABEL,
     id_col: str = ID,
-    stage_every: int = 10,
 ) -> BoostModel:
     """Multi-class boosting: wrong rows weigh more in the next round.
 
-    Rows weigh 1 on average in each fit. Every `stage_every` rounds the weights are
-    written to the shared folder, so the plan does not grow with the rounds.
+    The state of a round is the members so far: a task rebuilds the weights of its rows from
+    them, so no plan and no table grows with the rounds. Each fit starts from the last one.
     """
-    classes = list(class_counts(df, label))
-    k, members = len(classes), []
-    rows = df.select(id_col, label, vec).withColumn("_w", F.lit(1.0))
-    for i in range(n_estimators):
-        model = spec.fit(rows, vec, label, id_col, "_w")
-        scored = model.transform(rows, vec)
-        wrong = F.col(label) != F.col("prediction")
-        sums = scored.agg(
-            F.sum("_w").alias("all"), F.sum(F.when(wrong, F.col("_w")).otherwise(0.0)).alias("bad"), F.count("*").alias("n")
-        ).first()
-        error = sums["bad"] / sums["all"]
+    counts = class_counts(df, label, MAX_CLASSES)
+    if len(counts) < 2:
+        raise ValueError("training needs at least two classes")
+    classes, k, members = list(counts), len(counts), []
+    marks, (gamma,) = spec_marks([spec], df, vec, id_col), spec_gammas([spec], df, vec)
+    table = training_table(df, vec, label, classes, id_col, marks, work=k)
+    todo = replace(spec, probability=False, multiclass="ovr").problems(table, gamma)
+    coef, alphas, start, n = None, [], None, float(sum(counts.values()))
+    boosted = Boosted(todo[0].map, np.zeros((0, 0)), len(todo), np.zeros(0))
+    total = n
+    for _ in range(n_estimators):
+        fitted = train(table, todo, spec.max_iter, start=start, boosted=boosted, total=total)
+        start, last = fitted, np.stack(fitted, axis=1)
+        total, bad = boost_sums(table, boosted, last)
+        error = bad / total
         if error >= 1.0 - 1.0 / k:
             if not members:
                 raise ValueError("the base model is no better than chance")
             break
-        if error <= 0.0:
-            members.append((1.0, model))
+        alpha = math.log((1.0 - error) / error) + math.log(k - 1) if error > 0 else 1.0
+        members.append((alpha, linear_model(spec, classes, gamma, marks, fitted)))
+        if error <= 0:
             break
-        alpha = math.log((1.0 - error) / error) + math.log(k - 1)
-        members.append((alpha, model))
-        boosted = (sums["all"] - sums["bad"]) + sums["bad"] * math.exp(alpha)
-        factor = F.when(wrong, math.exp(alpha)).otherwise(1.0) * F.lit(sums["n"] / boosted)
-        rows = scored.withColumn("_w", F.col("_w") * factor).select(id_col, label, vec, "_w")
-        if (i + 1) % stage_every == 0:
-            rows = stage(rows, "boost")
+        coef = last if coef is None else np.concatenate([coef, last], axis=1)
+        alphas.append(alpha)
+        boosted = Boosted(todo[0].map, coef, len(todo), np.array(alphas))
+        total = (total - bad) + bad * math.exp(alpha)
     return BoostModel(members, classes)
 
 

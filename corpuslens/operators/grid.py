@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 from dataclasses import replace
-from functools import partial
 from itertools import product
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from corpuslens.operators.metrics import class_scores
+from corpuslens.operators.batched import held_out_counts, train, training_table
+from corpuslens.operators.ranking import class_counts
 from corpuslens.operators.splits import stratified_kfold
-from corpuslens.operators.svm import SvmModel, SvmSpec
+from corpuslens.operators.svm import MAX_CLASSES, SvmModel, SvmSpec, spec_gammas, spec_marks
 from corpuslens.schema import ID, LABEL
-from corpuslens.session import side_by_side, stage
 
 # The full search grid.
 GRID = {
@@ -58,14 +58,12 @@ def _work_key(point: dict) -> tuple:
     )
 
 
-def fold_metrics(predictions: DataFrame, label: str = LABEL) -> tuple[float, float]:
-    """(accuracy, macro F1) from one small aggregate."""
-    row = (
-        class_scores(predictions, label)
-        .agg(F.sum("tp").alias("tp"), F.sum("support").alias("n"), F.avg("f1").alias("f1"))
-        .first()
-    )
-    return row.tp / row.n, row.f1
+def count_metrics(counts: np.ndarray) -> tuple[float, float]:
+    """(accuracy, macro F1 over the classes seen) of a table of rows by truth and choice."""
+    hit, truth, claimed = np.diag(counts), counts.sum(axis=1), counts.sum(axis=0)
+    seen = truth + claimed > 0
+    f1 = 2 * hit[seen] / (truth + claimed)[seen]
+    return float(hit.sum() / max(counts.sum(), 1)), float(f1.mean()) if seen.any() else 0.0
 
 
 def grid_search(
@@ -76,27 +74,33 @@ def grid_search(
     label: str = LABEL,
     id_col: str = ID,
     base: SvmSpec | None = None,
-    parallelism: int = 4,
 ) -> DataFrame:
     """`grid_idx, C, gamma, kernel, fold, accuracy, f1_macro` for every point and fold.
 
-    Each distinct model is trained once per fold and both metrics come from the
-    same predictions. Independent fits are submitted from a few driver threads;
-    the fits themselves are distributed jobs.
+    All distinct models of all folds are trained side by side: a pass over the rows computes
+    the values of each kernel once and serves every C and fold. One more pass counts truth and
+    choice on the rows that a model has not seen. Landmarks are chosen by hash from all rows,
+    without a look at their labels.
     """
-    spark, base = df.sparkSession, base or SvmSpec()
+    spark, base = df.sparkSession, replace(base or SvmSpec(), probability=False)
     points = grid_points(grid or GRID)
-    folded = stage(stratified_kfold(df.select(id_col, label, vec), folds, label, id_col), "folds")
-    tasks = [(key, f) for key in dict.fromkeys(map(_work_key, points)) for f in range(folds)]
-
-    def score(key: tuple, fold: int) -> tuple[float, float]:
-        model = replace(base, **dict(key)).fit(
-            folded.where(F.col("fold") != fold), vec, label, id_col
-        )
-        return fold_metrics(model.transform(folded.where(F.col("fold") == fold), vec), label)
-
-    results = side_by_side([partial(score, *task) for task in tasks], parallelism)
-    scores = dict(zip(tasks, results, strict=True))
+    specs = {key: replace(base, **dict(key)) for key in dict.fromkeys(map(_work_key, points))}
+    data = stratified_kfold(df.select(id_col, label, vec), folds, label, id_col)
+    counts = class_counts(data, label, MAX_CLASSES)
+    if len(counts) < 2:
+        raise ValueError("training needs at least two classes")
+    list_ = list(specs.values())
+    marks, gammas = spec_marks(list_, data, vec, id_col), spec_gammas(list_, data, vec)
+    parts = 1 if len(counts) == 2 else len(counts)
+    table = training_table(
+        data, vec, label, list(counts), id_col, marks, "fold", work=len(specs) * folds * parts
+    )
+    tasks = [(key, fold) for key in specs for fold in range(folds)]
+    gamma_of = dict(zip(specs, gammas))
+    todo = [p for key, fold in tasks for p in replace(specs[key], multiclass="ovr").problems(table, gamma_of[key], fold)]
+    coefs = train(table, todo, base.max_iter)
+    judged = held_out_counts(table, todo, coefs, len(todo) // len(tasks))
+    scores = {task: count_metrics(counts) for task, counts in zip(tasks, judged, strict=True)}
     rows = [
         (i, float(p["C"]), float(p.get("gamma") or 0.0), p["kernel"], f, *scores[(_work_key(p), f)])
         for i, p in enumerate(points)

@@ -20,6 +20,7 @@ from corpuslens.schema import ID
 
 KERNELS = ("rbf", "sigmoid", "poly")
 MAX_LANDMARKS = 2_000
+MARGIN_CELLS = 1 << 21
 
 
 def landmarks(df: DataFrame, m: int, vec: str = "features", seed: int = 42, id_col: str = ID) -> np.ndarray:
@@ -81,6 +82,72 @@ class KernelFeatures(
         return dataset.withColumn(self.getOutputCol(), array_to_vector(column))
 
 
+def margins_column(
+    rows: Column, coef: np.ndarray, marks: np.ndarray | None, kind: str, gamma: float, after=None
+) -> Column:
+    """ARRAY<DOUBLE> of `packed` rows: features (raw, or kernel values) times `coef`, its last row added.
+
+    `after` maps the matrix of margins of some rows to what is returned instead.
+    """
+
+    @F.pandas_udf("array<double>")
+    def margins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        for batch in batches:
+            parts = []
+            width = len(coef) - 1 if kind == "linear" else marks.shape[1]
+            step = len(batch) if kind == "linear" else max(1, MARGIN_CELLS // width)
+            for low in range(0, len(batch), max(step, 1)):
+                part = batch.iloc[low : low + step]
+                if kind == "linear":
+                    found = _times(part, coef[:-1])
+                else:
+                    found = kernel_matrix(dense(part, width), marks, kind, gamma) @ coef[:-1]
+                found = found + coef[-1]
+                parts.append(found if after is None else after(found))
+            yield pd.Series([row for part in parts for row in part], dtype=object)
+
+    return margins(rows)
+
+
+def _times(batch: pd.DataFrame, coef: np.ndarray) -> np.ndarray:
+    """Rows of `packed` vectors times a matrix, without filling sparse rows up."""
+    out = np.zeros((len(batch), coef.shape[1]))
+    for i, (where, values) in enumerate(zip(batch["indices"], batch["values"], strict=True)):
+        out[i] = values @ (coef if where is None else coef[where])
+    return out
+
+
+class KernelMargins(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Pipeline stage: vector in, array of the margins of several linear models on its (kernel) features out."""
+
+    kind = Param(Params._dummy(), "kind", "linear, rbf, sigmoid or poly", TypeConverters.toString)
+    gamma = Param(Params._dummy(), "gamma", "kernel width", TypeConverters.toFloat)
+    marks = Param(Params._dummy(), "marks", "landmark rows", TypeConverters.identity)
+    coef = Param(Params._dummy(), "coef", "weights of each model, its intercept last", TypeConverters.identity)
+
+    @keyword_only
+    def __init__(self, *, inputCol=None, outputCol=None, kind="linear", gamma=1.0, marks=None, coef=None):
+        super().__init__()
+        self._setDefault(kind="linear", gamma=1.0, marks=[], coef=[])
+        self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
+
+    @property
+    def n_models(self) -> int:
+        return len(self.getOrDefault(self.coef))
+
+    def matrix(self) -> np.ndarray:
+        """(features + 1) x models."""
+        return np.array(self.getOrDefault(self.coef), dtype=np.float64).T
+
+    def of(self, rows: Column, coef: np.ndarray | None = None, after=None) -> Column:
+        marks = np.array(self.getOrDefault(self.marks), dtype=np.float64)
+        matrix = self.matrix() if coef is None else coef
+        return margins_column(rows, matrix, marks, self.getOrDefault(self.kind), self.getOrDefault(self.gamma), after)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        return dataset.withColumn(self.getOutputCol(), self.of(packed(dataset, self.getInputCol())))
+
+
 def kernel_table(
     df: DataFrame, marks: DataFrame, kind: str, gamma: float, vec: str, id_col: str = ID
 ) -> DataFrame:

@@ -2,7 +2,8 @@
 
 An exact kernel solver needs all pairs of rows. Here a kernel model is a linear
 one over the kernel values against a few landmark rows, so cost grows linearly
-with the rows and the training is MLlib's distributed optimiser.
+with the rows. A plain linear model is trained by MLlib's distributed optimiser,
+kernel models and all that a calibration needs by the batched one.
 """
 
 from __future__ import annotations
@@ -13,21 +14,23 @@ from dataclasses import asdict, dataclass, field, replace
 from functools import partial
 from itertools import combinations
 
-from pyspark.ml import PipelineModel, Transformer
-from pyspark.ml.classification import LinearSVC, LinearSVCModel, LogisticRegression
+import numpy as np
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import LinearSVC, LinearSVCModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from corpuslens.functions.hashing import hash_unit
-from corpuslens.operators.kernels import KernelFeatures, gamma_scale, landmarks
+from corpuslens.operators.batched import Problem, TrainingTable, cross_margins, logistic_curves, train, training_table
+from corpuslens.operators.kernels import KernelMargins, gamma_scale, landmarks
 from corpuslens.operators.ranking import by_class, class_counts
+from corpuslens.operators.splits import stratified_kfold
 from corpuslens.schema import ID, LABEL
-from corpuslens.session import side_by_side, stage
+from corpuslens.session import side_by_side
 
 MAX_CLASSES = 100
 ROWS_PER_TASK = 10_000
-HELD_OUT = 0.2
+CALIBRATION_FOLDS = 5
 
 
 def _few_tasks(df: DataFrame, n: int) -> DataFrame:
@@ -62,6 +65,9 @@ class SvmSpec:
         weight: str | None = None,
     ) -> SvmModel:
         """`df` should be a stored or cached table: training passes over it many times."""
+        if self.kernel != "linear" or self.probability:
+            weights = {"model": weight} if weight else None
+            return fit_many({"model": self}, df, vec, label, id_col, weights)["model"]
         data = df.select(id_col, label, vec, *([weight] if weight else []))
         if not isinstance(data.schema[vec].dataType, VectorUDT):
             data = data.withColumn(vec, array_to_vector(F.col(vec).cast("array<double>")))
@@ -73,40 +79,19 @@ class SvmSpec:
             share = by_class(label, {c: rows / (len(counts) * m) for c, m in counts.items()})
             data = data.withColumn("_share", share * F.col(weight) if weight else share)
             weight = "_share"
-        maps = self._maps(data, vec, id_col)
-        mapped = data
-        for m in maps:
-            mapped = m.transform(mapped)
-        features = "_kernel" if maps else vec
-        if maps:  # every class and every step of the optimiser reads the kernel values again
-            mapped = stage(mapped.select(label, features, *([weight] if weight else [])), "kernel")
         classes = list(counts)
         n = sum(counts.values())
         if len(classes) == 2 or self.multiclass == "ovo":
             tasks = [
-                (mapped.where(F.col(label).isin([a, b])), b, counts[a] + counts[b])
+                (data.where(F.col(label).isin([a, b])), b, counts[a] + counts[b])
                 for a, b in combinations(classes, 2)
             ]
         else:
-            tasks = [(mapped, c, n) for c in classes]
+            tasks = [(data, c, n) for c in classes]
         models = side_by_side(
-            [partial(self._fit_one, rows, c, size, features, label, weight) for rows, c, size in tasks]
+            [partial(self._fit_one, rows, c, size, vec, label, weight) for rows, c, size in tasks]
         )
-        model = SvmModel(self, classes, maps, models, features if maps else None)
-        return self._calibrated(model, data, vec, label, id_col, weight) if self.probability else model
-
-    def _maps(self, data: DataFrame, vec: str, id_col: str) -> list[Transformer]:
-        if self.kernel == "linear":
-            return []
-        gamma = self.gamma
-        if gamma is None:
-            gamma = gamma_scale(data, vec).first().gamma
-        marks = landmarks(data, self.n_landmarks, vec, self.seed, id_col)
-        return [
-            KernelFeatures(
-                inputCol=vec, outputCol="_kernel", kind=self.kernel, gamma=gamma, marks=marks.tolist()
-            )
-        ]
+        return SvmModel(self, classes, [], models)
 
     def _fit_one(self, rows, positive, n, features, label, weight) -> LinearSVCModel:
         target = rows.withColumn("_y", (F.col(label) == F.lit(positive)).cast("double"))
@@ -123,33 +108,120 @@ class SvmSpec:
             learner = learner.setWeightCol(weight)
         return learner.fit(_few_tasks(target, n))
 
-    def _calibrated(self, model, data, vec, label, id_col, weight) -> SvmModel:
-        """Logistic curves fitted on margins of rows the margin model has not seen.
+    def _pairs(self, classes: list) -> list[tuple[int, tuple[int, ...] | None]]:
+        """(positive class, classes that take part) of each of the models, by class places."""
+        if len(classes) == 2 or self.multiclass == "ovo":
+            return [(b, (a, b)) for a, b in combinations(range(len(classes)), 2)]
+        return [(c, None) for c in range(len(classes))]
+
+    def problems(self, table: TrainingTable, gamma: float, held: int = -1, weight: int = -1) -> list[Problem]:
+        shares = None
+        if self.balanced:
+            counts = [sum(n for (y, _), (n, _) in table.counts.items() if y == c) for c in range(len(table.classes))]
+            shares = tuple(sum(counts) / (len(counts) * n) for n in counts)
+        return [
+            Problem(self.kernel, gamma, self.C, positive, among, held, weight, shares)
+            for positive, among in self._pairs(table.classes)
+        ]
+
+
+def spec_gammas(specs: list[SvmSpec], data: DataFrame, vec: str) -> list[float]:
+    """The kernel width of each; the scaled default is computed once."""
+    scaled = None
+    if any(s.gamma is None and s.kernel != "linear" for s in specs):
+        scaled = float(gamma_scale(data, vec).first().gamma)
+    return [float(s.gamma) if s.gamma is not None else scaled or 1.0 for s in specs]
+
 
-        Each row decides by its own hash whether it is held out: no shuffle. A class
-        without rows on both sides of that draw is an error.
-        """
-        out = hash_unit(id_col, f"{self.seed}:calibrate") < HELD_OUT
-        counts = class_counts(data.where(out), label)
-        thin = set(model.classes) - (counts.keys() & class_counts(data.where(~out), label).keys())
+def spec_marks(specs: list[SvmSpec], data: DataFrame, vec: str, id_col: str) -> np.ndarray | None:
+    kernels = {(s.n_landmarks, s.seed) for s in specs if s.kernel != "linear"}
+    if not kernels:
+        return None
+    (m, seed), = kernels
+    return landmarks(data, m, vec, seed, id_col)
+
+
+def fit_many(
+    specs: dict[str, SvmSpec],
+    df: DataFrame,
+    vec: str = "features",
+    label: str = LABEL,
+    id_col: str = ID,
+    weights: dict[str, str] | None = None,
+    folds: int = CALIBRATION_FOLDS,
+) -> dict[str, SvmModel]:
+    """All models, and the fold models that their calibration needs, trained side by side.
+
+    Probabilities come from logistic curves over margins of rows that the margin's model has
+    not seen: rows fall into stratified folds, each scored by a model of the others. A class
+    of fewer rows than `folds` lowers their number; one of a single row is an error. `weights`
+    names the row weights of a spec. Ids are unique. Specs of different landmarks go one by one.
+    """
+    kinds = {(s.n_landmarks, s.seed) for s in specs.values() if s.kernel != "linear"}
+    if len(kinds) > 1:
+        return {n: m for n, s in specs.items() for n, m in fit_many({n: s}, df, vec, label, id_col, weights, folds).items()}
+    names = list(dict.fromkeys((weights or {}).values()))
+    data = df.select(id_col, label, vec, *names)
+    counts = class_counts(data, label, MAX_CLASSES)
+    if len(counts) < 2:
+        raise ValueError("training needs at least two classes")
+    classes, list_ = list(counts), list(specs.values())
+    calibrated = any(s.probability for s in list_)
+    if calibrated:
+        thin = [c for c, n in counts.items() if n < 2]
         if thin:
-            raise ValueError(f"too few rows to calibrate probabilities for {sorted(thin)}")
-        part = replace(self, probability=False).fit(data.where(~out), vec, label, id_col, weight)
-        scored = part.transform(data.where(out), vec)
-        n = sum(counts.values())
-        scored = _few_tasks(scored.select(label, "margins"), n).persist()
-        curves = []
-        positives = model.classes[1:] if len(model.classes) == 2 else model.classes
-        for c in positives:
-            margin = F.col("margins")[model.classes.index(c)]
-            rows = scored.select(
-                array_to_vector(F.array(margin)).alias("m"),
-                (F.col(label) == F.lit(c)).cast("double").alias("_y"),
-            )
-            curve = LogisticRegression(featuresCol="m", labelCol="_y", maxIter=50).fit(rows)
-            curves.append((float(curve.coefficients[0]), float(curve.intercept)))
-        scored.unpersist()
-        return replace(model, curves=curves)
+            raise ValueError(f"too few rows to calibrate probabilities for {thin}")
+        folds = min(folds, *counts.values())
+        data = stratified_kfold(data, folds, label, id_col)
+    marks, gammas = spec_marks(list_, data, vec, id_col), spec_gammas(list_, data, vec)
+    place = {n: names.index(w) for n, w in (weights or {}).items()}
+    fold = "fold" if calibrated else None
+    work = len(list_) * len(classes) * (folds + 1 if calibrated else 1)
+    table = training_table(data, vec, label, classes, id_col, marks, fold, names, work)
+    todo, where = [], {}
+    for (name, spec), gamma in zip(specs.items(), gammas):
+        for held in [-1, *(range(folds) if spec.probability else [])]:
+            own = spec.problems(table, gamma, held, place.get(name, -1))
+            where[name, held] = (len(todo), len(todo) + len(own))
+            todo += own
+    coefs = train(table, todo, max(s.max_iter for s in list_))
+    models = {}
+    for (name, spec), gamma in zip(specs.items(), gammas):
+        low, high = where[name, -1]
+        models[name] = linear_model(spec, classes, gamma, marks, coefs[low:high])
+    if not calibrated:
+        return models
+    open_ = [n for n, s in specs.items() if s.probability]
+    numbers = [i for held in range(folds) for n in open_ for i in range(*where[n, held])]
+    id_type = data.schema[id_col].dataType.simpleString()
+    margins = cross_margins(table, [todo[i] for i in numbers], [coefs[i] for i in numbers], id_type)
+    targets, owner, at = [], [], 0
+    for name in open_:
+        model = models[name]
+        n = model.n_raws
+        each = model.margins_of([F.col("raw")[at + i] for i in range(n)])
+        at += n
+        weight = F.col("_w")[place[name]] if name in place else F.lit(1.0)
+        for c in range(1, 2) if len(classes) == 2 else range(len(classes)):
+            targets.append((each[c], (F.col("_y") == c).cast("double"), weight))
+            owner.append(name)
+    curves: dict[str, list] = {n: [] for n in open_}
+    for name, curve in zip(owner, logistic_curves(margins, targets)):
+        curves[name].append(curve)
+    return {n: replace(m, curves=curves[n]) if n in curves else m for n, m in models.items()}
+
+
+def linear_model(
+    spec: SvmSpec, classes: list, gamma: float, marks: np.ndarray | None, coefs: list[np.ndarray]
+) -> SvmModel:
+    """A model from trained weights (the intercept last) of its two-class parts."""
+    stage_ = KernelMargins(
+        kind=spec.kernel,
+        gamma=gamma,
+        marks=[] if spec.kernel == "linear" or marks is None else marks.tolist(),
+        coef=[c.tolist() for c in coefs],
+    )
+    return SvmModel(spec, classes, [], [stage_])
 
 
 @dataclass(frozen=True)
@@ -158,42 +230,45 @@ class SvmModel:
     classes: list
     maps: list
     models: list
-    mapped: str | None = None
     curves: list = field(default_factory=list)
 
+    @property
+    def n_raws(self) -> int:
+        return self.models[0].n_models if isinstance(self.models[0], KernelMargins) else len(self.models)
+
     def transform(self, df: DataFrame, vec: str = "features", prefix: str = "") -> DataFrame:
         """Adds `margins`, `prediction` and, if calibrated, `probability` (class order)."""
-        out = df
-        features = vec
-        if not isinstance(df.schema[vec].dataType, VectorUDT):
-            features = "_vec"
-            out = out.withColumn(features, array_to_vector(F.col(vec).cast("array<double>")))
-        for m in self.maps:
-            out = m.copy({m.inputCol: features}).transform(out)
-        features = self.mapped or features
-        raws = []
-        for i, model in enumerate(self.models):
-            scorer = model.copy(
-                {
-                    model.featuresCol: features,
-                    model.rawPredictionCol: f"_raw{i}",
-                    model.predictionCol: f"_pred{i}",
-                }
-            )
-            out = scorer.transform(out)
-            raws.append(vector_to_array(F.col(f"_raw{i}"))[1])
-        margins = F.array(*self._margins(raws))
-        out = out.withColumn(f"{prefix}margins", margins)
+        out, features = df, vec
+        if isinstance(self.models[0], KernelMargins):
+            out = self.models[0].copy({self.models[0].inputCol: vec, self.models[0].outputCol: "_raws"}).transform(out)
+            raws = [F.col("_raws")[i] for i in range(self.n_raws)]
+        else:
+            if not isinstance(df.schema[vec].dataType, VectorUDT):
+                features = "_vec"
+                out = out.withColumn(features, array_to_vector(F.col(vec).cast("array<double>")))
+            raws = []
+            for i, model in enumerate(self.models):
+                scorer = model.copy(
+                    {
+                        model.featuresCol: features,
+                        model.rawPredictionCol: f"_raw{i}",
+                        model.predictionCol: f"_pred{i}",
+                    }
+                )
+                out = scorer.transform(out)
+                raws.append(vector_to_array(F.col(f"_raw{i}"))[1])
+        out = out.withColumn(f"{prefix}margins", F.array(*self.margins_of(raws)))
         best = F.array_position(f"{prefix}margins", F.array_max(f"{prefix}margins"))
         names = F.array(*[F.lit(c) for c in self.classes])
         out = out.withColumn(f"{prefix}prediction", F.element_at(names, best.cast("int")))
         if self.curves:
             out = out.withColumn(f"{prefix}probability", self._probability(f"{prefix}margins"))
         drop = [f"_raw{i}" for i in range(len(self.models))]
-        drop += [f"_pred{i}" for i in range(len(self.models))] + ["_vec", "_kernel"]
+        drop += [f"_pred{i}" for i in range(len(self.models))] + ["_vec", "_raws"]
         return out.drop(*drop)
 
-    def _margins(self, raws: list[Column]) -> list[Column]:
+    def margins_of(self, raws: list[Column]) -> list[Column]:
+        """The margin of each class from those of the two-class parts."""
         if len(self.classes) == 2:
             return [-raws[0], raws[0]]
         if self.spec.multiclass != "ovo":
@@ -226,7 +301,6 @@ class SvmModel:
             "spec": asdict(self.spec),
             "classes": self.classes,
             "maps": len(self.maps),
-            "mapped": self.mapped,
             "curves": self.curves,
         }
         spark.createDataFrame([(json.dumps(facts),)], "value string").coalesce(1).write.mode(
@@ -240,5 +314,5 @@ class SvmModel:
         n = facts["maps"]
         curves = [tuple(c) for c in facts["curves"]]
         return cls(
-            SvmSpec(**facts["spec"]), facts["classes"], stages[:n], stages[n:], facts["mapped"], curves
+            SvmSpec(**facts["spec"]), facts["classes"], stages[:n], stages[n:], curves
         )

@@ -181,7 +181,7 @@ def test_bagging_and_boosting(spark, ring):
     assert abs(weight[0] - 1) < 0.06 and abs(weight[1] - 1) < 0.12
     spec = SvmSpec(kernel="rbf", gamma=1.0, n_landmarks=15, max_iter=8)
     assert hit_rate(V.fit_bagging(ring, spec, 2), ring) > 0.9
-    assert hit_rate(V.fit_adaboost(ring, spec, 3, stage_every=1), ring) > 0.9
+    assert hit_rate(V.fit_adaboost(ring, spec, 3), ring) > 0.9
 
 
 def test_boost_round_weights(spark):
