@@ -36,7 +36,7 @@ def _hashed_turns(turns: DataFrame) -> DataFrame:
             }
         )
     )
-    inner = Window.partitionBy("conv_id", "block").orderBy("turn", "h1", "h2")
+    inner = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "text")
     rows = rows.withColumn("place", F.row_number().over(inner).cast("bigint"))
     rows = stage(rows, "chat-turns")
     sizes = rows.groupBy("conv_id", "block").agg(F.count("*").alias("n"))
@@ -96,8 +96,8 @@ def maximal_conversations(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
 def format_chats(turns: DataFrame) -> DataFrame:
     """conv_id, part, n_turns, n_copies and rendered `text` of every maximal conversation.
 
-    A conversation is the list of its turns by `turn` (null first; two rows of one
-    turn in hash order; equal rows count once). Null role or text reads as empty.
+    A conversation is the list of its turns by `turn` (null first; rows of one turn
+    by role, then text; equal rows count once). Null role or text reads as empty.
     Rows without conv_id are left out; a table without rows gives none. Parts of
     `PART_TURNS` turns keep the rendering of a very long conversation bounded; all
     others have part 0 alone. Marker strings inside a text are broken up.

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpuslens.functions.hashing import hash_unit
-from corpuslens.llm.common import text_slices
+from corpuslens.llm.common import free_name, text_slices
 
 BINS = 1 << 16
 MAX_LANGUAGES = 200
@@ -159,16 +159,19 @@ def predict_language(
 ) -> DataFrame:
     """`keep` columns of each row, the predicted language and its posterior (called `names`).
 
+    Where `keep` has a column of such a name, the new one gets underscores before its own.
     A null text, or one without any letter, is `und` with score 0. Ties go to the
     first language by name. Long texts are scored whole, in slices of bounded size.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    columns = docs.select(*keep, F.col("text").alias("__read"))
-    schema = columns.drop("__read").withColumns({names[0]: F.lit(""), names[1]: F.lit(0.0)}).schema
+    read = free_name(list(keep), "read")
+    columns = docs.select(*keep, F.col("text").alias(read))
+    names = (free_name(list(keep), names[0]), free_name(list(keep), names[1]))
+    schema = columns.drop(read).withColumns({names[0]: F.lit(""), names[1]: F.lit(0.0)}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, "__read"):
-            texts = [text or "" for text in batch.column("__read").to_pylist()]
+        for batch in text_slices(batches, read):
+            texts = [text or "" for text in batch.column(read).to_pylist()]
             found, score = _score(shared.value, texts)
             kept = [batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(
@@ -243,13 +246,14 @@ def has_language(docs: DataFrame, *keep: str, name: str = "has_language") -> Dat
     first, second = fit_language_model(docs.where(half)), fit_language_model(docs.where(~half))
     judges = {True: LanguageJudge(second, first), False: LanguageJudge(first, second)}
     shared = docs.sparkSession.sparkContext.broadcast(judges)
+    read, label, own_half = (free_name([*keep, name], n) for n in ("read", "label", "half"))
     columns = docs.select(
-        *keep, F.col("text").alias("__read"), F.col("lang").cast("string").alias("__label"), half.alias("__half")
+        *keep, F.col("text").alias(read), F.col("lang").cast("string").alias(label), half.alias(own_half)
     )
-    schema = columns.drop("__read", "__label", "__half").withColumns({name: F.lit(True)}).schema
+    schema = columns.drop(read, label, own_half).withColumns({name: F.lit(True)}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, "__read"):
+        for batch in text_slices(batches, read):
             texts, labels, halves = (batch.column(i).to_pylist() for i in range(batch.num_columns - 3, batch.num_columns))
             found = np.zeros(len(texts), dtype=bool)
             for half, judge in shared.value.items():

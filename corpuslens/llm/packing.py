@@ -37,6 +37,9 @@ K1, B = 1.2, 0.75
 #: Fixed value: how byte-level BPE of this family cuts text before merging.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+LONG_BLANK = 50_000
+LONG_RUN = re.compile(r"\s{%d}" % LONG_BLANK)
+
 
 @lru_cache(maxsize=2)
 def _encoder(path: str):
@@ -55,6 +58,15 @@ def _encoder(path: str):
     return tiktoken.Encoding("byte-bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@lru_cache(maxsize=2)
+def _library(path: str):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    return tokenizer
+
+
 @lru_cache(maxsize=2)
 def _added_tokens(path: str) -> dict[str, int]:
     with open(path, encoding="utf-8") as file:
@@ -69,10 +81,12 @@ class Tokeniser:
     """Ids of whole texts, as an array of the smallest fitting kind.
 
     With `added`, the file's added tokens get their ids in running text, as in the
-    tokenizers library left at its defaults; else they are ordinary text.
+    tokenizers library left at its defaults; else they are ordinary text. Texts with
+    very long runs of blanks, at which the faster loop's pattern fails, go through that library.
     """
 
     def __init__(self, path: str, added: bool = False):
+        self.path = path
         self.encoding = _encoder(path)
         tokens = _added_tokens(path)
         most = max([self.encoding.n_vocab, *(i + 1 for i in tokens.values())])
@@ -81,12 +95,17 @@ class Tokeniser:
         longest_first = sorted(self.added, key=len, reverse=True)
         self.cut = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if self.added else None
 
+    def _ordinary(self, text: str) -> list[int]:
+        if len(text) > LONG_BLANK and LONG_RUN.search(text):
+            return _library(self.path).encode(text, add_special_tokens=False).ids
+        return self.encoding.encode_ordinary(text)
+
     def __call__(self, text: str) -> np.ndarray:
         if not any(token in text for token in self.added):
-            return np.array(self.encoding.encode_ordinary(text), dtype=self.dtype)
+            return np.array(self._ordinary(text), dtype=self.dtype)
         ids: list[int] = []
         for part in self.cut.split(text):
-            ids += [self.added[part]] if part in self.added else self.encoding.encode_ordinary(part)
+            ids += [self.added[part]] if part in self.added else self._ordinary(part)
         return np.array(ids, dtype=self.dtype)
 
 

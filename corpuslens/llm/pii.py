@@ -16,6 +16,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from corpuslens.llm.common import free_name
 
 ROUNDS = 10
+#: Steps until a number is valid again: one in nine misses, so the chance of none in so many is below 1e-22.
+WALK = 24
+#: Days of a window of dates, as the sizes of a permutation's halves.
+DATE_WINDOW = (50, 80)
 #: What a candidate looks like. Every alternative starts at a boundary and has
 #: bounded repeats, so that one very long word costs linear time.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
@@ -155,23 +159,43 @@ def _phone(m: Column, key: str) -> Column:
 
 
 def _ssn(m: Column, key: str) -> Column:
-    valid = ~m.rlike(r"^(000|666|9)|-00-|-0000$")
-    return F.when(valid, let(permute_digits(_digits(m), key, "ssn"), lambda f: refill(m, f))).otherwise(m)
+    """Permuted until the result is valid again: a permutation of the valid numbers."""
+    unused = r"^(?:000|666|9)|^\d{3}00|0000$"
+
+    def walked(d: Column) -> Column:
+        return F.aggregate(
+            F.sequence(F.lit(1), F.lit(WALK)),
+            permute_digits(d, key, "ssn"),
+            lambda x, _: F.when(x.rlike(unused), permute_digits(x, key, "ssn")).otherwise(x),
+        )
+
+    return let(
+        _digits(m), lambda d: F.when(d.rlike(unused), m).otherwise(let(walked(d), lambda f: refill(m, f)))
+    )
 
 
 def _ipv4(m: Column, key: str) -> Column:
-    def replaced(o: Column) -> Column:
+    """Octets written with zeros in front get their pseudonym's octet so, too."""
+
+    def replaced(written: Column) -> Column:
+        o = F.transform(written, lambda x: x.cast("int"))
         size = F.lit(65536).cast("bigint")
         state = feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], size, size, key, F.lit("ipv4"))
+
+        def octet(value: Column, i: int) -> Column:
+            text = value.cast("string")
+            return F.when(written[i].rlike("^0[0-9]"), F.lpad(text, 3, "0")).otherwise(text)
+
         masked = let(
             state,
             lambda s: F.concat_ws(
-                ".", *[x.cast("string") for h in (s["l"], s["r"]) for x in (F.floor(h / 256), h % 256)]
+                ".",
+                *[octet(x, i) for i, x in enumerate(y for h in (s["l"], s["r"]) for y in (F.floor(h / 256), h % 256))],
             ),
         )
         return F.when(F.forall(o, lambda x: x <= 255), masked).otherwise(m)
 
-    return let(F.transform(F.split(m, r"\."), lambda x: x.cast("int")), replaced)
+    return let(F.split(m, r"\."), replaced)
 
 
 def _iban(m: Column, key: str) -> Column:
@@ -196,21 +220,22 @@ def _iban(m: Column, key: str) -> Column:
 
 
 def _date(m: Column, key: str, pattern: str) -> Column:
-    """Days of 400-year blocks (1700 to 2099, ...) are permuted: 146,097 = 189 x 773 days a block."""
+    """Days of a window of 4,000 (about eleven years) are permuted, so a date stays in its window."""
+    left, right = DATE_WINDOW
 
     def replaced(day: Column) -> Column:
-        block = F.floor((F.year(day) - 100) / 400) * 400 + 100
-        first = F.make_date(block.cast("int"), F.lit(1), F.lit(1))
-        index = F.datediff(day, first).cast("bigint")
+        number = F.datediff(day, F.lit("1970-01-01").cast("date")).cast("bigint")
+        window = F.floor(number / (left * right)).cast("bigint")
+        index = number - window * (left * right)
         state = feistel(
-            F.floor(index / 773),
-            index % 773,
-            F.lit(189).cast("bigint"),
-            F.lit(773).cast("bigint"),
+            F.floor(index / right),
+            index % right,
+            F.lit(left).cast("bigint"),
+            F.lit(right).cast("bigint"),
             key,
-            F.concat(F.lit("date"), block.cast("string")),
+            F.concat(F.lit("date"), window.cast("string")),
         )
-        masked = let(state, lambda s: F.date_add(first, (s["l"] * 773 + s["r"]).cast("int")))
+        masked = let(state, lambda s: F.date_add(day, (s["l"] * right + s["r"] - index).cast("int")))
         ok = day.isNotNull() & F.year(day).between(100, 9699)
         return F.when(ok, F.date_format(masked, pattern)).otherwise(m)
 
@@ -243,11 +268,15 @@ def pseudonymise(
 ) -> DataFrame:
     """All columns, with `column` masked and the number of replaced values added as `count` (bigint).
 
+    A column that is called `count` keeps its name; the number then gets underscores before its own.
+    Kept as they are: the country digits of a phone number, the first digits of an account
+    number of more than 18, and dates before the year 100 or after 9699.
     Null stays null and an empty text empty, with 0 replaced. Candidates that fail
     their check stay as they are. The result of a row depends on its text and `key`
     alone, so repeated rows and values stay equal. `key` is the secret; the default
     is for tests.
     """
+    count = free_name(docs.columns, count)
     text = F.col(column)
     found = F.when(text.rlike(SIGN), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)))
 

@@ -122,6 +122,12 @@ SELECT t.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BI
 FROM t LEFT JOIN k ON t.doc_id = k.doc_id
 """
 
+#: The function words that the rule on them counts, written out for the SQL on its own.
+FUNCTION_WORDS = (
+    "the of and to in is that it was for on are as with by this le la les de des du et un une que qui dans en pour "
+    "der die das und ist von den mit ein eine nicht zu el los las del y que en una por con para no"
+)
+
 QUALITY_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '{SQL_BLANK}'), lambda x: x <> '') AS ws,
@@ -135,17 +141,19 @@ c AS (SELECT doc_id, pos, CASE WHEN g IS NOT NULL AND count(*) OVER (PARTITION B
 r AS (SELECT doc_id, max(twice) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS inside FROM c),
 n AS (SELECT doc_id, sum(inside) AS n_repeat_words FROM r GROUP BY doc_id),
 m AS (SELECT w.doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
-             length(t) - length(translate(t, '{quality.SYMBOLS}', '')) AS n_symbols,
+             length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols,
+             length(t) - length(translate(t, '!?', '')) AS n_marks,
              len(ls) - len(list_distinct(ls)) AS n_dup_lines, len(ls) AS n_lines,
              coalesce(n_repeat_words, 0) AS n_repeat_words,
-             len(list_filter(ws, lambda x: list_contains({quality.STOP_WORDS!r}, lower(x)))) AS n_stop
+             len(list_filter(ws, lambda x: list_contains(string_split('{FUNCTION_WORDS}', ' '),
+                                                         trim(lower(x), '.,;:!?()[]{{}}"''«»„“”…')))) AS n_stop
       FROM w LEFT JOIN n ON w.doc_id = n.doc_id),
 v AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
        n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
-       NOT base_failed AND n_words <= 1000000 AND word_chars / n_words BETWEEN 1.5 AND 30.0
-       AND n_symbols / n_words <= 0.3 AND n_stop / n_words <= 0.95 AND n_dup_lines / n_lines <= 0.5
-       AND n_repeat_words / n_words <= 0.3 AS kept
+       NOT base_failed AND n_words <= 100000 AND word_chars / n_words BETWEEN 3.0 AND 10.0
+       AND n_symbols / n_words <= 0.1 AND n_marks / n_words <= 0.5 AND n_stop / n_words BETWEEN 0.03 AND 0.8
+       AND n_dup_lines / n_lines <= 0.4 AS kept
 FROM v
 """
 

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from corpuslens.llm.common import text_slices
+from corpuslens.llm.common import free_name, text_slices
 
 CHUNK = re.compile(r" *[^ ]+| +")
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -222,13 +222,16 @@ def sample_pieces(docs: DataFrame, model_file: str, seed: int = 7, alpha: float
     """key, ids array<int>, n_pieces and `lossless` (decoding gives the text again).
 
     A null text gives null ids, 0 pieces and lossless true; an empty one an empty
-    list. A null key counts as 0. Rows with equal key and text get equal pieces.
+    list. A null key counts as 0. Rows with equal key and text get equal pieces. A key
+    column that is called like a new one keeps its name; the new one gets underscores before it.
     """
+    added = [free_name([key], n) for n in ("ids", "n_pieces", "lossless")]
+    read = free_name([key], "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load_pieces(model_file, alpha)
-        for batch in text_slices(batches, limit=2 << 20):
-            raw = batch.column("text").to_pylist()
+        for batch in text_slices(batches, read, 2 << 20):
+            raw = batch.column(1).to_pylist()
             keys = [k or 0 for k in batch.column(0).to_pylist()]
             found = encode_slice([t or "" for t in raw], keys, seed, pieces)
             same = [decode(f, pieces) == (t or "") for f, t in zip(found, raw)]
@@ -237,9 +240,10 @@ def sample_pieces(docs: DataFrame, model_file: str, seed: int = 7, alpha: float
             offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32(), mask=np.array([t is None for t in raw] + [False]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.ListArray.from_arrays(offsets, values), pa.array(sizes, pa.int64()), pa.array(same)],
-                names=[key, "ids", "n_pieces", "lossless"],
+                names=[key, *added],
             )
 
-    return docs.select(F.col(key).cast("bigint").alias(key), "text").mapInArrow(
-        run, f"{key} bigint, ids array<int>, n_pieces bigint, lossless boolean"
+    kinds = ("bigint", "array<int>", "bigint", "boolean")
+    return docs.select(F.col(f"`{key}`").cast("bigint").alias(key), F.col("text").alias(read)).mapInArrow(
+        run, ", ".join(f"`{n}` {kind}" for n, kind in zip([key, *added], kinds))
     )

@@ -1,15 +1,18 @@
 """Exact top-k by inner product: a Voronoi join.
 
-Rows belong to the cell of their nearest pivot. A summary of each cell (rows, radius,
-pivot) gives for every query a lower bound of its k-th best score and an upper bound
-of what a cell can hold; a query visits only the cells that can matter, and a cell's
-rows go only to the groups of queries that visit it. Each group of queries then meets
-each bounded block of rows in one small task, and the blocks' best k are merged.
+Rows and queries belong to the cell of their nearest pivot; there are about as many pivots
+as the root of the rows. Summaries of the cells (rows, radius, queries' radius) give for each
+group of queries - those of one cell - a lower bound of the k-th best score of all of them,
+and an upper bound of what any cell can hold for them: only cells that can matter are visited.
+Cells are bundled into blocks, groups into chunks; a row goes to the chunks that visit its
+cell, a query to the blocks its group visits, each meeting is one bounded task, in which a
+group is compared with the cells it visits alone. The meetings' best k are merged.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,7 +23,8 @@ from corpuslens.functions.hashing import hash_key
 from corpuslens.session import stage
 
 SCALE = 256
-MAX_PIVOTS = 256
+#: Bounds the pivots, and the table of (group, cell) pairs by its square.
+MAX_PIVOTS = 4096
 EXACT = 1 << 53
 
 
@@ -46,7 +50,7 @@ def scaled(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding"
 
 
 def _nearest(pivots):
-    @pandas_udf("cell int, dist double, norm double")
+    @pandas_udf("cell int, dist double")
     def nearest(v: pd.Series) -> pd.DataFrame:
         p, x = pivots.value, _matrix(v)
         dist = np.empty(len(x))
@@ -56,122 +60,168 @@ def _nearest(pivots):
             square = (part**2).sum(1)[:, None] + (p**2).sum(1)[None] - 2.0 * part @ p.T
             cell[low : low + 4096] = square.argmin(1)
             dist[low : low + 4096] = np.linalg.norm(part - p[cell[low : low + 4096]], axis=1)
-        return pd.DataFrame({"cell": cell, "dist": dist, "norm": np.linalg.norm(x, axis=1)})
+        return pd.DataFrame({"cell": cell, "dist": dist})
 
     return nearest
 
 
-def _visits(summary, k: int):
-    """Cells whose upper bound reaches the lower bound of the k-th best score."""
+def visited_cells(pivots: np.ndarray, rows: np.ndarray, radius: np.ndarray, asked: np.ndarray, k: int) -> np.ndarray:
+    """(groups, cells): whether a cell can hold one of the k best of a query of the group.
 
-    @pandas_udf("array<int>")
-    def visits(v: pd.Series, norm: pd.Series) -> pd.Series:
-        cells, p, radius, rows = summary.value
-        x, size = _matrix(v), norm.to_numpy()[:, None]
-        centre = x @ p.T
-        slack = 1e-6 * (1.0 + np.abs(centre) + size * radius)
-        low, high = centre - size * radius - slack, centre + size * radius + slack
-        order = np.argsort(-low, axis=1, kind="stable")
-        held = np.cumsum(rows[order], axis=1) >= k + 1  # one of the rows may be the query itself
-        at = np.where(held.any(axis=1), held.argmax(axis=1), order.shape[1] - 1)
-        each = np.arange(len(x))
-        bound = np.where(held.any(axis=1), low[each, order[each, at]], -np.inf)
-        return pd.Series([cells[row].tolist() for row in high >= bound[:, None]])
-
-    return visits
-
-
-def _best(k: int):
+    `rows` and `radius` are the cells' row counts and largest distances from the pivot, `asked` the
+    largest distance of a cell's queries from it (negative: the cell has no queries).
+    """
+    product = pivots @ pivots.T
+    size = np.linalg.norm(pivots, axis=1)
+    far = np.maximum(asked, 0.0)
+    apart = far[:, None] * size[None] + size[:, None] * radius[None] + far[:, None] * radius[None]
+    apart += 1e-6 * (1.0 + np.abs(product) + apart)
+    low, high = product - apart, product + apart
+    order = np.argsort(-low, axis=1, kind="stable")
+    held = np.cumsum(rows[order], axis=1) >= k + 1  # one of the rows may be the query itself
+    each = np.arange(len(pivots))
+    at = np.where(held.any(axis=1), held.argmax(axis=1), 0)
+    bound = np.where(held.any(axis=1), low[each, order[each, at]], -np.inf)
+    return (high >= bound[:, None]) & (asked >= 0)[:, None]
+
+
+def _bundles(sizes: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first bundle, number of bundles) of each cell: small cells share one, a large cell has several."""
+    first, number = np.zeros(len(sizes), dtype=np.int64), np.ones(len(sizes), dtype=np.int64)
+    bundle, held = -1, limit
+    for i, n in enumerate(sizes.tolist()):
+        if n > limit or held + n > limit:
+            bundle, held = bundle + 1, 0
+        first[i] = bundle
+        if n > limit:
+            number[i] = -(-n // limit)
+            bundle += number[i] - 1
+            held = limit
+        else:
+            held += n
+    return first, number
+
+
+def _best(k: int, shared):
     schema = "query_id bigint, vec_id bigint, score bigint"
 
+    def of_group(ids: np.ndarray, base: np.ndarray, names: np.ndarray, asked: np.ndarray) -> Iterator[pd.DataFrame]:
+        """`ids` rise; the k best (score, smaller id) of each query."""
+        for low in range(0, len(asked), 512):
+            score = asked[low : low + 512] @ base.T
+            own = names[low : low + 512]
+            take = min(k + 1, score.shape[1])
+            # the k+1 best by (score, smaller id): arg-partition on the score alone may cut a tie
+            # the wrong way, so everything not below the (k+1)-th score is kept and ranked
+            edge = np.partition(score, score.shape[1] - take, axis=1)[:, score.shape[1] - take]
+            q, r = np.nonzero(score >= edge[:, None])
+            keep = ids[r] != own[q]
+            q, r = q[keep], r[keep]
+            best = np.lexsort((ids[r], -score[q, r], q))
+            q, r = q[best], r[best]
+            rank = np.arange(len(q)) - np.searchsorted(q, q)
+            q, r = q[rank < k], r[rank < k]
+            yield pd.DataFrame({"query_id": own[q], "vec_id": ids[r], "score": score[q, r].astype(np.int64)})
+
     def solve(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         parts = []
         if len(rows) and len(queries):
-            ids = rows["vec_id"].to_numpy()
-            order = np.argsort(ids, kind="stable")
-            ids, base, asked = ids[order], _matrix(rows["v"])[order], _matrix(queries["v"])
+            visits = shared.value
+            order = np.argsort(rows["vec_id"].to_numpy(), kind="stable")
+            ids, cell = rows["vec_id"].to_numpy()[order], rows["cell"].to_numpy()[order]
+            base, asked = _matrix(rows["v"])[order], _matrix(queries["v"])
             peak = np.abs(base).max(initial=1) * np.abs(asked).max(initial=1) * base.shape[1]
             if peak >= EXACT:
                 base = np.stack(rows["v"].to_numpy())[order].astype(np.int64)
                 asked = np.stack(queries["v"].to_numpy()).astype(np.int64)
-            names = queries["query_id"].to_numpy()
-            for low in range(0, len(asked), 512):
-                score = asked[low : low + 512] @ base.T
-                own = names[low : low + 512]
-                take = min(k + 1, score.shape[1])
-                # the k+1 best by (score, smaller id): arg-partition on the score alone may cut a tie
-                # the wrong way, so everything not below the (k+1)-th score is kept and ranked
-                edge = np.partition(score, score.shape[1] - take, axis=1)[:, score.shape[1] - take]
-                q, r = np.nonzero(score >= edge[:, None])
-                keep = ids[r] != own[q]
-                q, r = q[keep], r[keep]
-                best = np.lexsort((ids[r], -score[q, r], q))
-                q, r = q[best], r[best]
-                rank = np.arange(len(q)) - np.searchsorted(q, q)
-                q, r = q[rank < k], r[rank < k]
-                parts.append(
-                    pd.DataFrame({"query_id": own[q], "vec_id": ids[r], "score": score[q, r].astype(np.int64)})
-                )
+            names, group = queries["query_id"].to_numpy(), queries["cell"].to_numpy()
+            alike: dict[bytes, list[int]] = {}
+            for g in np.unique(group):  # groups that visit the same cells of this block go together
+                seen = visits[g][cell]
+                if seen.any():
+                    alike.setdefault(np.packbits(seen).tobytes(), []).append(g)
+            for groups in alike.values():
+                seen = np.flatnonzero(visits[groups[0]][cell])
+                mine = np.flatnonzero(np.isin(group, groups))
+                parts += of_group(ids[seen], base[seen], names[mine], asked[mine])
         return pd.concat(parts) if parts else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
 
     return solve, schema
 
 
+class VoronoiJoin:
+    """The summaries and the plan of one join; `visits[g, c]` tells whether group g is compared with cell c."""
+
+    def __init__(self, vectors: DataFrame, is_query, k: int = 5, block_rows: int = 32_768, group_queries: int = 32_768):
+        self.spark, self.k, self.is_query = vectors.sparkSession, k, is_query
+        data = stage(scaled(vectors).dropDuplicates(["vec_id", "v"]), "topk-vectors")
+        n, short, long = data.agg(F.count("*"), F.min(F.size("v")), F.max(F.size("v"))).first()
+        self.visits = np.zeros((0, 0), dtype=bool)
+        if not n:
+            return
+        if short != long:
+            raise ValueError(f"vectors of length {short} and {long}")
+        sample = data.orderBy(hash_key("vec_id", "pivot"), "vec_id").limit(min(MAX_PIVOTS, math.isqrt(n - 1) + 1)).collect()
+        pivots = np.unique(np.array([r["v"] for r in sample], dtype=np.float64), axis=0)
+        nearest = _nearest(self.spark.sparkContext.broadcast(pivots))
+        self.placed = stage(data.withColumn("at", nearest("v")).select("vec_id", "v", "at.cell", "at.dist"), "topk-placed")
+        asked = F.when(is_query, F.col("dist"))
+        found = self.placed.groupBy("cell").agg(
+            F.count("*").alias("n"), F.max("dist").alias("r"), F.max(asked).alias("q"), F.count(asked).alias("m")
+        )
+        cells = np.zeros(len(pivots), dtype=[("n", "i8"), ("r", "f8"), ("q", "f8"), ("m", "i8")])
+        cells["q"] = -1.0
+        for c in found.collect():
+            cells[c["cell"]] = (c["n"], c["r"], -1.0 if c["q"] is None else c["q"], c["m"])
+        self.visits = visited_cells(pivots, cells["n"], cells["r"], cells["q"], k) & (cells["n"] > 0)[None]
+        self.blocks, self.chunks = _bundles(cells["n"], block_rows), _bundles(cells["m"], group_queries)
+
+    def _ways(self, own: tuple, other: tuple, visits: np.ndarray) -> DataFrame:
+        """(cell, first, number, targets): the own bundles of each cell, and those of the cells it meets."""
+        rows = []
+        for cell, seen in enumerate(visits):
+            targets = {int(t) + i for t, m in zip(other[0][seen], other[1][seen]) for i in range(int(m))}
+            if targets:
+                rows.append((cell, int(own[0][cell]), int(own[1][cell]), sorted(targets)))
+        return self.spark.createDataFrame(rows, "cell int, first bigint, number bigint, targets array<bigint>")
+
+    def answers(self) -> DataFrame:
+        if not self.visits.any():
+            return self.spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
+        mine = F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("number"))
+        # the two tables of ways have at most MAX_PIVOTS rows
+        rows = self.placed.join(F.broadcast(self._ways(self.blocks, self.chunks, self.visits.T)), "cell").select(
+            "vec_id", "v", "cell", mine.alias("block"), F.explode("targets").alias("chunk")
+        )
+        asked = self.placed.where(self.is_query).join(
+            F.broadcast(self._ways(self.chunks, self.blocks, self.visits)), "cell"
+        )
+        asked = asked.select(
+            F.col("vec_id").alias("query_id"), "v", "cell", mine.alias("chunk"), F.explode("targets").alias("block")
+        )
+        rows, asked = rows.toDF(*rows.columns), asked.toDF(*asked.columns)
+        solve, schema = _best(self.k, self.spark.sparkContext.broadcast(self.visits))
+        partial = (
+            rows.groupBy("block", "chunk").cogroup(asked.groupBy("block", "chunk")).applyInPandas(solve, schema)
+        )
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return (
+            partial.withColumn("rank", F.row_number().over(order))
+            .where(F.col("rank") <= self.k)
+            .select("query_id", "rank", "vec_id", "score")
+        )
+
+
 def inner_product_topk(
-    vectors: DataFrame, is_query, k: int = 5, block_rows: int = 4096, group_queries: int = 4096
+    vectors: DataFrame, is_query, k: int = 5, block_rows: int = 32_768, group_queries: int = 32_768
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k best other rows of each query row.
 
     `vectors` has (vec_id, embedding); `is_query` is a condition on vec_id. Scores are
     integer inner products of `scaled` vectors, ties go to the smaller vec_id, a query
     with fewer than k candidates returns all. Invalid vectors take no part. Rows that
-    share an id are one candidate each; a row never answers a query with its own id.
+    repeat an id and a vector count once; an id with several vectors is a candidate with each
+    of them, and as a query is answered by the best for any. No id answers itself.
     Vectors of different lengths are an error. An empty table gives no rows.
     """
-    spark = vectors.sparkSession
-    data = stage(scaled(vectors), "topk-vectors")
-    n, short, long = data.agg(F.count("*"), F.min(F.size("v")), F.max(F.size("v"))).first()
-    empty = "query_id bigint, rank int, vec_id bigint, score bigint"
-    if not n:
-        return spark.createDataFrame([], empty)
-    if short != long:
-        raise ValueError(f"vectors of length {short} and {long}")
-    n_pivots = max(1, min(MAX_PIVOTS, n // block_rows))
-    sample = data.orderBy(hash_key("vec_id", "pivot"), "vec_id").limit(n_pivots).collect()
-    pivots = np.unique(np.array([r["v"] for r in sample], dtype=np.float64), axis=0)
-    nearest = _nearest(spark.sparkContext.broadcast(pivots))
-    placed = stage(data.withColumn("at", nearest("v")).select("vec_id", "v", "at.*"), "topk-placed")
-    cells = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("dist").alias("r")).orderBy("cell").collect()
-    ids = np.array([c["cell"] for c in cells])
-    summary = spark.sparkContext.broadcast(
-        (ids, pivots[ids], np.array([c["r"] for c in cells]), np.array([c["n"] for c in cells]))
-    )
-    n_blocks = F.create_map(
-        *[x for c in cells for x in (F.lit(c["cell"]), F.lit(-(-c["n"] // block_rows)).cast("bigint"))]
-    )
-    n_groups = max(1, -(-placed.where(is_query).count() // group_queries))
-    # query groups: whole cells next to each other, cut by the id's hash
-    queries = placed.where(is_query).select(
-        F.col("vec_id").alias("query_id"),
-        F.col("v"),
-        F.explode(_visits(summary, k)("v", "norm")).alias("cell"),
-        F.pmod(F.xxhash64("cell") + F.pmod(F.xxhash64("vec_id"), F.lit(16)), F.lit(n_groups)).alias("group"),
-    )
-    wanted = queries.groupBy("cell", "group").agg(F.lit(1).alias("one")).drop("one")
-    rows = placed.select(
-        "vec_id", "v", "cell", F.pmod(F.xxhash64("vec_id"), n_blocks[F.col("cell")]).alias("block")
-    ).join(wanted, "cell")
-    asked = queries.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), n_blocks[F.col("cell")] - 1)).alias("block"))
-    rows, asked = rows.toDF(*rows.columns), asked.toDF(*asked.columns)
-    solve, schema = _best(k)
-    partial = (
-        rows.groupBy("cell", "block", "group")
-        .cogroup(asked.groupBy("cell", "block", "group"))
-        .applyInPandas(solve, schema)
-    )
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (
-        partial.withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
-    )
+    return VoronoiJoin(vectors, is_query, k, block_rows, group_queries).answers()

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from corpuslens.functions.hashing import hash_unit
-from corpuslens.llm.common import text_slices
+from corpuslens.llm.common import free_name, text_slices
 
 WORD = re.compile(r"[^\W\d_]+")
 GRADES = 4
@@ -158,21 +158,22 @@ def score_severity(docs: DataFrame, model: SeverityModel, *keep: str) -> DataFra
     """`keep` columns with `severity` (expected grade), `grade` (most probable) and `toxic`.
 
     `toxic` is true if grade 1 or more has probability 0.5 or more. A null or empty
-    text, or one without words, has all feature values 0. Whole texts are read.
+    text, or one without words, has all feature values 0. Whole texts are read. Where `keep`
+    has a column of such a name, the new one gets underscores before its own.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    columns = docs.select(*keep, "text")
-    schema = (
-        columns.drop("text").withColumns({"severity": F.lit(0.0), "grade": F.lit(0), "toxic": F.lit(True)}).schema
-    )
+    read = free_name(list(keep), "text")
+    columns = docs.select(*keep, F.col("text").alias(read))
+    added = {"severity": F.lit(0.0), "grade": F.lit(0), "toxic": F.lit(True)}
+    schema = columns.drop(read).withColumns({free_name(list(keep), n): c for n, c in added.items()}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         weight = dict(zip(m.bins.tolist(), m.weights.tolist()))
         memo: dict[str, float] = {}
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, read):
             eta = np.zeros(batch.num_rows)
-            for i, text in enumerate(batch.column("text").to_pylist()):
+            for i, text in enumerate(batch.column(read).to_pylist()):
                 if not text:
                     continue
                 if len(memo) > 300_000:
