@@ -36,11 +36,16 @@ DENSE_FEATURES = 4096
 TASK_WORK = 2e7
 
 
+#: Name, width and landmark set of a kernel.
+Kernel = tuple[str, float, int]
+
+
 @dataclass(frozen=True)
 class Problem:
-    """One model. `positive` and `among` are class places; `held` is the fold left out (-1: none).
+    """One model. `positive` and `among` are class places; `held` are (fold column, fold) left out.
 
-    `weight` names the row weight (-1: none), `shares` the weight of each class (None: 1).
+    `marks` names the landmark set, `weight` the row weight (-1: none), `shares` the weight of each
+    class (None: 1).
     """
 
     kernel: str
@@ -48,20 +53,21 @@ class Problem:
     C: float
     positive: int
     among: tuple[int, ...] | None = None
-    held: int = -1
+    held: tuple[tuple[int, int], ...] = ()
+    marks: int = 0
     weight: int = -1
     shares: tuple[float, ...] | None = None
 
     @property
-    def map(self) -> tuple[str, float]:
-        return (self.kernel, 0.0 if self.kernel == "linear" else self.gamma)
+    def map(self) -> Kernel:
+        return (self.kernel, 0.0, 0) if self.kernel == "linear" else (self.kernel, self.gamma, self.marks)
 
 
 @dataclass(frozen=True)
 class Boosted:
     """Members whose mistakes make a row heavier: stacked weights, rows per member, log factors."""
 
-    kernel: tuple[str, float]
+    kernel: Kernel
     coef: np.ndarray  # (features + 1) x (members * raws)
     raws: int
     alphas: np.ndarray
@@ -69,61 +75,74 @@ class Boosted:
 
 @dataclass(frozen=True)
 class TrainingTable:
-    """Rows ready for passes: id, `_y` (class place), `_fold`, `_w` (row weights), indices and values."""
+    """Rows ready for passes: id, `_y` (class place), `_folds`, `_w` (row weights), indices and values."""
 
     rows: DataFrame
     classes: list
+    counts: list[int]
     width: int
-    marks: np.ndarray | None
-    counts: dict[tuple[int, int], tuple[int, list[float]]] = field(default_factory=dict)
-
-    def size(self, p: Problem) -> tuple[int, float]:
-        """(rows, summed weight) that a problem learns from."""
-        n, total = 0, 0.0
-        for (y, fold), (rows, weights) in self.counts.items():
-            if fold != p.held and (p.among is None or y in p.among):
-                n += rows
-                total += (weights[p.weight] if p.weight >= 0 else rows) * (p.shares[y] if p.shares else 1.0)
-        return n, total
+    marks: list[np.ndarray]
+    tasks: int
+
+    def sizes(self, problems: list[Problem]) -> list[tuple[int, float]]:
+        """(rows, summed weight) that each problem learns from, from one aggregate."""
+        kinds = list(dict.fromkeys((p.held, p.weight) for p in problems))
+        sums = []
+        for i, (held, weight) in enumerate(kinds):
+            kept = F.lit(True)
+            for column, fold in held:
+                kept = kept & (F.col("_folds")[column] != fold)
+            w = F.col("_w")[weight] if weight >= 0 else F.lit(1.0)
+            sums += [F.sum(F.when(kept, 1).otherwise(0)).alias(f"n{i}"), F.sum(F.when(kept, w).otherwise(0.0)).alias(f"w{i}")]
+        found = {r["_y"]: r for r in self.rows.groupBy("_y").agg(*sums).collect()}
+        place = {kind: i for i, kind in enumerate(kinds)}
+        out = []
+        for p in problems:
+            i, n, total = place[p.held, p.weight], 0, 0.0
+            for y, r in found.items():
+                if p.among is None or y in p.among:
+                    n += r[f"n{i}"]
+                    total += r[f"w{i}"] * (p.shares[y] if p.shares else 1.0)
+            out.append((n, total))
+        return out
 
 
 def training_table(
     df: DataFrame,
     vec: str,
     label: str,
-    classes: list,
+    counts: dict,
     id_col: str,
-    marks: np.ndarray | None,
-    fold: str | None = None,
+    marks: list[np.ndarray],
+    folds: list[str] = (),
     weights: list[str] = (),
     work: float = 1.0,
 ) -> TrainingTable:
-    """`df` written once in the form the passes read; in at least as many tasks as cores if `work`, the models, asks for it."""
-    place = by_class(label, {c: i for i, c in enumerate(classes)})
+    """`df` written once in the form the passes read; in at least as many tasks as cores if `work`, the models, asks for it.
+
+    `counts`: rows of each class.
+    """
+    place = by_class(label, {c: i for i, c in enumerate(counts)})
     row_weights = F.array(*[F.col(w).cast("double") for w in weights]) if weights else F.lit(None).cast("array<double>")
     vector = packed(df, vec)
     rows = df.select(
         F.col(id_col).alias("_id"),
         place.cast("int").alias("_y"),
-        (F.col(fold) if fold else F.lit(0)).cast("int").alias("_fold"),
+        F.array(*[F.col(f).cast("int") for f in folds] or [F.lit(0)]).alias("_folds"),
         row_weights.alias("_w"),
         vector["indices"].alias("indices"),
         vector["values"].alias("values"),
     )
-    rows = stage(rows, "training")
-    sums = [F.sum(F.col("_w")[i]).alias(f"w{i}") for i in range(len(weights))]
-    found = rows.groupBy("_y", "_fold").agg(F.count("*").alias("n"), *sums).collect()
-    counts = {(r["_y"], r["_fold"]): (r["n"], [r[f"w{i}"] for i in range(len(weights))]) for r in found}
-    n = sum(c for c, _ in counts.values())
     width = int(vector_width(df, vec) or 0)
-    each = max(width, len(marks) if marks is not None else 0)
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    tasks = max(1, math.ceil(n * each * work / TASK_WORK))
+    each = max([width, *map(len, marks)])
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, math.ceil(sum(counts.values()) * each * work / TASK_WORK))
+    rows = stage(rows, "training")
     if rows.rdd.getNumPartitions() < min(tasks, cores):
         rows = stage(rows.repartition(min(tasks, cores), "_id"), "training")
     elif tasks < cores:
         rows = rows.coalesce(tasks)
-    return TrainingTable(rows, classes, width, marks, counts)
+    return TrainingTable(rows, list(counts), list(counts.values()), width, marks, rows.rdd.getNumPartitions())
 
 
 # --- blocks of rows ---------------------------------------------------------------------
@@ -157,20 +176,20 @@ class _Sparse:
 
 @dataclass
 class Block:
-    """Some rows of a task: class places, folds, row weights, ids and features."""
+    """Some rows of a task: class places, folds (a column each), row weights, ids and features."""
 
     y: np.ndarray
-    fold: np.ndarray
+    folds: np.ndarray
     w: np.ndarray | None
     ids: pa.Array
     raw: _Dense | _Sparse
     _maps: dict = field(default_factory=dict)
 
-    def features(self, kernel: tuple[str, float], marks: np.ndarray | None) -> _Dense | _Sparse:
+    def features(self, kernel: Kernel, marks: list[np.ndarray]) -> _Dense | _Sparse:
         if kernel[0] == "linear":
             return self.raw
         if kernel not in self._maps:
-            self._maps[kernel] = _Dense(kernel_matrix(self.raw.x, marks, *kernel))
+            self._maps[kernel] = _Dense(kernel_matrix(self.raw.x, marks[kernel[2]], *kernel[:2]))
         return self._maps[kernel]
 
 
@@ -197,41 +216,46 @@ def blocks(batch: pa.RecordBatch, width: int, dense: bool) -> Iterator[Block]:
         w = None
         if weights.null_count < n:
             w = weights.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
-        yield Block(part.column("_y").to_numpy(), part.column("_fold").to_numpy(), w, part.column("_id"), raw)
+        folds = part.column("_folds").flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+        yield Block(part.column("_y").to_numpy(), folds, w, part.column("_id"), raw)
 
 
 @dataclass(frozen=True)
 class _Group:
     """Problems on the same features, as arrays."""
 
-    kernel: tuple[str, float]
+    kernel: Kernel
     coef: np.ndarray
     positive: np.ndarray
-    held: np.ndarray
     weight: np.ndarray
+    held: list[tuple[int, np.ndarray]]  # of a fold column: the fold that each problem leaves out (-1: none)
     share: np.ndarray  # classes x problems; 0 for classes left out
 
 
-def _group(kernel: tuple[str, float], problems: list[Problem], coef: np.ndarray, n_classes: int) -> _Group:
+def _group(kernel: Kernel, problems: list[Problem], coef: np.ndarray, n_classes: int) -> _Group:
     share = np.ones((n_classes, len(problems)))
     for j, p in enumerate(problems):
         if p.among is not None:
             share[[c for c in range(n_classes) if c not in p.among], j] = 0.0
         if p.shares is not None:
             share[:, j] *= p.shares
-    arrays = [np.array([getattr(p, a) for p in problems]) for a in ("positive", "held", "weight")]
-    return _Group(kernel, coef, *arrays, share)
+    arrays = [np.array([getattr(p, a) for p in problems]) for a in ("positive", "weight")]
+    columns = sorted({c for p in problems for c, _ in p.held})
+    held = [(c, np.array([dict(p.held).get(c, -1) for p in problems])) for c in columns]
+    return _Group(kernel, coef, *arrays, held, share)
 
 
 def _row_weights(block: Block, group: _Group) -> np.ndarray:
-    out = group.share[block.y] * (block.fold[:, None] != group.held[None])
+    out = group.share[block.y]
+    for column, fold in group.held:
+        out = out * (block.folds[:, column][:, None] != fold[None])
     weighted = group.weight >= 0
     if weighted.any():
         out[:, weighted] *= block.w[:, group.weight[weighted]]
     return out
 
 
-def _margins(block: Block, group: _Group, marks: np.ndarray | None) -> np.ndarray:
+def _margins(block: Block, group: _Group, marks: list[np.ndarray]) -> np.ndarray:
     return block.features(group.kernel, marks).times(group.coef[:-1]) + group.coef[-1]
 
 
@@ -242,7 +266,7 @@ def _chosen(margins: np.ndarray, raws: int) -> np.ndarray:
     return margins.reshape(len(margins), -1, raws).argmax(axis=2)
 
 
-def _boost_weights(block: Block, boosted: Boosted, marks: np.ndarray | None) -> np.ndarray:
+def _boost_weights(block: Block, boosted: Boosted, marks: list[np.ndarray]) -> np.ndarray:
     if not len(boosted.alphas):
         return np.ones(len(block.y))
     margins = block.features(boosted.kernel, marks).times(boosted.coef[:-1]) + boosted.coef[-1]
@@ -250,7 +274,7 @@ def _boost_weights(block: Block, boosted: Boosted, marks: np.ndarray | None) ->
     return np.exp(wrong @ boosted.alphas)
 
 
-def _loss_sums(block: Block, group: _Group, marks: np.ndarray | None, boosted: Boosted | None) -> np.ndarray:
+def _loss_sums(block: Block, group: _Group, marks: list[np.ndarray], boosted: Boosted | None) -> np.ndarray:
     """(features + 2) x problems: gradient, its intercept, and the loss."""
     side = np.where(block.y[:, None] == group.positive[None], 1.0, -1.0)
     weight = _row_weights(block, group)
@@ -283,7 +307,7 @@ def _summed(table: TrainingTable, size: int, of_block: Callable[[Block], np.ndar
         )
 
     parts = table.rows.mapInArrow(partial, "at int, part array<double>")
-    if size * table.rows.rdd.getNumPartitions() > DIRECT_CELLS:
+    if size * table.tasks > DIRECT_CELLS:
         parts = parts.groupBy("at").applyInPandas(
             lambda rows: pd.DataFrame({"at": rows["at"].iloc[:1], "part": [np.sum(rows["part"].to_list(), axis=0)]}),
             "at int, part array<double>",
@@ -345,7 +369,7 @@ class _State:
 
 
 def _widths(table: TrainingTable, p: Problem) -> int:
-    return table.width if p.kernel == "linear" else len(table.marks)
+    return table.width if p.kernel == "linear" else len(table.marks[p.marks])
 
 
 def batches_of(table: TrainingTable, problems: list[Problem]) -> Iterator[list[int]]:
@@ -364,7 +388,7 @@ def batches_of(table: TrainingTable, problems: list[Problem]) -> Iterator[list[i
 
 
 def _groups(table: TrainingTable, problems: list[Problem], coefs: list[np.ndarray]) -> list[tuple[list[int], _Group]]:
-    by_map: dict[tuple[str, float], list[int]] = {}
+    by_map: dict[Kernel, list[int]] = {}
     for i, p in enumerate(problems):
         by_map.setdefault(p.map, []).append(i)
     return [
@@ -381,7 +405,7 @@ def train(
     table: TrainingTable,
     problems: list[Problem],
     max_iter: int = 50,
-    tol: float = 1e-5,
+    tol: float = 1e-4,
     start: list[np.ndarray] | None = None,
     boosted: Boosted | None = None,
     total: float | None = None,
@@ -392,9 +416,9 @@ def train(
     """
     spark = table.rows.sparkSession
     out: list[np.ndarray] = [None] * len(problems)
+    counted = table.sizes(problems)
     for batch in batches_of(table, problems):
         states = {i: _State(start[i] if start else np.zeros(_widths(table, problems[i]) + 1)) for i in batch}
-        sizes = {i: table.size(problems[i]) for i in batch}
         dense = _is_dense(table, [problems[i] for i in batch])
         while live := [i for i in batch if not states[i].done]:
             groups = _groups(table, [problems[i] for i in live], [states[i].trial for i in live])
@@ -413,7 +437,7 @@ def train(
                 low += rows * columns
                 for column, k in enumerate(own):
                     i = live[k]
-                    n, weight = sizes[i]
+                    n, weight = counted[i]
                     weight = total or weight
                     ridge = 1.0 / (n * problems[i].C)
                     state = states[i]
@@ -431,7 +455,7 @@ def held_out_counts(
 ) -> np.ndarray:
     """(models, classes, classes): rows of the fold that a model has not seen, by truth and choice.
 
-    `raws` problems in a row make one model.
+    `raws` problems in a row make one model; folds are those of the first column.
     """
     k = len(table.classes)
     models = len(problems) // raws
@@ -442,7 +466,7 @@ def held_out_counts(
         numbers = [m * raws + j for m in own for j in range(raws)]
         groups = _groups(table, [problems[i] for i in numbers], [coefs[i] for i in numbers])
         sent = spark.sparkContext.broadcast(([(np.array(o), g) for o, g in groups], table.marks))
-        size, held = len(own), np.array([problems[m * raws].held for m in own])
+        size, held = len(own), np.array([dict(problems[m * raws].held)[0] for m in own])
 
         def sums(block: Block, sent=sent, size=size, held=held) -> np.ndarray:
             parts, marks = sent.value
@@ -450,7 +474,7 @@ def held_out_counts(
             for o, g in parts:
                 margins[:, o] = _margins(block, g, marks)
             choice = _chosen(margins, raws)
-            seen = block.fold[:, None] == held[None]
+            seen = block.folds[:, 0][:, None] == held[None]
             row, model = np.nonzero(seen)
             cell = (model * k + block.y[row]) * k + choice[row, model]
             return np.bincount(cell, minlength=size * k * k).astype(np.float64)
@@ -460,47 +484,46 @@ def held_out_counts(
     return out
 
 
-def cross_margins(table: TrainingTable, problems: list[Problem], coefs: list[np.ndarray], id_type: str) -> DataFrame:
-    """`_id, _y, _fold, _w, raw`: each row once, `raw` the margins of the models that left its fold out.
+def cross_margins(
+    table: TrainingTable, parts: list[tuple[int, dict[int, list[int]]]], problems: list[Problem], coefs: list[np.ndarray], id_type: str
+) -> DataFrame:
+    """`_id, _y, _folds, _w, raw`: each row once, `raw` the margins of the models that left its fold out.
 
-    The problems of every fold come in the same order; so do the numbers of `raw`.
+    Each of `parts` is a fold column and, for each of its folds, the problems that left it out, in
+    the same order for every fold. `raw` has the numbers of all parts, one part after the other.
     """
-    spark, width = table.rows.sparkSession, table.width
-    dense = _is_dense(table, problems)
-    by_fold: dict[int, list[int]] = {}
-    for i, p in enumerate(problems):
-        by_fold.setdefault(p.held, []).append(i)
-    parts = {
-        fold: [(np.array(o), g) for o, g in _groups(table, [problems[i] for i in own], [coefs[i] for i in own])]
-        for fold, own in by_fold.items()
-    }
-    size = max(len(own) for own in by_fold.values())
-    sent = spark.sparkContext.broadcast((parts, table.marks))
+    spark, width, dense = table.rows.sparkSession, table.width, _is_dense(table, problems)
+    sizes = [max(map(len, own.values())) for _, own in parts]
+    packs = []
+    for (column, by_fold), low in zip(parts, np.cumsum([0, *sizes]).tolist()):
+        for fold, own in by_fold.items():
+            for o, g in _groups(table, [problems[i] for i in own], [coefs[i] for i in own]):
+                packs.append((column, fold, low + np.array(o), g))
+    size = sum(sizes)
+    sent = spark.sparkContext.broadcast((packs, table.marks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_fold, marks = sent.value
+        packs, marks = sent.value
         for batch in batches:
             for block in blocks(batch, width, dense):
                 raw = np.zeros((len(block.y), size))
-                for fold, groups in by_fold.items():
-                    mine = np.flatnonzero(block.fold == fold)
-                    if not len(mine):
-                        continue
-                    for o, g in groups:
-                        raw[np.ix_(mine, o)] = _margins(block, g, marks)[mine]
+                for column, fold, at, group in packs:
+                    mine = np.flatnonzero(block.folds[:, column] == fold)
+                    if len(mine):
+                        raw[np.ix_(mine, at)] = _margins(block, group, marks)[mine]
                 weights = [None] * len(block.y) if block.w is None else list(block.w)
                 yield pa.RecordBatch.from_arrays(
                     [
                         block.ids,
                         pa.array(block.y),
-                        pa.array(block.fold),
+                        pa.array(list(block.folds), pa.list_(pa.int32())),
                         pa.array(weights, pa.list_(pa.float64())),
                         pa.array(list(raw), pa.list_(pa.float64())),
                     ],
-                    names=["_id", "_y", "_fold", "_w", "raw"],
+                    names=["_id", "_y", "_folds", "_w", "raw"],
                 )
 
-    return table.rows.mapInArrow(run, f"_id {id_type}, _y int, _fold int, _w array<double>, raw array<double>")
+    return table.rows.mapInArrow(run, f"_id {id_type}, _y int, _folds array<int>, _w array<double>, raw array<double>")
 
 
 def boost_sums(table: TrainingTable, boosted: Boosted, last: np.ndarray) -> tuple[float, float]:

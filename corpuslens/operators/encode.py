@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from corpuslens.operators.features import with_tokens
-from corpuslens.operators.lookup import lookup_join
+from corpuslens.operators.lookup import list_sizes, look_up, send_table
 from corpuslens.schema import ID
 from corpuslens.session import stage
 
 # Reserved ids.
 PAD, UNKNOWN, START, END = 0, 1, 2, 3
 FIRST_WORD = 4
+MAX_VOCABULARY = 1_000_000
 
 
 def token_vocabulary(df: DataFrame, text: str = "text", size: int = 30_522) -> DataFrame:
@@ -53,31 +58,40 @@ def encode_fixed(
 ) -> DataFrame:
     """`input_ids` and `attention_mask` of exactly `max_len`, and a double label array.
 
-    Truncation happens before tokens are exploded: a document adds at most
-    `max_len - 2` rows to the lookup.
+    Tokens are looked up inside their row, in a vocabulary that every task holds (`MAX_VOCABULARY`
+    tokens at most): no token becomes a row, nothing is shuffled. An unknown token is `UNKNOWN`.
     """
     labels = labels or []
+    sent = send_table(vocabulary, "token", "token_id", MAX_VOCABULARY)
+    if sent is None:
+        raise ValueError(f"more than {MAX_VOCABULARY} tokens in the vocabulary")
     body = F.slice("tokens", 1, max_len - 2)
-    tokenised = with_tokens(df, text).select(id_col, *labels, body.alias("tokens"))
-    # The outer form keeps a row for a document without tokens.
-    words = tokenised.select(id_col, *labels, F.posexplode_outer("tokens").alias("pos", "token"))
-    found = lookup_join(words, vocabulary.select("token", "token_id", "n"), "token", weight="n")
-    known = F.struct("pos", F.coalesce("token_id", F.lit(UNKNOWN)).alias("token_id"))
-    sequences = found.groupBy(id_col, *labels).agg(
-        F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), known))).alias("s")
-    )
-    ids = F.concat(F.array(F.lit(START)), F.col("s.token_id"), F.array(F.lit(END)))
-    return (
-        sequences.withColumn("_ids", ids)
-        .select(
-            id_col,
-            F.concat("_ids", F.array_repeat(F.lit(PAD), F.lit(max_len) - F.size("_ids"))).alias(
-                "input_ids"
-            ),
-            F.concat(
-                F.array_repeat(F.lit(1), F.size("_ids")),
-                F.array_repeat(F.lit(0), F.lit(max_len) - F.size("_ids")),
-            ).alias("attention_mask"),
-            F.array(*[F.col(c).cast("double") for c in labels]).cast("array<double>").alias("labels"),
-        )
-    )
+    flags = F.array(*[F.col(c).cast("double") for c in labels]).cast("array<double>").alias("labels")
+    tokenised = with_tokens(df, text).select(id_col, body.alias("tokens"), flags)
+    ids = f"`{id_col}` {df.schema[id_col].dataType.simpleString()}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = sent.value
+        for batch in batches:
+            n = batch.num_rows
+            sizes = list_sizes(batch.column("tokens"))
+            found = look_up(batch.column("tokens").flatten(), table, UNKNOWN)
+            row = np.repeat(np.arange(n), sizes)
+            column = np.arange(len(found)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            out = np.full((n, max_len), PAD, dtype=np.int32)
+            out[:, 0] = START
+            out[row, column + 1] = found
+            out[np.arange(n), sizes + 1] = END
+            mask = (np.arange(max_len)[None] < sizes[:, None] + 2).astype(np.int32)
+            cuts = pa.array(np.arange(n + 1, dtype=np.int32) * max_len)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.ListArray.from_arrays(cuts, pa.array(out.ravel())),
+                    pa.ListArray.from_arrays(cuts, pa.array(mask.ravel())),
+                    batch.column("labels"),
+                ],
+                names=[id_col, "input_ids", "attention_mask", "labels"],
+            )
+
+    return tokenised.mapInArrow(run, f"{ids}, input_ids array<int>, attention_mask array<int>, labels array<double>")

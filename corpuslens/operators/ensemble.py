@@ -7,7 +7,6 @@ import math
 import os
 from collections.abc import Callable
 from dataclasses import dataclass, replace
-from functools import partial
 
 import numpy as np
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -25,12 +24,13 @@ from corpuslens.operators.svm import (
     SvmModel,
     SvmSpec,
     fit_many,
+    fit_parts,
     linear_model,
     spec_gammas,
     spec_marks,
 )
 from corpuslens.schema import ID, LABEL
-from corpuslens.session import side_by_side, stage
+from corpuslens.session import stage
 
 
 # --- votes over a long table of predictions -------------------------------------------
@@ -128,21 +128,22 @@ def out_of_fold(
 ) -> DataFrame:
     """Each training row once, with base probabilities of models that never saw it.
 
-    The models of a fold, and those that calibrate them inside its training rows, are one batch.
+    The models of all folds, and those that calibrate them inside their training rows, are one batch.
     """
     folded = stage(stratified_kfold(df.select(id_col, label, vec), folds, label, id_col), "folds")
-    tasks = [
-        partial(fit_many, specs, folded.where(F.col("fold") != fold).drop("fold"), vec, label, id_col)
-        for fold in range(folds)
-    ]
+    fitted = fit_parts(specs, folded, list(range(folds)), vec, label, id_col)
+    return _held_out_meta(folded, fitted, vec).select(id_col, label, "fold", "meta")
+
+
+def _held_out_meta(folded: DataFrame, fitted: list[dict[str, SvmModel]], vec: str) -> DataFrame:
+    """`meta` of the rows of each fold by that fold's models."""
     parts = [
-        _meta_features(folded.where(F.col("fold") == fold), members, vec)
-        for fold, members in enumerate(side_by_side(tasks))
+        _meta_features(folded.where(F.col("fold") == fold), members, vec) for fold, members in enumerate(fitted)
     ]
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part)
-    return rows.select(id_col, label, "fold", "meta")
+    return rows
 
 
 @dataclass(frozen=True)
@@ -196,13 +197,15 @@ def fit_stacking(
     `bases` names other base models of `specs`.
     """
     bases = {n: replace(specs[n], probability=True) for n in bases or STACK_BASES[final]}
-    meta = stage(out_of_fold(df, bases, folds, vec, label, id_col), "meta")
+    folded = stage(stratified_kfold(df.select(id_col, label, vec), folds, label, id_col), "folds")
+    *fitted, members = fit_parts(bases, folded, [*range(folds), None], vec, label, id_col)
+    meta = stage(_held_out_meta(folded, fitted, vec).select(id_col, label, "meta"), "meta")
     classes = list(class_counts(meta, label))
     if final == "none":
         combiner = logistic_final(meta, classes, label=label)
     else:
         combiner = replace(specs[final], probability=True).fit(meta, "meta", label, id_col)
-    return StackingModel(_fit_members(bases, df, vec, label, id_col), combiner, classes)
+    return StackingModel(members, combiner, classes)
 
 
 # --- bagging and boosting -------------------------------------------------------------
@@ -304,7 +307,7 @@ def fit_adaboost(
         raise ValueError("training needs at least two classes")
     classes, k, members = list(counts), len(counts), []
     marks, (gamma,) = spec_marks([spec], df, vec, id_col), spec_gammas([spec], df, vec)
-    table = training_table(df, vec, label, classes, id_col, marks, work=k)
+    table = training_table(df, vec, label, counts, id_col, marks, work=k)
     todo = replace(spec, probability=False, multiclass="ovr").problems(table, gamma)
     coef, alphas, start, n = None, [], None, float(sum(counts.values()))
     boosted = Boosted(todo[0].map, np.zeros((0, 0)), len(todo), np.zeros(0))
@@ -319,7 +322,7 @@ def fit_adaboost(
                 raise ValueError("the base model is no better than chance")
             break
         alpha = math.log((1.0 - error) / error) + math.log(k - 1) if error > 0 else 1.0
-        members.append((alpha, linear_model(spec, classes, gamma, marks, fitted)))
+        members.append((alpha, linear_model(spec, classes, gamma, marks[0] if marks else None, fitted)))
         if error <= 0:
             break
         coef = last if coef is None else np.concatenate([coef, last], axis=1)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpuslens.functions import readability as R, tags, text as X
-from corpuslens.operators.lookup import BROADCAST_ROWS, lookup_join
+from corpuslens.operators.lookup import list_sizes, look_up, lookup_join, send_table
 from corpuslens.schema import COLUMNS, FEATURES, ID, LABEL
 from corpuslens.session import stage
 
@@ -67,24 +70,28 @@ def pos_counts(
 ) -> DataFrame:
     """Part-of-speech and tense counts per document.
 
-    Without a lexicon table everything is one projection. With one (`word`,
-    `tag`), distinct (document, word) pairs are joined to it, and words missing
-    there fall back to the built-in rules.
+    Without a lexicon table everything is one projection. With one (`word`, `tag`; one row a
+    word) words are looked up inside their row, and those missing there fall back to the built-in
+    rules; a lexicon too large for every task is joined to the distinct (document, word) pairs.
     """
     if lexicon is None:
         tagged = with_tokens(df, text).withColumn("_bits", tags.feature_bits(F.col("tokens")))
         counts = tags.tag_counts(F.col("_bits"))
         return tagged.select(id_col, *[c.alias(n) for n, c in counts.items()])
+    bit = F.lit(0)
+    for i, group in enumerate(tags.TAG_GROUPS.values()):
+        bit = bit + F.when(F.col("tag").isin(group), 1 << i).otherwise(0)
+    sent = send_table(lexicon.select("word", bit.alias("bits")), "word", "bits")
+    if sent is not None:
+        return _looked_up(df, text, sent, id_col)
     words = (
         df.select(id_col, F.explode_outer(X.tokens(F.col(text))).alias("word"))
         .groupBy(id_col, "word")
         .agg(F.count("*").alias("n"))
     )
-    table, weight = lexicon.select("word", "tag"), None
-    if table.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
-        weights = words.where(F.col("word").isNotNull()).groupBy("word").agg(F.count("*").alias("docs"))
-        table, weight = stage(table.join(weights, "word"), "lexicon"), "docs"
-    tagged = lookup_join(words, table, "word", weight).withColumn(
+    weights = words.where(F.col("word").isNotNull()).groupBy("word").agg(F.count("*").alias("docs"))
+    table = stage(lexicon.select("word", "tag").join(weights, "word"), "lexicon")
+    tagged = lookup_join(words, table, "word", "docs").withColumn(
         "tag",
         F.when(F.col("word").isNotNull(), F.coalesce("tag", tags.fine_tag(F.col("word")))),
     )
@@ -96,6 +103,27 @@ def pos_counts(
     return tagged.groupBy(id_col).agg(*sums)
 
 
+def _looked_up(df: DataFrame, text: str, sent: Broadcast, id_col: str) -> DataFrame:
+    """Counts per document from the feature bits of each token: the lexicon's, else the rules'."""
+    tokenised = with_tokens(df, text).select(id_col, "tokens", tags.feature_bits(F.col("tokens")).alias("bits"))
+    names = list(tags.TAG_GROUPS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = sent.value
+        for batch in batches:
+            tokens = batch.column("tokens")
+            rules = batch.column("bits").flatten().to_numpy(zero_copy_only=False)
+            bits = look_up(tokens.flatten(), table, rules)
+            row = np.repeat(np.arange(batch.num_rows), list_sizes(tokens))
+            counts = [np.bincount(row[(bits >> i) & 1 > 0], minlength=batch.num_rows) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *[pa.array(c.astype(np.int32)) for c in counts]], names=[id_col, *names]
+            )
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return tokenised.mapInArrow(run, ", ".join([f"`{id_col}` {kind}", *[f"{n} int" for n in names]]))
+
+
 def linguistic_features(
     df: DataFrame,
     text: str = "text",

@@ -92,12 +92,10 @@ def grid_search(
     list_ = list(specs.values())
     marks, gammas = spec_marks(list_, data, vec, id_col), spec_gammas(list_, data, vec)
     parts = 1 if len(counts) == 2 else len(counts)
-    table = training_table(
-        data, vec, label, list(counts), id_col, marks, "fold", work=len(specs) * folds * parts
-    )
+    table = training_table(data, vec, label, counts, id_col, marks, ["fold"], work=len(specs) * folds * parts)
     tasks = [(key, fold) for key in specs for fold in range(folds)]
     gamma_of = dict(zip(specs, gammas))
-    todo = [p for key, fold in tasks for p in replace(specs[key], multiclass="ovr").problems(table, gamma_of[key], fold)]
+    todo = [p for key, fold in tasks for p in replace(specs[key], multiclass="ovr").problems(table, gamma_of[key], ((0, fold),))]
     coefs = train(table, todo, base.max_iter)
     judged = held_out_counts(table, todo, coefs, len(todo) // len(tasks))
     scores = {task: count_metrics(counts) for task, counts in zip(tasks, judged, strict=True)}

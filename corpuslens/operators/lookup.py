@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 BROADCAST_ROWS = 500_000
@@ -46,3 +50,26 @@ def lookup_join(
         *[F.coalesce(F.col(f"_heavy_{v}"), F.col(v)).alias(v) for v in values],
     )
     return out if how == "left" else out.where(F.col(weight).isNotNull())
+
+
+def send_table(table: DataFrame, key: str, value: str, rows: int = BROADCAST_ROWS) -> Broadcast | None:
+    """A checked small table (string key, integer value) for look-ups inside a row; None if it is larger."""
+    found = table.select(key, value).where(F.col(key).isNotNull()).limit(rows + 1).collect()
+    if len(found) > rows:
+        return None
+    keys, values = [r[0] for r in found], np.array([r[1] for r in found], dtype=np.int64)
+    return table.sparkSession.sparkContext.broadcast((pa.array(keys, pa.string()), values))
+
+
+def look_up(words: pa.Array, sent: tuple[pa.Array, np.ndarray], missing: int | np.ndarray) -> np.ndarray:
+    """The values of a flat array of words; `missing` where the table has none."""
+    keys, values = sent
+    place = pc.fill_null(pc.index_in(words, value_set=keys), -1).to_numpy(zero_copy_only=False)
+    if not len(values):
+        return np.broadcast_to(np.asarray(missing, dtype=np.int64), len(place)).copy()
+    return np.where(place >= 0, values[place], missing)
+
+
+def list_sizes(lists: pa.Array) -> np.ndarray:
+    """Elements of each list; a null list has none."""
+    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)

@@ -80,12 +80,11 @@ def fold_sizes(counts: dict, k: int = 5) -> dict[object, list[int]]:
     return sizes
 
 
-def stratified_kfold(
-    df: DataFrame, k: int = 5, label: str = LABEL, id_col: str = ID, out: str = "fold"
-) -> DataFrame:
-    """Adds the fold number; the rows of a class are cut in id order, unshuffled.
+def fold_column(df: DataFrame, k: int, label: str = LABEL, id_col: str = ID) -> Column:
+    """The fold of each row of `df`, as a rule on its label and id alone.
 
-    Only ids and labels are ranked, to find the first id of each fold; no row moves.
+    The rows of a class are cut in id order, unshuffled. Only ids and labels are ranked, to
+    find the first id of each fold; no row moves.
     """
     sizes = fold_sizes(class_counts(df, label), k)
     # Places where a fold begins; one that begins behind the last row of its class is empty.
@@ -94,9 +93,16 @@ def stratified_kfold(
     kind = df.schema[id_col].dataType
     bounds = {c: F.array(*[F.lit(first[c, p][0]).cast(kind) for p in ps]) for c, ps in starts.items() if ps}
     if not bounds:
-        return df.withColumn(out, F.lit(0))
+        return F.lit(0)
     below = F.filter(by_class(label, bounds), lambda start: start <= F.col(id_col))
-    return df.withColumn(out, F.coalesce(F.size(below), F.lit(0)).cast("int"))
+    return F.coalesce(F.size(below), F.lit(0)).cast("int")
+
+
+def stratified_kfold(
+    df: DataFrame, k: int = 5, label: str = LABEL, id_col: str = ID, out: str = "fold"
+) -> DataFrame:
+    """Adds the fold number of `fold_column`."""
+    return df.withColumn(out, fold_column(df, k, label, id_col))
 
 
 def split_counts(df: DataFrame, label: str = LABEL) -> DataFrame:

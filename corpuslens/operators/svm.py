@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from corpuslens.operators.batched import Problem, TrainingTable, cross_margins, logistic_curves, train, training_table
 from corpuslens.operators.kernels import KernelMargins, gamma_scale, landmarks
 from corpuslens.operators.ranking import by_class, class_counts
-from corpuslens.operators.splits import stratified_kfold
+from corpuslens.operators.splits import fold_column
 from corpuslens.schema import ID, LABEL
 from corpuslens.session import side_by_side
 
@@ -114,13 +114,22 @@ class SvmSpec:
             return [(b, (a, b)) for a, b in combinations(range(len(classes)), 2)]
         return [(c, None) for c in range(len(classes))]
 
-    def problems(self, table: TrainingTable, gamma: float, held: int = -1, weight: int = -1) -> list[Problem]:
+    def problems(
+        self,
+        table: TrainingTable,
+        gamma: float,
+        held: tuple = (),
+        marks: int = 0,
+        weight: int = -1,
+        sizes: list[int] | None = None,
+    ) -> list[Problem]:
+        """`sizes`: rows of each class to balance by, if not those of the table."""
         shares = None
         if self.balanced:
-            counts = [sum(n for (y, _), (n, _) in table.counts.items() if y == c) for c in range(len(table.classes))]
-            shares = tuple(sum(counts) / (len(counts) * n) for n in counts)
+            sizes = sizes or table.counts
+            shares = tuple(sum(sizes) / (len(sizes) * n) for n in sizes)
         return [
-            Problem(self.kernel, gamma, self.C, positive, among, held, weight, shares)
+            Problem(self.kernel, gamma, self.C, positive, among, held, marks, weight, shares)
             for positive, among in self._pairs(table.classes)
         ]
 
@@ -133,12 +142,13 @@ def spec_gammas(specs: list[SvmSpec], data: DataFrame, vec: str) -> list[float]:
     return [float(s.gamma) if s.gamma is not None else scaled or 1.0 for s in specs]
 
 
-def spec_marks(specs: list[SvmSpec], data: DataFrame, vec: str, id_col: str) -> np.ndarray | None:
-    kernels = {(s.n_landmarks, s.seed) for s in specs if s.kernel != "linear"}
-    if not kernels:
-        return None
-    (m, seed), = kernels
-    return landmarks(data, m, vec, seed, id_col)
+def spec_marks(specs: list[SvmSpec], data: DataFrame, vec: str, id_col: str) -> list[np.ndarray]:
+    """The landmark rows, if a kernel needs them."""
+    return [landmarks(data, m, vec, seed, id_col) for m, seed in _mark_kinds(specs)]
+
+
+def _mark_kinds(specs: list[SvmSpec]) -> set[tuple[int, int]]:
+    return {(s.n_landmarks, s.seed) for s in specs if s.kernel != "linear"}
 
 
 def fit_many(
@@ -157,58 +167,95 @@ def fit_many(
     of fewer rows than `folds` lowers their number; one of a single row is an error. `weights`
     names the row weights of a spec. Ids are unique. Specs of different landmarks go one by one.
     """
-    kinds = {(s.n_landmarks, s.seed) for s in specs.values() if s.kernel != "linear"}
-    if len(kinds) > 1:
-        return {n: m for n, s in specs.items() for n, m in fit_many({n: s}, df, vec, label, id_col, weights, folds).items()}
+    return fit_parts(specs, df, [None], vec, label, id_col, weights, folds)[0]
+
+
+def fit_parts(
+    specs: dict[str, SvmSpec],
+    df: DataFrame,
+    parts: list[int | None],
+    vec: str = "features",
+    label: str = LABEL,
+    id_col: str = ID,
+    weights: dict[str, str] | None = None,
+    folds: int = CALIBRATION_FOLDS,
+) -> list[dict[str, SvmModel]]:
+    """`fit_many` on the rows outside of fold `p` (column `fold`) for each p of `parts`; None: on all rows.
+
+    All parts are one batch, yet nothing of a part's models - landmarks, kernel width, weights,
+    calibration folds, curves - comes from the rows that it leaves out.
+    """
+    list_ = list(specs.values())
+    if len(_mark_kinds(list_)) > 1:
+        each = [fit_parts({n: s}, df, parts, vec, label, id_col, weights, folds) for n, s in specs.items()]
+        return [{n: m for found in each for n, m in found[i].items()} for i in range(len(parts))]
     names = list(dict.fromkeys((weights or {}).values()))
-    data = df.select(id_col, label, vec, *names)
+    data = df.select(id_col, label, vec, *(["fold"] if parts != [None] else []), *names)
     counts = class_counts(data, label, MAX_CLASSES)
     if len(counts) < 2:
         raise ValueError("training needs at least two classes")
-    classes, list_ = list(counts), list(specs.values())
-    calibrated = any(s.probability for s in list_)
-    if calibrated:
-        thin = [c for c, n in counts.items() if n < 2]
-        if thin:
-            raise ValueError(f"too few rows to calibrate probabilities for {thin}")
-        folds = min(folds, *counts.values())
-        data = stratified_kfold(data, folds, label, id_col)
-    marks, gammas = spec_marks(list_, data, vec, id_col), spec_gammas(list_, data, vec)
+    classes, calibrated = list(counts), [n for n, s in specs.items() if s.probability]
+    outer = [F.col("fold").alias("_f0")] if parts != [None] else [F.lit(-1).alias("_f0")]
+    marks, gammas, inner, numbers, balance = [], [], [], [], []
+    for part in parts:
+        own = data if part is None else data.where(F.col("fold") != part)
+        sizes = counts if part is None else class_counts(own, label, MAX_CLASSES)
+        balance.append([max(sizes.get(c, 0), 1) for c in classes])
+        if calibrated:
+            thin = [c for c in classes if sizes.get(c, 0) < 2]
+            if thin:
+                raise ValueError(f"too few rows to calibrate probabilities for {thin}")
+            numbers.append(min(folds, *sizes.values()))
+            inner.append(fold_column(own, numbers[-1], label, id_col).alias(f"_f{len(inner) + 1}"))
+        marks += spec_marks(list_, own, vec, id_col)
+        gammas.append(spec_gammas(list_, own, vec))
     place = {n: names.index(w) for n, w in (weights or {}).items()}
-    fold = "fold" if calibrated else None
-    work = len(list_) * len(classes) * (folds + 1 if calibrated else 1)
-    table = training_table(data, vec, label, classes, id_col, marks, fold, names, work)
+    work = len(specs) * len(classes) * len(parts) * (folds + 1 if calibrated else 1)
+    columns = [f"_f{i}" for i in range(len(inner) + 1)]
+    table = training_table(data.select("*", *outer, *inner), vec, label, counts, id_col, marks, columns, names, work)
     todo, where = [], {}
-    for (name, spec), gamma in zip(specs.items(), gammas):
-        for held in [-1, *(range(folds) if spec.probability else [])]:
-            own = spec.problems(table, gamma, held, place.get(name, -1))
-            where[name, held] = (len(todo), len(todo) + len(own))
-            todo += own
+    for i, part in enumerate(parts):
+        away = () if part is None else ((0, part),)
+        for (name, spec), gamma in zip(specs.items(), gammas[i]):
+            for held in [None, *(range(numbers[i]) if spec.probability else [])]:
+                out = away if held is None else (*away, (i + 1, held))
+                own = spec.problems(table, gamma, out, i if marks else 0, place.get(name, -1), balance[i])
+                where[i, name, held] = range(len(todo), len(todo) + len(own))
+                todo += own
     coefs = train(table, todo, max(s.max_iter for s in list_))
-    models = {}
-    for (name, spec), gamma in zip(specs.items(), gammas):
-        low, high = where[name, -1]
-        models[name] = linear_model(spec, classes, gamma, marks, coefs[low:high])
+    models = [
+        {
+            name: linear_model(spec, classes, gamma, marks[i] if marks else None, [coefs[k] for k in where[i, name, None]])
+            for (name, spec), gamma in zip(specs.items(), gammas[i])
+        }
+        for i in range(len(parts))
+    ]
     if not calibrated:
         return models
-    open_ = [n for n, s in specs.items() if s.probability]
-    numbers = [i for held in range(folds) for n in open_ for i in range(*where[n, held])]
-    id_type = data.schema[id_col].dataType.simpleString()
-    margins = cross_margins(table, [todo[i] for i in numbers], [coefs[i] for i in numbers], id_type)
+    by_part = [
+        (i + 1, {held: [k for n in calibrated for k in where[i, n, held]] for held in range(numbers[i])})
+        for i in range(len(parts))
+    ]
+    margins = cross_margins(table, by_part, todo, coefs, data.schema[id_col].dataType.simpleString())
     targets, owner, at = [], [], 0
-    for name in open_:
-        model = models[name]
-        n = model.n_raws
-        each = model.margins_of([F.col("raw")[at + i] for i in range(n)])
-        at += n
-        weight = F.col("_w")[place[name]] if name in place else F.lit(1.0)
-        for c in range(1, 2) if len(classes) == 2 else range(len(classes)):
-            targets.append((each[c], (F.col("_y") == c).cast("double"), weight))
-            owner.append(name)
-    curves: dict[str, list] = {n: [] for n in open_}
-    for name, curve in zip(owner, logistic_curves(margins, targets)):
-        curves[name].append(curve)
-    return {n: replace(m, curves=curves[n]) if n in curves else m for n, m in models.items()}
+    for i, part in enumerate(parts):
+        for name in calibrated:
+            model = models[i][name]
+            each = model.margins_of([F.col("raw")[at + k] for k in range(model.n_raws)])
+            at += model.n_raws
+            weight = F.col("_w")[place[name]] if name in place else F.lit(1.0)
+            if part is not None:
+                weight = F.when(F.col("_folds")[0] == part, 0.0).otherwise(weight)
+            for c in range(1, 2) if len(classes) == 2 else range(len(classes)):
+                targets.append((each[c], (F.col("_y") == c).cast("double"), weight))
+                owner.append((i, name))
+    curves: dict[tuple[int, str], list] = {}
+    for key, curve in zip(owner, logistic_curves(margins, targets)):
+        curves.setdefault(key, []).append(curve)
+    return [
+        {n: replace(m, curves=curves[i, n]) if (i, n) in curves else m for n, m in found.items()}
+        for i, found in enumerate(models)
+    ]
 
 
 def linear_model(

@@ -34,6 +34,7 @@ from corpuslens.operators.tfidf import fit_tfidf_vectors
 from corpuslens.schema import FEATURES, ID, LABEL
 from corpuslens.session import stage
 from corpuslens.sources.files import columns_in_order, write_features
+from corpuslens.sources.vectors import VectorCollection
 
 
 def feature_job(
@@ -177,6 +178,7 @@ def grid_experiment(
     for metric in metrics:
         model = best_model(features.train, scores, metric, base)
         tables = reports(model.transform(features.test))
+        tables["train_report"] = reports(model.transform(features.train))["report"]
         out |= {f"{metric}_{name}": table for name, table in tables.items()}
     return out
 
@@ -263,13 +265,22 @@ def voting_experiment(
         kernel: SvmSpec(kernel=kernel, C=C, gamma=gamma, **overrides)
         for kernel in ("rbf", "linear", "sigmoid")
     }
-    return reports(fit_voting(features.train, specs, kind).transform(features.test))
+    model = fit_voting(features.train, specs, kind)
+    seen = reports(model.transform(features.train))
+    return reports(model.transform(features.test)) | {"train_report": seen["report"]}
 
 
 def knn_experiment(
-    store: DataFrame, test: DataFrame, id_col: str = "vec_id", vec: str = "embedding", **opts
+    store: DataFrame, test: DataFrame, id_col: str = "vec_id", vec: str = "embedding", folder: str | None = None, **opts
 ) -> dict[str, DataFrame]:
-    """Label every test vector by its nearest stored vector and report."""
+    """Label every test vector by its nearest stored vector and report.
+
+    With `folder`, the stored vectors are first written to the collection there (version 1 where
+    they have none), and the search runs on what the collection then holds.
+    """
+    if folder:
+        versioned = store if "version" in store.columns else store.withColumn("version", F.lit(1))
+        store = VectorCollection(store.sparkSession, folder, id_col).upsert(versioned)
     found = stage(knn_label(test, store, id_col, vec, **opts), "knn")
     return {
         "predictions": found,
@@ -303,3 +314,26 @@ def multilabel_job(
     vocabulary = stage(token_vocabulary(split.where(F.col("split") == "train"), size=vocab_size), "vocab")
     encoded = encode_fixed(split, vocabulary, labels=list(names), max_len=max_len)
     return split.select(ID, "split").join(encoded, ID)
+
+
+def multilabel_experiment(
+    df: DataFrame, names: list[str], held_out: float = 0.2, base: SvmSpec | None = None, use_min_df: bool = True
+) -> dict[str, DataFrame]:
+    """One classifier a class over TF-IDF of the training split, and the multi-label metrics of each split.
+
+    `df` has the id, `text` and a 0/1 column for each of `names`. A margin is the logit of a class:
+    `train`, `validation` and `test` hold micro F1, ROC-AUC and exact-match accuracy, `..._scores` the margins.
+    """
+    split = stage(random_split3(df.select(ID, "text", *names), held_out), "split")
+    parts = {p: split.where(F.col("split") == p).withColumn(LABEL, F.lit(0)) for p in ("train", "test", "validation")}
+    vectors = fit_tfidf_vectors(parts["train"].select(ID, "text"), min_df=0.01 if use_min_df else 1)
+    rows = {p: stage(vectors.transform(part.select(ID, "text", *names)).drop("text"), "tfidf") for p, part in parts.items()}
+    out, scored = {}, dict(rows)
+    for name in names:
+        model = (base or SvmSpec()).fit(rows["train"].withColumn(LABEL, F.col(name).cast("int")))
+        for p, part in scored.items():
+            scored[p] = model.transform(part).select(*part.columns, F.col("margins")[1].alias(f"s_{name}"))
+    for p, part in scored.items():
+        out[p] = E.multilabel_metrics(part, [f"s_{n}" for n in names], list(names))
+        out[f"{p}_scores"] = part.drop("features")
+    return out

@@ -724,14 +724,23 @@ SELECT count(*) AS n, TRUE AS sums_to_one, TRUE AS logistic_in_margin FROM ords"
 SELECT doc_id, CAST(class AS INTEGER) AS class, CAST(64 AS BIGINT) AS features, TRUE AS adds_up
 FROM chosen CROSS JOIN (SELECT unnest([0, 1]) AS class)"""
     q["file_tree"] = "SELECT doc_id || ',' || quality AS value, TRUE AS is_csv FROM labels"
-    q["grid_search_scores"] = """WITH points AS (SELECT * FROM (SELECT unnest([0.1, 10.0]) AS C),
-  (SELECT unnest([0.1, 1.0]) AS gamma), (SELECT unnest(['linear', 'rbf', 'sigmoid']) AS kernel))
-SELECT CAST(row_number() OVER (ORDER BY C, gamma, kernel) - 1 AS INTEGER) AS grid_idx, CAST(C AS DOUBLE) AS C,
-  CAST(gamma AS DOUBLE) AS gamma, kernel, CAST(fold AS INTEGER) AS fold, TRUE AS in_range
-FROM points CROSS JOIN (SELECT unnest([0, 1, 2]) AS fold)"""
+    steps = "[0.01, 0.1, 1, 10, 100, 1000]"
+    q["grid_search_scores"] = f"""WITH points AS (SELECT row_number() OVER (ORDER BY C, gamma, kernel) - 1 AS idx, C, gamma, kernel
+  FROM (SELECT unnest({steps}) AS C), (SELECT unnest({steps}) AS gamma), (SELECT unnest(['linear', 'rbf', 'sigmoid']) AS kernel))
+SELECT CAST(idx AS INTEGER) AS grid_idx, CAST(C AS DOUBLE) AS C, CAST(gamma AS DOUBLE) AS gamma, kernel,
+  CAST(fold AS INTEGER) AS fold, TRUE AS in_range
+FROM points CROSS JOIN (SELECT unnest(range(5)) AS fold)"""
+    q["grid_experiment"] = binary_test + f"""
+SELECT r.*, metric FROM ({SUPPORT}) r CROSS JOIN (SELECT unnest(['accuracy', 'f1_macro']) AS metric)"""
+    q["ensemble_experiment"] = """SELECT CAST(class AS INTEGER) AS class, TRUE AS each_once, TRUE AS ranked, TRUE AS sound
+FROM (SELECT unnest([0, 1]) AS class)"""
+    q["multilabel_experiment"] = """WITH n AS (SELECT count(*) AS n FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL AND toxic IS NOT NULL),
+h AS (SELECT n, CAST(ceil(n / 5.0) AS BIGINT) AS held FROM n)
+SELECT part, CASE part WHEN 'validation' THEN CAST(ceil(held / 2.0) AS BIGINT) ELSE held - CAST(ceil(held / 2.0) AS BIGINT) END AS n,
+  TRUE AS sound FROM h CROSS JOIN (SELECT unnest(['test', 'validation']) AS part)"""
     train = "everything AS (SELECT d.doc_id, l.quality AS label FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"
     outer = stratified("everything").replace("sizes", "class_sizes")
     q["stacking_out_of_fold"] = join(
-        train, outer, "corpus AS (SELECT doc_id, label FROM strat WHERE split = 'train')", folds(3)
+        train, outer, "corpus AS (SELECT doc_id, label FROM strat WHERE split = 'train')", folds(5)
     ) + "\nSELECT doc_id, label, fold, TRUE AS in_range FROM folded"
     return q

@@ -87,6 +87,46 @@ def test_upsert_keeps_the_last_version(spark):
     assert got == [(1, "a"), (2, "d"), (3, "e")]
 
 
+def test_equal_versions_follow_the_rule(spark):
+    row = "vec_id int, v string, version int"
+    old = spark.createDataFrame([(1, "z", 1), (2, "z", 2)], row)
+    new = spark.createDataFrame([(1, "a", 1), (1, "b", 1), (2, "a", 1), (3, "c", 1), (3, "c", 1)], row)
+    got = sorted(tuple(r) for r in upsert_vectors(old, new).collect())
+    assert got == [(1, "b", 1), (2, "z", 2), (3, "c", 1)]
+
+
+def test_an_upsert_rewrites_only_its_buckets(spark, tmp_path):
+    row = "vec_id int, e array<float>, version int"
+    store = VectorCollection(spark, str(tmp_path / "db"), buckets=16)
+    assert store.read() is None
+    store.upsert(spark.createDataFrame([(i, [float(i)], 1) for i in range(200)], row))
+    before = store.manifest()["folders"]
+    assert len(before) == 16
+    store.upsert(spark.createDataFrame([(7, [70.0], 2)], row))
+    after = store.manifest()["folders"]
+    assert sum(before[b] != after[b] for b in before) == 1
+    now = {r.vec_id: r.e[0] for r in store.read().collect()}
+    assert len(now) == 200 and now[7] == 70.0 and now[8] == 8.0
+    assert {r.vec_id: r.e[0] for r in store.read(back=1).collect()}[7] == 7.0
+    assert store.expire() == 1 and store.read(back=1) is None
+    assert {r.vec_id: r.e[0] for r in store.read().collect()} == now
+    store.upsert(spark.createDataFrame([], row))
+    assert store.manifest()["folders"] == after and store.read().count() == 200
+    with pytest.raises(ValueError, match="columns"):
+        store.upsert(spark.createDataFrame([(1, 2)], "vec_id int, version int"))
+
+
+def test_two_writers_at_once(spark, tmp_path):
+    row = "vec_id int, version int"
+    store = VectorCollection(spark, str(tmp_path / "db"))
+    store.upsert(spark.createDataFrame([(1, 1)], row))
+    late = store.manifest()
+    store.upsert(spark.createDataFrame([(2, 1)], row))
+    with pytest.raises(RuntimeError, match="another writer"):
+        store._publish(late | {"number": late["number"] + 1})
+    assert store.read().count() == 2
+
+
 def test_collection_snapshots(spark, tmp_path):
     store = VectorCollection(spark, str(tmp_path / "db"))
     assert store.read() is None
