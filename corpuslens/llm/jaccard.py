@@ -18,6 +18,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -27,13 +28,17 @@ from corpuslens.llm.components import components
 from corpuslens.session import stage
 
 BAND = 1.5
+U = np.uint64
+#: Keys of a range (they grow with the root of all keys beyond it), of a flush, members of a group in one part.
+RANGE_KEYS, FLUSH_KEYS, SHARE_ROWS = 1 << 21, 1 << 19, 1000
+SLICE_BYTES = 1 << 20
 
 
 class SizeBands:
     """Bands of set sizes for linking at `percent` or more (100 * intersection >= percent * union).
 
-    A pair meets in the band of its smaller set. A set also joins the band below when a
-    partner that is smaller, but large enough to link, can lie there.
+    A pair meets in the band of its smaller set. A set also joins each band below in which
+    a partner that is smaller, but large enough to link, can lie.
     """
 
     def __init__(self, percent: int):
@@ -64,49 +69,137 @@ class SizeBands:
             self._blocks[band] = n
         return self._blocks[band]
 
-    def of(self, size: int) -> list[int]:
-        if size < self.least:
-            return []
+    def band(self, size: int) -> int:
         band = 0
         while self.low(band + 1) <= size:
             band += 1
-        smallest = -(-size * self.percent // 100)
-        return [band, band - 1] if band and smallest < self.low(band) else [band]
+        return band
+
+    def of(self, size: int) -> list[int]:
+        """The own band, and each lower one in which a smaller partner can lie."""
+        if size < self.least:
+            return []
+        smallest = max(self.least, -(-size * self.percent // 100))
+        return list(range(self.band(size), self.band(smallest) - 1, -1))
 
 
 def _as_long(values: np.ndarray) -> np.ndarray:
     return values.view(np.int64)
 
 
-def _sketched(percent: int, width: int):
+def _hashed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], np.ndarray]]:
+    """Slices of rows with the shingle sets of their texts and the sets' two hashes."""
+    for batch in text_slices(batches, limit=SLICE_BYTES):
+        sets = S.shingle_sets([(t or "").encode() for t in batch.column("text").to_pylist()], width)
+        yield batch, sets, np.array([S.signature(h) for h in sets], dtype=np.uint64).reshape(-1, 2)
+
+
+def _signed(percent: int, width: int):
     bands = SizeBands(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches):
-            sets = S.shingle_sets([(t or "").encode() for t in batch.column("text").to_pylist()], width)
-            signs = np.array([S.signature(h) for h in sets], dtype=np.uint64).reshape(-1, 2)
-            keys = [
-                np.unique(np.concatenate([S.block_keys(h, b, bands.differing(b), bands.blocks(b)) for b in own]))
-                if (own := bands.of(len(h)))
-                else np.zeros(0, dtype=np.uint64)
-                for h in sets
-            ]
-            sketch = [S.parity_sketch(h) if len(k) else np.zeros(0, dtype=np.int64) for h, k in zip(sets, keys)]
+        for batch, sets, signs in _hashed(batches, width):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
                     pa.array([len(h) for h in sets], pa.int64()),
                     pa.array(_as_long(np.ascontiguousarray(signs[:, 0]))),
                     pa.array(_as_long(np.ascontiguousarray(signs[:, 1]))),
-                    _lists(sketch),
-                    _lists([_as_long(k) for k in keys]),
+                    pa.array([sum(bands.blocks(b) for b in bands.of(len(h))) for h in sets], pa.int64()),
                 ],
-                names=["doc_id", "n", "s1", "s2", "sketch", "keys"],
+                names=["doc_id", "n", "s1", "s2", "n_keys"],
             )
 
     return run
 
 
+def _keys_of(hashes: np.ndarray, bands: SizeBands) -> np.ndarray:
+    own = bands.of(len(hashes))
+    if not own:
+        return np.zeros(0, dtype=np.uint64)
+    return np.unique(np.concatenate([S.block_keys(hashes, b, bands.differing(b), bands.blocks(b)) for b in own]))
+
+
+def _sent(percent: int, width: int, ranges: int):
+    """Block keys on their way to the task of their range, packed: 32 bits of the key, and the set's hash.
+
+    A set is sent once from a flush, whatever its copies. Of a key that several sets of one
+    flush have, the range is sent the first two; the others are known to share it, and go to
+    parts of their own. So a range gets at most two entries of a key from a flush.
+    """
+    bands = SizeBands(percent)
+
+    def packed(part: np.ndarray, code: np.ndarray, sign: np.ndarray, names: np.ndarray) -> pa.RecordBatch:
+        cuts = np.flatnonzero(np.diff(part, prepend=-1))
+        ends = np.append(cuts[1:], len(part))
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(names[part[cuts]]),
+                pa.array([code[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()),
+                pa.array([sign[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()),
+            ],
+            names=["part", "codes", "signs"],
+        )
+
+    def flush(keys: list[np.ndarray], signs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        key, sign = np.concatenate(keys), np.concatenate(signs)
+        order = np.lexsort((sign, key))
+        key, sign = key[order], sign[order]
+        new = np.ones(len(key), dtype=bool)
+        new[1:] = (key[1:] != key[:-1]) | (sign[1:] != sign[:-1])
+        key, sign = key[new], sign[new]
+        first = np.flatnonzero(np.diff(key, prepend=~key[:1]))
+        place = np.arange(len(key)) - np.repeat(first, np.diff(np.append(first, len(key))))
+        part = (key % U(ranges)).astype(np.int64)
+        code = (key // U(ranges)).astype(np.uint32)
+        asked = np.flatnonzero(place < 2)
+        asked = asked[np.argsort(part[asked], kind="stable")]
+        yield packed(part[asked], code[asked], sign[asked], np.arange(ranges, dtype=np.int64))
+        known = np.flatnonzero(place >= 2)
+        if len(known):
+            # their whole keys, in a part that only this flush uses
+            whole = (part[known].astype(np.uint64) << U(32)) | code[known].astype(np.uint64)
+            number = -1 - int(np.bitwise_xor.reduce(key) >> U(2))
+            yield packed(np.zeros(len(known), dtype=np.int64), whole, sign[known], np.array([number]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: list[np.ndarray] = []
+        signs: list[np.ndarray] = []
+        held, seen = 0, set()
+        for _, sets, sign in _hashed(batches, width):
+            for hashes, s in zip(sets, sign[:, 0]):
+                if int(s) in seen or not len(own := _keys_of(hashes, bands)):
+                    continue
+                seen.add(int(s))
+                keys.append(own)
+                signs.append(np.full(len(own), s))
+                held += len(own)
+            if held >= FLUSH_KEYS:
+                yield from flush(keys, signs)
+                keys, signs, held, seen = [], [], 0, set()
+        if held:
+            yield from flush(keys, signs)
+
+    return run
+
+
+def _met(rows: pd.DataFrame) -> pd.DataFrame:
+    """(key, s1) of the keys that two different sets have, from the packed entries of one part."""
+    part = int(rows["part"].iloc[0])
+    sign = np.frombuffer(b"".join(rows["signs"]), dtype=np.int64)
+    if part < 0:
+        return pd.DataFrame({"key": np.frombuffer(b"".join(rows["codes"]), dtype=np.int64), "s1": sign})
+    code = np.frombuffer(b"".join(rows["codes"]), dtype=np.uint32)
+    order = np.lexsort((sign, code))
+    code, sign = code[order], sign[order]
+    new = np.ones(len(code), dtype=bool)
+    new[1:] = (code[1:] != code[:-1]) | (sign[1:] != sign[:-1])
+    code, sign = code[new], sign[new]
+    alike = code[1:] == code[:-1]
+    several = np.append(alike, False) | np.insert(alike, 0, False)
+    return pd.DataFrame({"key": (part << 32) | code[several].astype(np.int64), "s1": sign[several]})
+
+
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays).astype(np.int64)))
@@ -114,10 +207,15 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
 
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches):
-            sets = S.shingle_sets([(t or "").encode() for t in batch.column("text").to_pylist()], width)
+        for batch, sets, _ in _hashed(batches, width):
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), _lists([_as_long(h) for h in sets])], names=["doc_id", "hashes"]
+                [
+                    batch.column("doc_id"),
+                    pa.array([len(h) for h in sets], pa.int64()),
+                    _lists([S.parity_sketch(h) for h in sets]),
+                    _lists([_as_long(h) for h in sets]),
+                ],
+                names=["doc_id", "n", "sketch", "hashes"],
             )
 
     return run
@@ -149,31 +247,36 @@ def jaccard_components(docs: DataFrame, percent: int = 90, width: int = S.WIDTH)
     Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased, shingles `width` words (all words of
     a shorter text). Null and empty texts have no shingles and link with nothing. Rows
     with equal ids and texts get equal results; ids that stand for different texts are
-    compared by either text. A null id links with nothing and gets a null component.
+    compared by either text. A null id links with nothing and gets a null component. Keys travel
+    packed, once, to the task of their range; rows are made only of keys that two sets have.
     Other columns are not read. No rows give no rows.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     base = stage(
-        rows.mapInArrow(
-            _sketched(percent, width),
-            "doc_id bigint, n bigint, s1 bigint, s2 bigint, sketch array<bigint>, keys array<bigint>",
-        ),
-        "jaccard-base",
+        rows.mapInArrow(_signed(percent, width), "doc_id bigint, n bigint, s1 bigint, s2 bigint, n_keys bigint"), "jaccard-base"
     )
     sign = ["n", "s1", "s2"]
     known = base.where("n > 0 AND doc_id IS NOT NULL")
-    nodes = known.groupBy(*sign).agg(F.min("doc_id").alias("node"))
-    nodes = stage(nodes, "jaccard-nodes")
-    own = nodes.where(F.col("n") >= SizeBands(percent).least).select(F.col("node").alias("doc_id"), *sign)
-    heads = stage(known.join(own, ["doc_id", *sign], "left_semi").dropDuplicates(["doc_id", *sign]), "jaccard-heads")
-    blocks = heads.select("doc_id", "n", F.explode("keys").alias("key"))
-    shared = blocks.groupBy("key").agg(F.count("*").alias("size"), F.min("doc_id").alias("head")).where("size > 1")
-    members = stage(blocks.join(shared, "key"), "jaccard-members")
-    met = members.select("doc_id").distinct()
-    sketches = stage(heads.join(met, "doc_id", "left_semi").select("doc_id", "n", "sketch"), "jaccard-sketches")
+    nodes = stage(known.groupBy(*sign).agg(F.min("doc_id").alias("node"), F.max("n_keys").alias("n_keys")), "jaccard-nodes")
+    total = nodes.agg(F.sum("n_keys")).first()[0] or 0
+    ranges = max(1, math.ceil(total / max(RANGE_KEYS, 20 * math.sqrt(total))))
+    sent = rows.where("doc_id IS NOT NULL").mapInArrow(
+        _sent(percent, width, ranges), "part bigint, codes binary, signs binary"
+    )
+    met = sent.groupBy("part").applyInPandas(_met, "key bigint, s1 bigint").dropDuplicates(["key", "s1"])
+    own = nodes.select(F.col("node").alias("doc_id"), "n", "s1")
+    members = stage(met.join(own, "s1").select("key", "doc_id", "n"), "jaccard-met")
+    shared = members.groupBy("key").agg(F.count("*").alias("size"), F.min("doc_id").alias("head")).where("size > 1")
+    members = stage(members.join(shared, "key"), "jaccard-members")
+    ids = members.select("doc_id").distinct()
+    # a row that repeats another brings no second set
+    texts = rows.join(ids, "doc_id", "left_semi").withColumn("_digest", F.sha2("text", 256))
+    texts = texts.dropDuplicates(["doc_id", "_digest"]).select("doc_id", "text")
     sets = stage(
-        rows.join(met, "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id bigint, hashes array<bigint>"), "jaccard-sets"
+        texts.mapInArrow(_sets(width), "doc_id bigint, n bigint, sketch array<bigint>, hashes array<bigint>").where("n > 0"),
+        "jaccard-sets",
     )
+    sketches = sets.select("doc_id", "sketch")
 
     first = members.where("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
     first = stage(_compared(first, sets, percent), "jaccard-pairs")
@@ -184,7 +287,8 @@ def jaccard_components(docs: DataFrame, percent: int = 90, width: int = S.WIDTH)
     # `away`: how many shingles differ between the member and the first of its group. Symmetric
     # differences obey the triangle inequality, so two members whose `away` lie too far apart cannot link.
     members = stage(
-        members.where("size > 2").join(away, ["head", "doc_id"], "left").withColumn("away", F.coalesce("away", F.lit(0))),
+        members.where("size > 2").join(away, ["head", "doc_id"], "left").withColumn("away", F.coalesce("away", F.lit(0)))
+        .withColumn("shares", F.ceil(F.col("size") / F.lit(SHARE_ROWS)).cast("bigint")),
         "jaccard-members",
     )
     done = 1
@@ -192,23 +296,30 @@ def jaccard_components(docs: DataFrame, percent: int = 90, width: int = S.WIDTH)
         placed = members.where(F.col("size") >= done + 2).join(
             parts.withColumnRenamed("node", "doc_id"), "doc_id", "left"
         )
-        placed = placed.select("key", "doc_id", "n", "away", F.coalesce("component", "doc_id").alias("part"))
+        placed = placed.select("key", "doc_id", "n", "away", "shares", F.coalesce("component", "doc_id").alias("part"))
         open_keys = (
             placed.groupBy("key")
             .agg(F.min("part").alias("low"), F.max("part").alias("high"))
             .where("low < high")
             .select("key")
         )
-        live = placed.join(open_keys, "key", "left_semi").join(sketches.select("doc_id", "sketch"), "doc_id")
+        # members of a large group stay in parts; the centres go to every part of their group
+        live = placed.join(open_keys, "key", "left_semi").withColumn(
+            "share", F.pmod(F.xxhash64("doc_id"), F.col("shares"))
+        )
         live = stage(live, "jaccard-live")
         if live.isEmpty():
             break
+        few = Window.partitionBy("key", "share").orderBy("doc_id")
         order = Window.partitionBy("key").orderBy("doc_id")
         centres = (
-            live.withColumn("rank", F.row_number().over(order))
+            live.withColumn("rank", F.row_number().over(few))
             .where(F.col("rank") <= 2 * done + 1)
-            .where(F.col("rank") > done)
-            .select("key", *[F.col(c).alias(f"{c}_a") for c in ("doc_id", "n", "away", "part", "sketch")])
+            .withColumn("rank", F.row_number().over(order))
+            .where((F.col("rank") <= 2 * done + 1) & (F.col("rank") > done))
+            .join(sketches, "doc_id")
+            .withColumn("share", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shares") - 1)))
+            .select("key", "share", *[F.col(c).alias(f"{c}_a") for c in ("doc_id", "n", "away", "part", "sketch")])
         )
         most = (100 - percent) * (F.col("n") + F.col("n_a"))
         possible = (
@@ -218,9 +329,11 @@ def jaccard_components(docs: DataFrame, percent: int = 90, width: int = S.WIDTH)
             & ((100 + percent) * F.abs(F.col("away") - F.col("away_a")) <= most)
             & ((100 + percent) * _distance("sketch", "sketch_a") <= most)
         )
+        same = (F.col("m.key") == F.col("c.key")) & (F.col("m.share") == F.col("c.share"))
         pairs = (
-            live.alias("m")
-            .join(centres.alias("c"), (F.col("m.key") == F.col("c.key")) & possible)
+            live.join(sketches, "doc_id")
+            .alias("m")
+            .join(centres.alias("c"), same & possible)
             .select(F.col("doc_id_a").alias("a"), F.col("doc_id").alias("b"))
             .distinct()
             .join(tried, ["a", "b"], "left_anti")

@@ -53,16 +53,36 @@ def test_stage(spark, sf):
 def test_components_of_any_width(spark):
     rows = planted()
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    for width, percent in ((2, 80), (7, 75)):
+    for width, percent in ((2, 80), (7, 75), (3, 60), (2, 50)):
         got = jaccard.jaccard_components(docs, percent, width).collect()
         assert {r.doc_id: r.component_id for r in got} == brute(rows, width, percent)
 
 
 def test_bands_meet_at_lower_shares():
-    for percent in (70, 80, 90):
+    for percent in (50, 55, 60, 66, 67, 70, 80, 90):
         bands = jaccard.SizeBands(percent)
         for n in range(bands.least, 400):
             for m in range(max(bands.least, -(-percent * n // 100)), n + 1):
                 band = bands.of(m)[0]
                 most = (100 - percent) * (n + m) // (100 + percent)
                 assert band in bands.of(n) and most <= bands.differing(band) < bands.blocks(band)
+
+
+def test_partners_two_bands_apart(spark):
+    """10 of 16 shingles: similarity 0.625, and the smaller set lies two size bands below."""
+    short = [f"w{i}" for i in range(12)]
+    rows = [(1, " ".join(short)), (2, " ".join([*short, *[f"x{i}" for i in range(6)]]))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for percent, linked in ((60, True), (62, True), (63, False)):
+        got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(docs, percent).collect()}
+        assert got == ({1: 1, 2: 1} if linked else {1: 1, 2: 2})
+
+
+def test_many_repeated_rows(spark, monkeypatch):
+    """Repeats are one set each: they make no pairs. Small flushes, ranges and parts give the same components."""
+    for name, value in (("FLUSH_KEYS", 50), ("RANGE_KEYS", 100), ("SHARE_ROWS", 4)):
+        monkeypatch.setattr(jaccard, name, value)
+    words_ = [f"w{i}" for i in range(100)]
+    rows = [(1, " ".join(words_))] * 1000 + [(2, " ".join([*words_, "more"]))] * 1000 + planted()
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string"), 80, 5).collect()}
+    assert got == brute(rows[999:1001] + rows[2000:], 5, 80)

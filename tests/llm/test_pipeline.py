@@ -10,7 +10,8 @@ import corpus_pipeline as P
 from corpuslens.llm.common import table
 from corpuslens.llm.queries import ORACLES, QUERIES
 from corpuslens.session import stage
-from tests.llm.test_operators import AWKWARD, brute_components, brute_repeats
+from tests.llm.test_near_copies import brute
+from tests.llm.test_operators import AWKWARD, brute_repeats
 from tools.check import TABLES, digest
 
 
@@ -39,7 +40,7 @@ def test_stages(spark, sf):
         if name == "language ID":
             assert set(before) - set(after) <= {d for d, t in before.items() if not any(map(str.isalpha, t or ""))}
         elif name == "near copies":
-            assert set(after) == {d for d, (_, c) in brute_components(before.items()).items() if c == d}
+            assert set(after) == {d for d, c in brute(before.items(), 5, 80).items() if c == d}
         elif name == "repeated passages":
             want = brute_repeats(list(before.items()))
             for d, (n, gone, _, _) in want.items():
@@ -65,3 +66,17 @@ def test_awkward_rows(spark, sf):
             now = stage(function(spark, now, sf), "test")
             assert now.columns == source.columns
         P.packing(spark, now, sf).collect()
+
+
+def test_near_copies_drop_repeated_rows(spark, sf):
+    """One row of each (id, text) stays; an id with different texts keeps them; rows without id stay."""
+    text = "one two three four five six seven eight nine ten"
+    rows = [(1, text)] * 300 + [(2, text), (3, "an entirely different text of some more words"), (3, "and another one")]
+    rows += [(None, text)] * 2
+    kept = [tuple(r) for r in P.near_copies(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), sf).collect()]
+    assert sorted(kept, key=str) == sorted([(1, text), *rows[301:]], key=str)
+
+
+def test_language_without_labels(spark, sf):
+    docs = spark.createDataFrame([(1, "some words"), (2, "12 34"), (3, None)], "doc_id bigint, text string")
+    assert [tuple(r) for r in P.language(spark, docs, sf).collect()] == [(1, "some words")]
