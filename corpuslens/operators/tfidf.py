@@ -97,12 +97,16 @@ def fit_tfidf(
     min_df: int | float = 1,
     id_col: str = ID,
 ) -> TfidfModel:
-    """Vocabulary and idf of the training texts. A fractional `min_df` is a share of documents."""
+    """Vocabulary and idf of the training texts, a row a document. A fractional `min_df` is a share of documents.
+
+    A document's different terms are found inside its row: no text moves, only counts of terms.
+    """
     low, high = ngram_range
     n = df.count()
     least = min_df if isinstance(min_df, int) else min_df * n
     vocabulary = (
-        postings(df, text, low, high, id_col)
+        df.select(F.explode_outer(F.array_distinct(terms(F.col(text), low, high))).alias("term"))
+        .where(F.col("term").isNotNull())
         .groupBy("term")
         .agg(F.count("*").alias("docs"))
         .where(F.col("docs") >= least)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from corpuslens.operators import tfidf
 from corpuslens.operators.encode import END, PAD, START, UNKNOWN, encode_fixed, token_vocabulary
 from corpuslens.operators.lookup import lookup_join
 from corpuslens.operators.scaling import fit_max_abs, fit_min_max, max_abs_terms, min_max, min_max_by
@@ -171,3 +172,16 @@ def test_vocabulary_order(spark):
     df = spark.createDataFrame([(1, "bb aa cc aa dd bb aa")], "doc_id int, text string")
     assert [r.token for r in token_vocabulary(df, size=3).orderBy("token_id").collect()] == ["aa", "bb", "cc"]
     assert token_vocabulary(df, size=100).count() == 4
+
+
+def test_vocabulary_is_counted_without_moving_texts(spark, monkeypatch):
+    """A document's repeated term counts once; no exchange of the fitted plan carries a text."""
+    plans = []
+    monkeypatch.setattr(
+        tfidf, "stage", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df
+    )
+    df = spark.createDataFrame([(1, "aa bb aa"), (2, "bb cc"), (3, None), (4, "")], "doc_id int, text string")
+    model = tfidf.fit_tfidf(df)
+    assert {r.term: r.docs for r in model.vocabulary.collect()} == {"aa": 1, "bb": 2, "cc": 1} and model.n_docs == 4
+    exchanges = [line for line in plans[0].splitlines() if "Exchange" in line]
+    assert exchanges and all("term" in line and "text" not in line for line in exchanges)
