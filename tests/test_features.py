@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from corpuslens.operators import tfidf
 from corpuslens.operators.encode import END, PAD, START, UNKNOWN, encode_fixed, token_vocabulary
+from corpuslens.operators.features import pos_counts
 from corpuslens.operators.lookup import lookup_join
 from corpuslens.operators.scaling import fit_max_abs, fit_min_max, max_abs_terms, min_max, min_max_by
 from corpuslens.operators.selection import chi2_scores, chi2_terms, select_k_best
@@ -185,3 +186,20 @@ def test_vocabulary_is_counted_without_moving_texts(spark, monkeypatch):
     assert {r.term: r.docs for r in model.vocabulary.collect()} == {"aa": 1, "bb": 2, "cc": 1} and model.n_docs == 4
     exchanges = [line for line in plans[0].splitlines() if "Exchange" in line]
     assert exchanges and all("term" in line and "text" not in line for line in exchanges)
+
+
+def test_encoding_and_lexicon_move_no_row(spark):
+    df = spark.createDataFrame([(1, "aa bb"), (2, None), (3, "cc " * 20)], "doc_id int, text string")
+    vocabulary = spark.createDataFrame([("aa", 4), ("cc", 5)], "token string, token_id int")
+    encoded = encode_fixed(df, vocabulary, max_len=6)
+    tagged = pos_counts(df, lexicon=spark.createDataFrame([("aa", "JJ")], "word string, tag string"))
+    for out in (encoded, tagged):
+        text = out._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in text and "Generate" not in text and "Join" not in text
+    got = {r.doc_id: (r.input_ids, sum(r.attention_mask)) for r in encoded.collect()}
+    assert got == {
+        1: ([START, 4, UNKNOWN, END, PAD, PAD], 4),
+        2: ([START, END, PAD, PAD, PAD, PAD], 2),
+        3: ([START, 5, 5, 5, 5, END], 6),
+    }
+    assert {r.doc_id: r.adjective_count for r in tagged.collect()}[1] >= 1
