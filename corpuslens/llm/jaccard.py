@@ -266,7 +266,14 @@ def jaccard_components(docs: DataFrame, percent: int = 90, width: int = S.WIDTH)
     met = sent.groupBy("part").applyInPandas(_met, "key bigint, s1 bigint").dropDuplicates(["key", "s1"])
     own = nodes.select(F.col("node").alias("doc_id"), "n", "s1")
     members = stage(met.join(own, "s1").select("key", "doc_id", "n"), "jaccard-met")
-    shared = members.groupBy("key").agg(F.count("*").alias("size"), F.min("doc_id").alias("head")).where("size > 1")
+    # sizes of the smallest id's sets: the smallest and, by the same order, the largest
+    shared = members.groupBy("key").agg(
+        F.count("*").alias("size"),
+        F.min("doc_id").alias("head"),
+        F.min(F.struct("doc_id", "n"))["n"].alias("head_low"),
+        (-F.min(F.struct("doc_id", (-F.col("n")).alias("n")))["n"]).alias("head_high"),
+    )
+    shared = shared.where("size > 1")
     members = stage(members.join(shared, "key"), "jaccard-members")
     ids = members.select("doc_id").distinct()
     # a row that repeats another brings no second set
@@ -278,16 +285,32 @@ def jaccard_components(docs: DataFrame, percent: int = 90, width: int = S.WIDTH)
     )
     sketches = sets.select("doc_id", "sketch")
 
-    first = members.where("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
+    def near(n: str, m: str, x: str, y: str) -> Column:
+        """Whether sizes and short sketches leave a link open."""
+        most = (100 - percent) * (F.col(n) + F.col(m))
+        return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * _distance(x, y) <= most)
+
+    first = (
+        members.where(F.col("doc_id") != F.col("head"))
+        .where((100 * F.col("n") >= percent * F.col("head_low")) & (100 * F.col("head_high") >= percent * F.col("n")))
+        .select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
+        .distinct()
+    )
+    heads = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
+    others = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
+    first = first.join(heads, "a").join(others, "b").where(near("n_a", "n_b", "sketch_a", "sketch_b"))
+    first = stage(first.select("a", "b").distinct(), "jaccard-first")
     first = stage(_compared(first, sets, percent), "jaccard-pairs")
     tried = first.select("a", "b")
     links = first.where("linked").select("a", "b").distinct()
     parts = components(links)
     away = first.groupBy(F.col("a").alias("head"), F.col("b").alias("doc_id")).agg(F.min("differ").alias("away"))
-    # `away`: how many shingles differ between the member and the first of its group. Symmetric
-    # differences obey the triangle inequality, so two members whose `away` lie too far apart cannot link.
+    # `away`: how many shingles differ between the member and the first of its group; null where sizes or
+    # sketches already kept the two apart. Symmetric differences obey the triangle inequality, so two
+    # members whose `away` lie too far apart cannot link.
     members = stage(
-        members.where("size > 2").join(away, ["head", "doc_id"], "left").withColumn("away", F.coalesce("away", F.lit(0)))
+        members.where("size > 2").join(away, ["head", "doc_id"], "left")
+        .withColumn("away", F.when(F.col("doc_id") == F.col("head"), F.lit(0)).otherwise(F.col("away")))
         .withColumn("shares", F.ceil(F.col("size") / F.lit(SHARE_ROWS)).cast("bigint")),
         "jaccard-members",
     )
@@ -322,12 +345,12 @@ def jaccard_components(docs: DataFrame, percent: int = 90, width: int = S.WIDTH)
             .select("key", "share", *[F.col(c).alias(f"{c}_a") for c in ("doc_id", "n", "away", "part", "sketch")])
         )
         most = (100 - percent) * (F.col("n") + F.col("n_a"))
+        apart = (100 + percent) * F.abs(F.col("away") - F.col("away_a")) > most
         possible = (
             (F.col("part") != F.col("part_a"))
             & (F.col("doc_id") > F.col("doc_id_a"))
-            & (100 * F.least("n", "n_a") >= percent * F.greatest("n", "n_a"))
-            & ((100 + percent) * F.abs(F.col("away") - F.col("away_a")) <= most)
-            & ((100 + percent) * _distance("sketch", "sketch_a") <= most)
+            & ~F.coalesce(apart, F.lit(False))
+            & near("n", "n_a", "sketch", "sketch_a")
         )
         same = (F.col("m.key") == F.col("c.key")) & (F.col("m.share") == F.col("c.share"))
         pairs = (

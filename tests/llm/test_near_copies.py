@@ -86,3 +86,10 @@ def test_many_repeated_rows(spark, monkeypatch):
     rows = [(1, " ".join(words_))] * 1000 + [(2, " ".join([*words_, "more"]))] * 1000 + planted()
     got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string"), 80, 5).collect()}
     assert got == brute(rows[999:1001] + rows[2000:], 5, 80)
+
+
+def test_an_id_with_two_texts_links_by_either(spark):
+    long, short = [f"l{i}" for i in range(60)], [f"s{i}" for i in range(20)]
+    rows = [(1, " ".join(long)), (1, " ".join(short)), (2, " ".join([*long, "x"])), (3, " ".join([*short, "y"]))]
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string"), 80, 3).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1, 3: 1}
