@@ -37,6 +37,7 @@ from corpuslens.operators.grid import grid_rank, grid_search, preset_table
 from corpuslens.operators.kernels import gamma_scale, kernel_table
 from corpuslens.operators.lookup import lookup_join
 from corpuslens.operators.neighbors import ann_topk, cosine_topk, knn_label, probe_for, recall_share
+from corpuslens.operators.quantised import QuantisedIndex
 from corpuslens.operators.resample import class_weights, smote, under_sample
 from corpuslens.operators.scaling import fit_max_abs, max_abs_terms, min_max
 from corpuslens.operators.selection import chi2_scores, chi2_terms, select_k_best
@@ -977,6 +978,30 @@ def ann_top1(spark, sf):
     return found.join(exact, "query_id").select("query_id", "rank", right.alias("right"))
 
 
+def _shortlisted(stored, queries) -> tuple[QuantisedIndex, DataFrame]:
+    index = QuantisedIndex(stored)
+    return index, stage(index.candidates(queries, **index.settings_for(queries, RECALL)), "shortlist")
+
+
+@query
+def ann_index_neighbours(spark, sf):
+    """Nearest rows by the quantised index, with their exact cosines."""
+    stored, queries = vectors(spark, sf)
+    index, near = _shortlisted(stored, queries)
+    return index.rerank(near, queries).select("query_id", "rank", "base_id", r("score").alias("score"))
+
+
+@query
+def ann_index_recall(spark, sf):
+    """Recall of the quantised index against the exact search, and whether under a fifth of the pairs was scored."""
+    stored, queries = vectors(spark, sf)
+    index, near = _shortlisted(stored, queries)
+    scored = near.count()
+    found = recall_share(index.rerank(near, queries), cosine_topk(queries, stored, 1))
+    few = F.lit(scored) < 0.2 * index.n * F.col("n")
+    return found.select("n", (F.col("recall") >= RECALL).alias("recall_holds"), few.alias("few_scored"))
+
+
 @query
 def knn_labels(spark, sf):
     stored, queries = vectors(spark, sf)

@@ -720,6 +720,7 @@ SELECT count(*) AS n, TRUE AS sums_to_one, TRUE AS logistic_in_margin FROM ords"
     q["bagging"] = join(ORDERS) + "\nSELECT doc_id, TRUE AS known_class FROM ords"
     q["ann_top1"] = f"SELECT vec_id AS query_id, 1 AS rank, TRUE AS \"right\" FROM {ASKED}"
     q["ann_recall"] = f"SELECT count(*) AS n, TRUE AS recall_holds FROM {ASKED}"
+    q["ann_index_recall"] = f"SELECT count(*) AS n, TRUE AS recall_holds, TRUE AS few_scored FROM {ASKED}"
     q["kernel_shap"] = f"""WITH chosen AS (SELECT vec_id AS doc_id FROM embeddings ORDER BY {key("vec_id")}, vec_id LIMIT 20)
 SELECT doc_id, CAST(class AS INTEGER) AS class, CAST(64 AS BIGINT) AS features, TRUE AS adds_up
 FROM chosen CROSS JOIN (SELECT unnest([0, 1]) AS class)"""
