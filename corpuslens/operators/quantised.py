@@ -30,6 +30,8 @@ SAMPLE, SAMPLE_NUMBERS = 8192, 4 << 20
 MAX_CELLS = 4096
 CENTROIDS, ROUNDS = 256, 12
 SLICE = 128
+#: Queries that one block of codes meets in one task.
+CHUNK_QUERIES = 2048
 
 
 def _valid(vec: str) -> Column:
@@ -160,8 +162,8 @@ class QuantisedIndex:
             return self.spark.createDataFrame([], pair)
         first, parts = _blocks(self.rows, self.block_rows)
         routed = stage(self._routed(asked, probe or len(self.pivots), first, parts), "routed")
-        load = [(r.block, -(-r["count"] // self.block_rows)) for r in routed.groupBy("block").count().collect()]
-        # one row a block: fewer than two blocks a cell and one for each block_rows rows
+        load = [(r.block, -(-r["count"] // CHUNK_QUERIES)) for r in routed.groupBy("block").count().collect()]
+        # one row a block: at most MAX_CELLS blocks and two for each block_rows rows
         chunks = self.spark.createDataFrame(load, "block int, chunks int")
         codes = self.codes
         if self.copies:
@@ -192,9 +194,10 @@ class QuantisedIndex:
                 for low in range(0, len(asked), SLICE):
                     part = asked.iloc[low : low + SLICE]
                     unit = _matrix(part["vec"], True)
-                    near = np.zeros((len(part), len(ids)))
+                    near = np.zeros((len(ids), len(part)))
                     for j, (c, book) in enumerate(zip(columns, books)):
-                        near += (unit[:, c] @ book.T)[:, code[:, j]]
+                        near += (book @ unit[:, c].T)[code[:, j]]  # whole rows are gathered
+                    near = np.ascontiguousarray(near.T)
                     seen = np.zeros((len(part), n_cells), dtype=bool)
                     for i, cells in enumerate(part["cells"]):
                         seen[i, cells] = True
