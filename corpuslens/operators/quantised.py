@@ -20,7 +20,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from corpuslens.functions.hashing import hash_unit
-from corpuslens.operators.neighbors import COPY_RATIO, SCORE_DIGITS, _matrix, _squared, _top_cells, cosine_topk, recall_share
+from corpuslens.operators.neighbors import (
+    COPY_RATIO,
+    SCORE_DIGITS,
+    _matrix,
+    _squared,
+    _top_cells,
+    cosine_topk,
+    recall_share,
+    shared_blocks as _blocks,
+)
 from corpuslens.operators.relational import sample_n
 from corpuslens.session import stage
 
@@ -58,15 +67,6 @@ def fit_centroids(rows: np.ndarray, centroids: int = CENTROIDS, rounds: int = RO
     return centres
 
 
-def _blocks(rows: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first block, number of blocks) of each cell: small cells share one, a large cell has several."""
-    parts = np.maximum(1, -(-rows // limit))
-    large = parts > 1
-    shared = np.cumsum(np.where(large, 0, rows)) // limit
-    after = shared.max() + 1 + np.cumsum(np.where(large, parts, 0)) - parts
-    return np.where(large, after, shared), parts
-
-
 class QuantisedIndex:
     """Index of the rows of `base`, by cosine.
 

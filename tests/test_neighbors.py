@@ -1,7 +1,9 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from corpuslens.operators import neighbors
 from corpuslens.operators.neighbors import ann_topk, cosine_topk, knn_join, knn_label
 from corpuslens.operators.resample import class_weights, smote, under_sample
 from corpuslens.sources.vectors import VectorCollection, upsert_vectors
@@ -180,3 +182,40 @@ def test_under_sample_and_weights(spark):
     assert weights == {0: pytest.approx(47 / 80), 1: pytest.approx(47 / 14)}
     total = class_weights(df).agg(F.sum("weight")).first()[0]
     assert total == pytest.approx(47)
+
+
+def test_small_cells_share_a_block(spark, monkeypatch):
+    """A query travels once to a block, however many cells it visits there, and the answers stay exact."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(400, 3))
+    rows = [(i, [float(v) for v in x[i]]) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3)
+    base, queries = df.where("vec_id % 4 <> 0"), df.where("vec_id % 4 = 0")
+    met, search = spark.sparkContext.accumulator(0), neighbors._block_topk
+
+    def counting(*args):
+        inner = search(*args)
+
+        def run(asked, stored):
+            met.add(len(asked))
+            return inner(asked, stored)
+
+        return run
+
+    monkeypatch.setattr(neighbors, "_block_topk", counting)
+    got = knn_join(queries, base, 2, query_id="vec_id", base_id="vec_id", vec="embedding", metric="euclidean", cell_rows=5)
+    found = {(r.query_id, r["rank"]): r.base_id for r in got.collect()}
+    assert met.value <= 2 * 100  # one block: the nearest cell's visit, then one for all other open cells
+    ids = np.array([i for i in range(400) if i % 4])
+    for q in range(0, 400, 4):
+        near = ids[np.argsort(((x[ids] - x[q]) ** 2).sum(axis=1), kind="stable")[:2]]
+        assert [found[q, 1], found[q, 2]] == near.tolist()
+
+
+def test_distances_to_many_pivots_are_made_in_slices(monkeypatch):
+    sizes, squared = [], neighbors._squared
+    monkeypatch.setattr(neighbors, "_squared", lambda a, b: sizes.append(len(a) * len(b)) or squared(a, b))
+    rng = np.random.default_rng(1)
+    vectors, pivots = pd.Series(list(rng.normal(size=(5000, 40)))), rng.normal(size=(2048, 40))
+    cells, distance = neighbors._nearest(vectors, pivots, False, 3)
+    assert max(sizes) <= neighbors.MATRIX_CELLS and cells.shape == (5000, 3) and len(distance) == 5000
