@@ -203,3 +203,21 @@ def test_encoding_and_lexicon_move_no_row(spark):
         3: ([START, 5, 5, 5, 5, END], 6),
     }
     assert {r.doc_id: r.adjective_count for r in tagged.collect()}[1] >= 1
+
+
+def test_terms_are_weighed_inside_their_row(spark):
+    """Unique ids: no exchange, and the same values as by the grouped way, which ids that come twice still need."""
+    from corpuslens.operators.tfidf import fit_tfidf
+
+    rows = [(i, i % 2, " ".join(["aa"] * (i % 3) + ["bb", f"cc{i % 4}", "dd bb"])) for i in range(40)] + [(40, 0, None), (41, 1, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, label int, text string")
+    model = fit_tfidf(df, ngram_range=(1, 2), min_df=2)
+    got = model.transform(df, keep=("label",))
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    found = {(r.doc_id, r.term): r.value for r in got.collect()}
+    want = {(r.doc_id, r.term): r.value for r in model._joined(df, "text").collect()}
+    assert found.keys() == want.keys() and all(found[key] == pytest.approx(want[key], abs=1e-12) for key in want)
+    assert {(r.doc_id, r.label) for r in got.collect()} == {(a, b) for a, b, _ in rows[:40]}
+    twice = df.unionByName(df)
+    again = {(r.doc_id, r.term): r.value for r in model.transform(twice).collect()}
+    assert len(again) == model.transform(twice).count() and all(again[key] == pytest.approx(want[key], abs=1e-12) for key in want)
