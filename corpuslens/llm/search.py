@@ -27,8 +27,9 @@ BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Items that one scan of the documents serves, (item, term) pairs of a scan, items of one sharing graph.
 SCAN_ITEMS, SCAN_PAIRS, BLOCK_ITEMS = 4096, 400_000, 256
-PIECE_BYTES = 4 << 20
-CELLS = 4 << 20
+#: Bytes hashed and scores held at once, per task. (Copies tie at the edge of the best: all of a batch may pass it.)
+PIECE_BYTES = 1_000_000
+CELLS = 1 << 20
 
 _BETWEEN = np.zeros(256, dtype=bool)
 _BETWEEN[:128] = [not chr(c).isalnum() for c in range(128)]
@@ -157,7 +158,7 @@ def _postings(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = sent.value
         size = max(1, len(vocabulary))
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, limit=PIECE_BYTES):
             rows = batch.num_rows
             n = np.zeros(rows, dtype=np.int64)
             keys, counts = [], []
