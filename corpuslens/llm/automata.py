@@ -6,13 +6,15 @@ settled: where the Hoeffding bound allows the same end and character rates in bo
 in the states that follow them, the two are merged and their continuations folded into
 each other; otherwise the state is settled as a new one. Rates are compared by character
 and by class of characters, as few strings show a class long before they show a letter.
+
+`learn` does so for strings at hand; `Growing` for a table, from counts of the next characters.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter, deque
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -167,3 +169,98 @@ def learn(strings: Iterable[str], alpha: float = 1e-6) -> Automaton:
         [{c: number[t] for c, t in machine.go[s].items()} for s in settled],
         [dict(machine.sent[s]) for s in settled],
     )
+
+
+#: Characters ahead by which two states are compared, and what stands for the end of a string there.
+AHEAD, STOP = 2, "\n"
+
+
+def ahead(text: str, at: int) -> str:
+    """The next characters of a string from `at`, its end among them."""
+    gram = text[at : at + AHEAD]
+    return gram if len(gram) == AHEAD else gram + STOP
+
+
+def _close(x: dict[str, int], y: dict[str, int], width: float) -> bool:
+    """Whether the rates of characters (END among them) and of their classes can be the same."""
+    n, m = sum(x.values()), sum(y.values())
+    bound = width * (1 / math.sqrt(n) + 1 / math.sqrt(m))
+    if bound >= 1:  # too few strings to tell
+        return True
+    for left, right in ((x, y), (_by_class(x), _by_class(y))):
+        if any(abs(left.get(c, 0) / n - right.get(c, 0) / m) > bound for c in left.keys() | right.keys()):
+            return False
+    return True
+
+
+def _followers(grams: dict[str, int]) -> tuple[dict[str, int], dict[str, dict[str, int]]]:
+    """Counts of the next character, and after each character of the one that follows."""
+    first: dict[str, int] = {}
+    second: dict[str, dict[str, int]] = {}
+    for gram, n in grams.items():
+        char = END if gram[0] == STOP else gram[0]
+        first[char] = first.get(char, 0) + n
+        if char:
+            after = END if gram[1] == STOP else gram[1]
+            own = second.setdefault(char, {})
+            own[after] = own.get(after, 0) + n
+    return first, second
+
+
+def _alike_ahead(a: dict[str, int], b: dict[str, int], width: float) -> bool:
+    (x, far_x), (y, far_y) = _followers(a), _followers(b)
+    return _close(x, y, width) and all(_close(far_x[c], far_y[c], width) for c in sorted(far_x.keys() & far_y.keys()))
+
+
+@dataclass
+class Growing:
+    """An automaton learned from counts over any number of strings, a round of counting for each depth.
+
+    A string is followed as far as the transitions are known. Counted are the next characters at
+    each state on its way, and those behind the first unknown transition. `settle` compares what
+    lies behind each unknown transition with the settled states, in the order of these, and either
+    lets it lead to one of them or makes it a state of its own.
+    """
+
+    go: list[dict[str, int]] = field(default_factory=lambda: [{}])
+    grams: list[Counter] = field(default_factory=lambda: [Counter()])
+
+    def follow(self, text: str) -> Iterator[tuple[int, str, str]]:
+        """(state, the unknown character that leaves it or none, next characters) along a string."""
+        state = 0
+        for at in range(len(text) + 1):
+            yield state, END, ahead(text, at)
+            if at < len(text):
+                after = self.go[state].get(text[at])
+                if after is None:
+                    yield state, text[at], ahead(text, at + 1)
+                    return
+                state = after
+
+    def settle(self, counts: Iterable[tuple[int, str, str, int]], alpha: float) -> bool:
+        """Take in the counts of a round (state, character, next characters, strings); False at the end."""
+        width = math.sqrt(0.5 * math.log(2 / alpha))
+        self.grams = [Counter() for _ in self.go]
+        unknown: dict[tuple[int, str], Counter] = {}
+        for state, char, gram, n in counts:
+            (unknown.setdefault((state, char), Counter()) if char else self.grams[state])[gram] += n
+        for (state, char), grams in sorted(unknown.items(), key=lambda x: x[0]):
+            match = next((s for s, own in enumerate(self.grams) if _alike_ahead(own, grams, width)), None)
+            if match is None:
+                match = len(self.go)
+                self.go.append({})
+                self.grams.append(grams)
+            else:
+                self.grams[match] = self.grams[match] + grams
+            self.go[state][char] = match
+        return bool(unknown)
+
+    def automaton(self) -> Automaton:
+        """The automaton after the last round, with the counts of all strings."""
+        followers = [_followers(g)[0] for g in self.grams]
+        return Automaton(
+            [sum(f.values()) for f in followers],
+            [f.get(END, 0) for f in followers],
+            [dict(g) for g in self.go],
+            [{c: n for c, n in f.items() if c} for f in followers],
+        )

@@ -109,3 +109,30 @@ def test_automaton_keeps_rates():
     assert merged.log_likelihood("ab") == pytest.approx(merged.log_likelihood("b"), abs=0.1)
     assert merged.log_likelihood("ab") > merged.log_likelihood("abab")
     assert learn([]).states == 1
+
+
+def test_every_value_is_learned_from(spark):
+    """Failed before: only the first 2,000 values of a kind by hash, and none beyond 256 characters, were counted."""
+    rng = random.Random(6)
+    rows = [(i, "token=" + "".join(rng.choices("abcdef", k=12)) + f" and ordinaryrunnumber{i}") for i in range(2500)]
+    rows.append((9000, "token=" + "z" * 400))
+    made = spark.createDataFrame([("s", 1, "h", d, t, "r") for d, t in rows], CLASH)
+    model = secrets.fit_secrets(secrets.scan_secrets(made))
+    (share, automaton), = model.credentials
+    assert share == 0 and sum(automaton.ended) == 2501
+    assert sum(sum(a.ended) for _, a in model.ordinary) == 2500
+
+
+def test_rounds_of_counts_learn_the_automaton_of_the_strings():
+    from corpuslens.llm.automata import Growing
+
+    rng = random.Random(5)
+    strings = ["AKIA" + "".join(rng.choices("ABCDEFGHIJ", k=12)) for _ in range(500)]
+    machine, going = Growing(), True
+    while going:
+        going = machine.settle([(*step, 1) for s in strings for step in machine.follow(s)], 1e-6)
+    merged = machine.automaton()
+    assert merged.states <= 8 and sum(merged.ended) == 500
+    good = merged.log_likelihood("AKIAABCDEFGHIJAB")
+    assert good > merged.log_likelihood("BKIAABCDEFGHIJAB") + 3
+    assert good > merged.log_likelihood("AKIAabcdefghijab") + 10
