@@ -83,19 +83,12 @@ def fine_tag(word: Column) -> Column:
     return _by_tag(word, {tag: tag for tag in ALL_TAGS})
 
 
+def tag_bits() -> dict[str, int]:
+    """For each tag a number with one bit per feature column that counts it."""
+    return {tag: sum(1 << i for i, group in enumerate(TAG_GROUPS.values()) if tag in group) for tag in ALL_TAGS}
+
+
 def feature_bits(token_array: Column) -> Column:
     """For each token a number with one bit per feature column that counts it."""
-    bits = {
-        tag: sum(1 << i for i, group in enumerate(TAG_GROUPS.values()) if tag in group)
-        for tag in ALL_TAGS
-    }
+    bits = tag_bits()
     return F.transform(token_array, lambda t: _by_tag(t, bits))
-
-
-def _with_bit(bits: Column, i: int) -> Column:
-    return F.size(F.filter(bits, lambda b: b.bitwiseAND(F.lit(1 << i)) != 0))
-
-
-def tag_counts(bits: Column) -> dict[str, Column]:
-    """One count per feature column over the array of `feature_bits`."""
-    return {name: _with_bit(bits, i) for i, name in enumerate(TAG_GROUPS)}
