@@ -30,8 +30,8 @@ from corpuslens.session import stage
 BAND = 1.5
 U = np.uint64
 #: Keys of a range (they grow with the root of all keys beyond it), of a flush, members of a group in one part.
-RANGE_KEYS, FLUSH_KEYS, SHARE_ROWS = 1 << 21, 1 << 19, 1000
-SLICE_BYTES = 1 << 20
+RANGE_KEYS, FLUSH_KEYS, SHARE_ROWS = 1 << 20, 1 << 18, 1000
+SLICE_BYTES = 1 << 18
 
 
 class SizeBands:

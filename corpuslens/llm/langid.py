@@ -26,6 +26,8 @@ UNIFORM = -float(np.log(BINS))
 #: How far from `UNIFORM` to what a language's own texts show a text must come, and how many
 #: standard errors a short text is given. Clean texts lie at 0.6 and more, texts of unseen languages at 0.49 and less.
 LEAST, ERRORS = 0.5, 3.0
+#: Text bytes judged or counted at once: the arrays of a task are about a hundred times that.
+SLICE_BYTES = 1 << 20
 MIX_2, MIX_3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -74,7 +76,7 @@ def _counts(languages: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros((len(languages), BINS), dtype=np.int64)
         index = {name: i for i, name in enumerate(languages)}
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, limit=SLICE_BYTES):
             texts = batch.column("text").to_pylist()
             bins, doc = ngram_bins(texts)
             label = np.array([index[name] for name in batch.column("lang").to_pylist()])
@@ -253,7 +255,7 @@ def has_language(docs: DataFrame, *keep: str, name: str = "has_language") -> Dat
     schema = columns.drop(read, label, own_half).withColumns({name: F.lit(True)}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, read):
+        for batch in text_slices(batches, read, SLICE_BYTES):
             texts, labels, halves = (batch.column(i).to_pylist() for i in range(batch.num_columns - 3, batch.num_columns))
             found = np.zeros(len(texts), dtype=bool)
             for half, judge in shared.value.items():
