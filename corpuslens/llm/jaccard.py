@@ -5,11 +5,12 @@ their sizes. XOR-ing every shingle into one bit of a sketch, the Hamming distanc
 sketches is at most that difference; so, with more blocks than it, one block must be
 equal. Documents meet where a block of their size band is equal, and the sets decide.
 
-Equal sets are one node from the start. Inside a meeting group no pairs are listed: the
-smallest member is compared with all, later rounds compare the next 2, 4, 8 ... members
-with those members that are still in another component and whose distances from the
-smallest member (by the triangle inequality) and short sketches do not rule a link out. So a crowd of near copies
-costs about one comparison each, and no pair that could join two components is left out.
+Equal sets are one node from the start, and of groups with the same members one is kept. The
+smallest member of a group is compared with all. Members that are then still in another component
+are tested with all members by size, distance from the smallest member (triangle inequality) and
+short sketch, in blocks of bounded size inside a task. Of the pairs that these leave open, the first
+16, in later rounds 256, 4,096 ... of a member are compared, until no member has more. So a crowd of near
+copies costs a few comparisons each, and no pair that could join two components is left out.
 """
 
 from __future__ import annotations
@@ -25,13 +26,15 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from corpuslens.llm import shingles as S
 from corpuslens.llm.common import text_slices
 from corpuslens.llm.components import components
-from corpuslens.session import stage
+from corpuslens.session import stage, staged_alone
 
 BAND = 1.5
 U = np.uint64
 #: Keys of a range (they grow with the root of all keys beyond it), of a flush, members of a group in one part.
 RANGE_KEYS, FLUSH_KEYS, SHARE_ROWS = 1 << 20, 1 << 18, 1000
 SLICE_BYTES = 1 << 18
+#: Pairs tested at once, pairs of a member that the first round compares, and how that number grows by the round.
+TEST_PAIRS, FIRST_PAIRS, MORE_PAIRS = 1 << 16, 16, 16
 
 
 class SizeBands:
@@ -232,8 +235,12 @@ def _distance(a: str, b: str) -> Column:
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, differ, linked): the size of the symmetric difference and whether the sets link."""
-    met = pairs.join(_side(sets, "a", "hashes"), "a").join(_side(sets, "b", "hashes"), "b")
+    """(a, b, differ, linked): the size of the symmetric difference and whether the sets link.
+
+    Each side is looked up from the pairs, so that only sets of some pair travel.
+    """
+    left, right = pairs.join(_side(sets, "a", "hashes"), "a"), pairs.join(_side(sets, "b", "hashes"), "b")
+    met = left.join(right, ["a", "b"])
     total = F.size("hashes_a") + F.size("hashes_b")
     differ = total - 2 * F.size(F.array_intersect("hashes_a", "hashes_b"))
     return met.select("a", "b", differ.cast("bigint").alias("differ"), total.alias("total")).select(
@@ -241,6 +248,101 @@ def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _blocks(live: DataFrame) -> DataFrame:
+    """`live` by blocks (key, i, j): rows of part i outside the head's component (left) meet those of part j (right).
+
+    Needs other (outside the head's component), n_other and size of the group. A row is in
+    one left part of all blocks of its group's row i and in one right part of all of column j.
+    """
+
+    def parts(n: str) -> Column:
+        return F.ceil(F.col(n) / F.lit(SHARE_ROWS)).cast("bigint")
+
+    def spot(n: str) -> Column:
+        return F.pmod(F.xxhash64("doc_id", "n"), parts(n))
+
+    def every(n: str) -> Column:
+        return F.sequence(F.lit(0).cast("bigint"), parts(n) - 1)
+
+    def cell(i: Column, j: Column, left: bool, right: bool) -> Column:
+        return F.struct(i.alias("i"), j.alias("j"), F.lit(left).alias("left"), F.lit(right).alias("right"))
+
+    zero = F.lit(0).cast("bigint")
+    right = F.transform(every("n_other"), lambda i: cell(i, spot("size"), False, True))
+    left = F.transform(every("size"), lambda j: cell(spot("n_other"), j, True, False))
+    cells = (
+        F.when((F.col("size") <= SHARE_ROWS) & F.col("other"), F.array(cell(zero, zero, True, True)))
+        .when(F.col("size") <= SHARE_ROWS, F.array(cell(zero, zero, False, True)))
+        .when(F.col("other"), F.concat(left, right))
+        .otherwise(right)
+    )
+    names = ["doc_id", "n", "away", "part", "other", "sketch"]
+    return live.withColumn("cell", F.explode(cells)).select("key", "cell.*", *names)
+
+
+def _possible(percent: int, limit: int):
+    """Pairs (a, b) of different components that sizes, distances and sketches leave open, from rows sorted by block.
+
+    At most `limit` for each left row of a block; a key with more is named in a row of its own.
+    """
+
+    def pairs_of(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, i, j, doc, n, away, part = (
+            rows.column(c).to_numpy() for c in ("key", "i", "j", "doc_id", "n", "away", "part")
+        )
+        left, right, other = (rows.column(c).to_numpy() for c in ("left", "right", "other"))
+        sketch = rows.column("sketch").combine_chunks().flatten().to_numpy().reshape(len(key), -1).view(np.uint64)
+        new = np.ones(len(key), dtype=bool)
+        new[1:] = (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, len(key)))
+        begin, count = np.repeat(first, size), np.repeat(size, size)
+        mine = np.flatnonzero(left)
+        number = np.cumsum(count[mine]) // TEST_PAIRS
+        for who in np.split(mine, np.flatnonzero(np.diff(number)) + 1):
+            if not len(who):
+                continue
+            x = np.repeat(who, count[who])
+            y = np.repeat(begin[who] - (np.cumsum(count[who]) - count[who]), count[who]) + np.arange(len(x))
+            # two rows outside the head's component meet in both orders; one is enough
+            keep = right[y] & (part[x] != part[y]) & (~other[y] | (doc[x] < doc[y]))
+            keep &= 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
+            most = (100 - percent) * (n[x] + n[y])
+            keep &= ~((away[x] >= 0) & (away[y] >= 0) & ((100 + percent) * np.abs(away[x] - away[y]) > most))
+            x, y, most = x[keep], y[keep], most[keep]
+            keep = (100 + percent) * np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1, dtype=np.int64) <= most
+            x, y = x[keep], y[keep]
+            place = np.arange(len(x)) - np.searchsorted(x, x)
+            over = np.unique(key[x[place >= limit]])
+            x, y = x[place < limit], y[place < limit]
+            none = pa.nulls(len(over), pa.int64())
+            for columns in (
+                [np.minimum(doc[x], doc[y]), np.maximum(doc[x], doc[y]), pa.nulls(len(x), pa.int64())],
+                [none, none, over],
+            ):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "key"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            key, i, j = (batch.column(c).to_numpy() for c in ("key", "i", "j"))
+            if not len(key):
+                continue
+            # the last block may go on in the next batch
+            cut = len(key) - int(((key == key[-1]) & (i == i[-1]) & (j == j[-1])).sum())
+            if not cut and held and all(held[-1].column(c)[-1] == batch.column(c)[0] for c in ("key", "i", "j")):
+                held.append(batch)
+                continue
+            done = pa.Table.from_batches([*held, batch.slice(0, cut)])
+            if done.num_rows:
+                yield from pairs_of(done)
+            held = [batch.slice(cut)]
+        if held:
+            yield from pairs_of(pa.Table.from_batches(held))
+
+    return run
+
+
 def jaccard_components(docs: DataFrame, percent: int = 90, width: int = S.WIDTH) -> DataFrame:
     """doc_id, n_shingles, component_id of each row.
 
@@ -249,8 +351,12 @@ def jaccard_components(docs: DataFrame, percent: int = 90, width: int = S.WIDTH)
     with equal ids and texts get equal results; ids that stand for different texts are
     compared by either text. A null id links with nothing and gets a null component. Keys travel
     packed, once, to the task of their range; rows are made only of keys that two sets have.
-    Other columns are not read. No rows give no rows.
+    Other columns are not read. No rows give no rows. Tables on the way to the result are deleted.
     """
+    return staged_alone(docs.sparkSession, lambda: _components_of(docs, percent, width), "jaccard-components")
+
+
+def _components_of(docs: DataFrame, percent: int, width: int) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     base = stage(
         rows.mapInArrow(_signed(percent, width), "doc_id bigint, n bigint, s1 bigint, s2 bigint, n_keys bigint"), "jaccard-base"
@@ -265,16 +371,20 @@ def jaccard_components(docs: DataFrame, percent: int = 90, width: int = S.WIDTH)
     )
     met = sent.groupBy("part").applyInPandas(_met, "key bigint, s1 bigint").dropDuplicates(["key", "s1"])
     own = nodes.select(F.col("node").alias("doc_id"), "n", "s1")
-    members = stage(met.join(own, "s1").select("key", "doc_id", "n"), "jaccard-met")
+    members = stage(met.join(own, "s1").select("key", "doc_id", "n", "s1"), "jaccard-met")
     # sizes of the smallest id's sets: the smallest and, by the same order, the largest
     shared = members.groupBy("key").agg(
         F.count("*").alias("size"),
         F.min("doc_id").alias("head"),
         F.min(F.struct("doc_id", "n"))["n"].alias("head_low"),
         (-F.min(F.struct("doc_id", (-F.col("n")).alias("n")))["n"]).alias("head_high"),
+        F.bit_xor(F.xxhash64("s1")).alias("same1"),
+        F.bit_xor(F.xxhash64("s1", F.lit(1))).alias("same2"),
     )
     shared = shared.where("size > 1")
-    members = stage(members.join(shared, "key"), "jaccard-members")
+    # keys with the same sets make the same pairs: one of them is enough
+    once = shared.groupBy("size", "head", "head_low", "head_high", "same1", "same2").agg(F.min("key").alias("key"))
+    members = stage(members.drop("s1").join(once.drop("same1", "same2"), "key"), "jaccard-members")
     ids = members.select("doc_id").distinct()
     # a row that repeats another brings no second set
     texts = rows.join(ids, "doc_id", "left_semi").withColumn("_digest", F.sha2("text", 256))
@@ -283,7 +393,7 @@ def jaccard_components(docs: DataFrame, percent: int = 90, width: int = S.WIDTH)
         texts.mapInArrow(_sets(width), "doc_id bigint, n bigint, sketch array<bigint>, hashes array<bigint>").where("n > 0"),
         "jaccard-sets",
     )
-    sketches = sets.select("doc_id", "sketch")
+    sketches = sets.select("doc_id", "n", "sketch").distinct()
 
     def near(n: str, m: str, x: str, y: str) -> Column:
         """Whether sizes and short sketches leave a link open."""
@@ -310,64 +420,37 @@ def jaccard_components(docs: DataFrame, percent: int = 90, width: int = S.WIDTH)
     # members whose `away` lie too far apart cannot link.
     members = stage(
         members.where("size > 2").join(away, ["head", "doc_id"], "left")
-        .withColumn("away", F.when(F.col("doc_id") == F.col("head"), F.lit(0)).otherwise(F.col("away")))
-        .withColumn("shares", F.ceil(F.col("size") / F.lit(SHARE_ROWS)).cast("bigint")),
+        .withColumn("away", F.when(F.col("doc_id") == F.col("head"), F.lit(0)).otherwise(F.coalesce("away", F.lit(-1))))
+        .select("key", "doc_id", "n", "head", "size", F.col("away").cast("bigint").alias("away")),
         "jaccard-members",
     )
-    done = 1
+    limit = FIRST_PAIRS
     while True:
-        placed = members.where(F.col("size") >= done + 2).join(
-            parts.withColumnRenamed("node", "doc_id"), "doc_id", "left"
-        )
-        placed = placed.select("key", "doc_id", "n", "away", "shares", F.coalesce("component", "doc_id").alias("part"))
-        open_keys = (
-            placed.groupBy("key")
-            .agg(F.min("part").alias("low"), F.max("part").alias("high"))
-            .where("low < high")
-            .select("key")
-        )
-        # members of a large group stay in parts; the centres go to every part of their group
-        live = placed.join(open_keys, "key", "left_semi").withColumn(
-            "share", F.pmod(F.xxhash64("doc_id"), F.col("shares"))
-        )
-        live = stage(live, "jaccard-live")
-        if live.isEmpty():
+        of_head = parts.select(F.col("node").alias("head"), F.col("component").alias("head_part"))
+        placed = members.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").join(of_head, "head", "left")
+        placed = placed.withColumn("part", F.coalesce("component", "doc_id"))
+        placed = placed.withColumn("other", F.col("part") != F.coalesce("head_part", "head"))
+        placed = placed.select("key", "doc_id", "n", "head", "size", "away", "part", "other")
+        opened = placed.where("other").groupBy("key").agg(F.count("*").alias("n_other"))
+        # heads were compared with all members of their groups
+        live = placed.where("doc_id <> head").join(opened, "key").join(sketches, ["doc_id", "n"])
+        blocks = _blocks(live).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "doc_id")
+        found = stage(blocks.mapInArrow(_possible(percent, limit), "a bigint, b bigint, key bigint"), "jaccard-possible")
+        if found.isEmpty():
             break
-        few = Window.partitionBy("key", "share").orderBy("doc_id")
-        order = Window.partitionBy("key").orderBy("doc_id")
-        centres = (
-            live.withColumn("rank", F.row_number().over(few))
-            .where(F.col("rank") <= 2 * done + 1)
-            .withColumn("rank", F.row_number().over(order))
-            .where((F.col("rank") <= 2 * done + 1) & (F.col("rank") > done))
-            .join(sketches, "doc_id")
-            .withColumn("share", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shares") - 1)))
-            .select("key", "share", *[F.col(c).alias(f"{c}_a") for c in ("doc_id", "n", "away", "part", "sketch")])
-        )
-        most = (100 - percent) * (F.col("n") + F.col("n_a"))
-        apart = (100 + percent) * F.abs(F.col("away") - F.col("away_a")) > most
-        possible = (
-            (F.col("part") != F.col("part_a"))
-            & (F.col("doc_id") > F.col("doc_id_a"))
-            & ~F.coalesce(apart, F.lit(False))
-            & near("n", "n_a", "sketch", "sketch_a")
-        )
-        same = (F.col("m.key") == F.col("c.key")) & (F.col("m.share") == F.col("c.share"))
-        pairs = (
-            live.join(sketches, "doc_id")
-            .alias("m")
-            .join(centres.alias("c"), same & possible)
-            .select(F.col("doc_id_a").alias("a"), F.col("doc_id").alias("b"))
-            .distinct()
-            .join(tried, ["a", "b"], "left_anti")
-        )
+        pairs = found.where("a IS NOT NULL").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
         pairs = stage(pairs, "jaccard-pairs")
-        tried = tried.unionByName(pairs)
-        new = stage(_compared(pairs, sets, percent).where("linked"), "jaccard-links")
-        if not new.isEmpty():
-            links = links.unionByName(new.select("a", "b"))
-            parts = components(links)
-        done = 2 * done + 1
+        if not pairs.isEmpty():
+            tried = tried.unionByName(pairs)
+            new = stage(_compared(pairs, sets, percent).where("linked"), "jaccard-links")
+            if not new.isEmpty():
+                links = links.unionByName(new.select("a", "b"))
+                parts = components(links)
+        more = found.where("key IS NOT NULL").select("key").distinct()
+        if more.isEmpty():
+            break
+        members = stage(members.join(more, "key", "left_semi"), "jaccard-members")
+        limit *= MORE_PAIRS
 
     found = nodes.join(parts, "node", "left").select(*sign, F.coalesce("component", "node").alias("component"))
     out = base.select("doc_id", *sign).join(found, sign, "left")

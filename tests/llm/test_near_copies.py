@@ -1,5 +1,7 @@
 """The pipeline's near copies: shingles of 5 words, 80 per cent."""
 
+import os
+
 import numpy as np
 
 import corpus_pipeline as P
@@ -93,3 +95,25 @@ def test_an_id_with_two_texts_links_by_either(spark):
     rows = [(1, " ".join(long)), (1, " ".join(short)), (2, " ".join([*long, "x"])), (3, " ".join([*short, "y"]))]
     got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string"), 80, 3).collect()
     assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1, 3: 1}
+
+
+def test_rounds_and_blocks(spark, monkeypatch):
+    """One pair of a member a round and parts of few members: rounds go on until no link is left out."""
+    for name, value in (("FIRST_PAIRS", 1), ("MORE_PAIRS", 2), ("TEST_PAIRS", 8), ("SHARE_ROWS", 5)):
+        monkeypatch.setattr(jaccard, name, value)
+    rows = planted()
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string"), 80, 5).collect()
+    assert {r.doc_id: r.component_id for r in got} == brute(rows, 5, 80)
+
+
+def test_only_the_result_stays_on_disk(spark, monkeypatch):
+    """Neither the tables on the way nor shuffle files of them stay."""
+    made = []
+    staged = jaccard.stage
+    monkeypatch.setattr(jaccard, "stage", lambda df, *a, **b: made.append(out := staged(df, *a, **b)) or out)
+    found = jaccard.jaccard_components(spark.createDataFrame(planted(), "doc_id bigint, text string"), 80, 5)
+    folders = {os.path.dirname(f).removeprefix("file:") for f in found.inputFiles()}
+    assert len(folders) == 1 and found.count() == len(planted())
+    assert made and all("jaccard-components" in f for f in folders)
+    left = {f for df in made for f in df.inputFiles() if os.path.exists(f.removeprefix("file:").removeprefix("//"))}
+    assert not left
