@@ -35,6 +35,8 @@ RANGE_KEYS, FLUSH_KEYS, SHARE_ROWS = 1 << 20, 1 << 18, 1000
 SLICE_BYTES = 1 << 18
 #: Pairs tested at once, pairs of a member that the first round compares, and how that number grows by the round.
 TEST_PAIRS, FIRST_PAIRS, MORE_PAIRS = 1 << 16, 16, 16
+#: Bits (4 MB) that keep texts of ids without a partner from being shuffled.
+MARK_BITS = 1 << 25
 
 
 class SizeBands:
@@ -208,6 +210,27 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays).astype(np.int64)))
 
 
+def _marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text) of all rows whose id is in `ids`, and of a few others, without a shuffle of the texts.
+
+    The ids' hashes fill a bitmap of `MARK_BITS`; an exact join has to follow.
+    """
+    spot = F.pmod(F.xxhash64("doc_id"), F.lit(MARK_BITS)).cast("bigint")
+    parts = ids.select(F.shiftright(spot, 15).alias("part"), (spot % F.lit(1 << 15)).alias("bit")).groupBy("part")
+    marks = np.zeros((MARK_BITS >> 15, 4096), dtype=np.uint8)
+    for part, bits in parts.agg(F.bitmap_construct_agg("bit")).collect():
+        marks[part] = np.frombuffer(bits, dtype=np.uint8)
+    packed = marks.tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = np.frombuffer(packed, dtype=np.uint8)
+        for batch in batches:
+            at = batch.column("spot").to_numpy()
+            yield batch.select(["doc_id", "text"]).filter(pa.array(((marks[at >> 3] >> (at & 7)) & 1).astype(bool)))
+
+    return docs.select("doc_id", "text", spot.alias("spot")).mapInArrow(run, "doc_id bigint, text string")
+
+
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, sets, _ in _hashed(batches, width):
@@ -387,7 +410,7 @@ def _components_of(docs: DataFrame, percent: int, width: int) -> DataFrame:
     members = stage(members.drop("s1").join(once.drop("same1", "same2"), "key"), "jaccard-members")
     ids = members.select("doc_id").distinct()
     # a row that repeats another brings no second set
-    texts = rows.join(ids, "doc_id", "left_semi").withColumn("_digest", F.sha2("text", 256))
+    texts = _marked(rows, ids).join(ids, "doc_id", "left_semi").withColumn("_digest", F.sha2("text", 256))
     texts = texts.dropDuplicates(["doc_id", "_digest"]).select("doc_id", "text")
     sets = stage(
         texts.mapInArrow(_sets(width), "doc_id bigint, n bigint, sketch array<bigint>, hashes array<bigint>").where("n > 0"),

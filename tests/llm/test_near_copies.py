@@ -117,3 +117,11 @@ def test_only_the_result_stays_on_disk(spark, monkeypatch):
     assert made and all("jaccard-components" in f for f in folders)
     left = {f for df in made for f in df.inputFiles() if os.path.exists(f.removeprefix("file:").removeprefix("//"))}
     assert not left
+
+
+def test_only_marked_texts_travel(spark):
+    rows = [(i, f"text {i}") for i in range(-5000, 5000)] + [(None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    ids = spark.createDataFrame([(i,) for i in (-4999, -1, 0, 7, 4999)], "doc_id bigint")
+    got = {r.doc_id: r.text for r in jaccard._marked(docs, ids).collect()}
+    assert all(got[i] == f"text {i}" for i in (-4999, -1, 0, 7, 4999)) and len(got) < 20
