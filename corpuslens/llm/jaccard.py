@@ -15,12 +15,14 @@ copies costs a few comparisons each, and no pair that could join two components
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpuslens.llm import shingles as S
@@ -35,8 +37,10 @@ RANGE_KEYS, FLUSH_KEYS, SHARE_ROWS = 1 << 20, 1 << 18, 1000
 SLICE_BYTES = 1 << 18
 #: Pairs tested at once, pairs of a member that the first round compares, and how that number grows by the round.
 TEST_PAIRS, FIRST_PAIRS, MORE_PAIRS = 1 << 16, 16, 16
-#: Bits (4 MB) that keep texts of ids without a partner from being shuffled.
-MARK_BITS = 1 << 25
+#: Bits (4 MB) that keep texts of ids without a partner from being shuffled; rows that a task remembers against repeats.
+MARK_BITS, MARK_ROWS = 1 << 25, 1 << 16
+#: Partners that meet a text in one task, which gets the text once for them; pairs up to which their list is broadcast.
+TEXT_PAIRS, SENT_PAIRS = 128, 1 << 19
 
 
 class SizeBands:
@@ -213,7 +217,8 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
 def _marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(doc_id, text) of all rows whose id is in `ids`, and of a few others, without a shuffle of the texts.
 
-    The ids' hashes fill a bitmap of `MARK_BITS`; an exact join has to follow.
+    The ids' hashes fill a bitmap of `MARK_BITS`; an exact join has to follow. Of the rows of a task
+    that repeat an id and its text, most are left out.
     """
     spot = F.pmod(F.xxhash64("doc_id"), F.lit(MARK_BITS)).cast("bigint")
     parts = ids.select(F.shiftright(spot, 15).alias("part"), (spot % F.lit(1 << 15)).alias("bit")).groupBy("part")
@@ -224,51 +229,76 @@ def _marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = np.frombuffer(packed, dtype=np.uint8)
+        seen: set[tuple[int, str | None]] = set()
         for batch in batches:
             at = batch.column("spot").to_numpy()
-            yield batch.select(["doc_id", "text"]).filter(pa.array(((marks[at >> 3] >> (at & 7)) & 1).astype(bool)))
+            part = batch.select(["doc_id", "text"]).filter(pa.array(((marks[at >> 3] >> (at & 7)) & 1).astype(bool)))
+            new = []
+            for row in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
+                name = (row[0], row[1] and hashlib.md5(row[1].encode()).digest())
+                new.append(name not in seen)
+                seen.add(name)
+            yield part.filter(pa.array(new, pa.bool_()))
+            if len(seen) > MARK_ROWS:
+                seen = set()
 
     return docs.select("doc_id", "text", spot.alias("spot")).mapInArrow(run, "doc_id bigint, text string")
 
 
-def _sets(width: int):
+def _sketched(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, sets, _ in _hashed(batches, width):
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array([len(h) for h in sets], pa.int64()),
-                    _lists([S.parity_sketch(h) for h in sets]),
-                    _lists([_as_long(h) for h in sets]),
-                ],
-                names=["doc_id", "n", "sketch", "hashes"],
-            )
+            sketches = _lists([S.parity_sketch(h) for h in sets])
+            sizes = pa.array([len(h) for h in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sizes, sketches], names=["doc_id", "n", "sketch"])
 
     return run
 
 
-def _side(df: DataFrame, name: str, *columns: str) -> DataFrame:
-    return df.select(F.col("doc_id").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
-
-
 def _distance(a: str, b: str) -> Column:
     """Hamming distance of two short sketches."""
     flips = F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)))
     return F.aggregate(flips, F.lit(0), lambda s, x: s + x)
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, differ, linked): the size of the symmetric difference and whether the sets link.
+COMPARED = "a bigint, b bigint, differ bigint, linked boolean"
+
 
-    Each side is looked up from the pairs, so that only sets of some pair travel.
+def _judged(percent: int, width: int):
+    """`COMPARED` of the text of one id (`left`) and the texts of its partners."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        left = rows.column("left")
+        own = {sign.tobytes(): h for _, sets, signs in _hashed(rows.filter(left).to_batches(), width) for h, sign in zip(sets, signs) if len(h)}
+        found: list[tuple[int, int, bool]] = []
+        for batch, sets, _ in _hashed(rows.filter(pc.invert(left)).to_batches(), width):
+            for doc, theirs in zip(batch.column("doc_id").to_pylist(), sets):
+                for mine in own.values() if len(theirs) else ():
+                    total = len(mine) + len(theirs)
+                    differ = total - 2 * len(np.intersect1d(mine, theirs, assume_unique=True))
+                    found.append((doc, differ, (100 + percent) * differ <= (100 - percent) * total))
+        doc, differ, linked = zip(*found) if found else ((), (), ())
+        head = [rows.column("a")[0].as_py()] * len(found)
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+        return pa.table([pa.array(c, t) for c, t in zip((head, doc, differ, linked), kinds)], names=["a", "b", "differ", "linked"])
+
+    return run
+
+
+def _compared(pairs: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
+    """(a, b, differ, linked) of different stored pairs: the size of the symmetric difference and whether the sets link.
+
+    Only texts of ids of some pair travel: that of `b` once a pair, that of `a` once for `TEXT_PAIRS` of its pairs.
+    The sets are made of them where they meet, so no table holds sets.
     """
-    left, right = pairs.join(_side(sets, "a", "hashes"), "a"), pairs.join(_side(sets, "b", "hashes"), "b")
-    met = left.join(right, ["a", "b"])
-    total = F.size("hashes_a") + F.size("hashes_b")
-    differ = total - 2 * F.size(F.array_intersect("hashes_a", "hashes_b"))
-    return met.select("a", "b", differ.cast("bigint").alias("differ"), total.alias("total")).select(
-        "a", "b", "differ", ((100 + percent) * F.col("differ") <= (100 - percent) * F.col("total")).alias("linked")
-    )
+    uses = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(TEXT_PAIRS)).alias("spots"))
+    dealt = pairs.join(uses, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("spots")).alias("spot"))
+    left = dealt.select(F.col("a").alias("doc_id"), "a", "spot", F.lit(True).alias("left")).distinct()
+    wanted = left.unionByName(dealt.select(F.col("b").alias("doc_id"), "a", "spot", F.lit(False).alias("left")))
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
+    wanted = F.broadcast(wanted) if pairs.count() <= SENT_PAIRS else wanted
+    met = _marked(docs, ids).join(wanted, "doc_id").select("a", "spot", "left", "doc_id", "text")
+    return met.groupBy("a", "spot").applyInArrow(_judged(percent, width), COMPARED)
 
 
 def _blocks(live: DataFrame) -> DataFrame:
@@ -409,14 +439,8 @@ def _components_of(docs: DataFrame, percent: int, width: int) -> DataFrame:
     once = shared.groupBy("size", "head", "head_low", "head_high", "same1", "same2").agg(F.min("key").alias("key"))
     members = stage(members.drop("s1").join(once.drop("same1", "same2"), "key"), "jaccard-members")
     ids = members.select("doc_id").distinct()
-    # a row that repeats another brings no second set
-    texts = _marked(rows, ids).join(ids, "doc_id", "left_semi").withColumn("_digest", F.sha2("text", 256))
-    texts = texts.dropDuplicates(["doc_id", "_digest"]).select("doc_id", "text")
-    sets = stage(
-        texts.mapInArrow(_sets(width), "doc_id bigint, n bigint, sketch array<bigint>, hashes array<bigint>").where("n > 0"),
-        "jaccard-sets",
-    )
-    sketches = sets.select("doc_id", "n", "sketch").distinct()
+    sketched = _marked(rows, ids).mapInArrow(_sketched(width), "doc_id bigint, n bigint, sketch array<bigint>")
+    sketches = stage(sketched.where("n > 0").distinct(), "jaccard-sketches")
 
     def near(n: str, m: str, x: str, y: str) -> Column:
         """Whether sizes and short sketches leave a link open."""
@@ -429,11 +453,11 @@ def _components_of(docs: DataFrame, percent: int, width: int) -> DataFrame:
         .select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
         .distinct()
     )
-    heads = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
-    others = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
+    heads = sketches.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
+    others = sketches.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
     first = first.join(heads, "a").join(others, "b").where(near("n_a", "n_b", "sketch_a", "sketch_b"))
     first = stage(first.select("a", "b").distinct(), "jaccard-first")
-    first = stage(_compared(first, sets, percent), "jaccard-pairs")
+    first = stage(_compared(first, rows, percent, width), "jaccard-pairs")
     tried = first.select("a", "b")
     links = first.where("linked").select("a", "b").distinct()
     parts = components(links)
@@ -465,7 +489,7 @@ def _components_of(docs: DataFrame, percent: int, width: int) -> DataFrame:
         pairs = stage(pairs, "jaccard-pairs")
         if not pairs.isEmpty():
             tried = tried.unionByName(pairs)
-            new = stage(_compared(pairs, sets, percent).where("linked"), "jaccard-links")
+            new = stage(_compared(pairs, rows, percent, width).where("linked"), "jaccard-links")
             if not new.isEmpty():
                 links = links.unionByName(new.select("a", "b"))
                 parts = components(links)

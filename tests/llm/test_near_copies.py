@@ -125,3 +125,22 @@ def test_only_marked_texts_travel(spark):
     ids = spark.createDataFrame([(i,) for i in (-4999, -1, 0, 7, 4999)], "doc_id bigint")
     got = {r.doc_id: r.text for r in jaccard._marked(docs, ids).collect()}
     assert all(got[i] == f"text {i}" for i in (-4999, -1, 0, 7, 4999)) and len(got) < 20
+
+
+def test_no_table_holds_sets_and_a_text_meets_many_partners(spark, monkeypatch):
+    """Texts travel to their comparisons, an id once for several partners; every pair is still judged by all its texts."""
+    made, staged = [], jaccard.stage
+    monkeypatch.setattr(jaccard, "stage", lambda df, *a, **b: made.append(df.schema) or staged(df, *a, **b))
+    monkeypatch.setattr(jaccard, "TEXT_PAIRS", 3)
+    rows = planted()
+    docs = spark.createDataFrame([*rows, *rows[:9], (None, "x"), (-1, None), (-2, "")], "doc_id bigint, text string")
+    got = jaccard.jaccard_components(docs, 80, 5).collect()
+    assert {r.doc_id: r.component_id for r in got if r.doc_id and r.doc_id > 0} == brute(rows, 5, 80)
+    assert made and not any("hashes" in schema.names or "text" in schema.names for schema in made)
+    # an id that stands for two texts is compared by both
+    texts = [(1, "a b c d e"), (1, "v w x y z"), (2, "a b c d e"), (3, "v w x y z"), (4, "k l m n o")]
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (1, 4)], "a bigint, b bigint")
+    found = jaccard._compared(pairs, spark.createDataFrame(texts, "doc_id bigint, text string"), 90, 3)
+    assert sorted((r.b, r.differ, r.linked) for r in found.collect()) == [
+        (2, 0, True), (2, 6, False), (3, 0, True), (3, 6, False), (4, 6, False), (4, 6, False)
+    ]
