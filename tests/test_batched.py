@@ -1,7 +1,9 @@
 import numpy as np
 import pytest
 from pyspark.ml.linalg import Vectors
+from pyspark.sql import functions as F
 
+from corpuslens.functions.vectors import packed
 from corpuslens.operators import batched as B
 from corpuslens.operators.batched import Problem, train, training_table
 
@@ -57,3 +59,19 @@ def test_blocks_hold_the_rows(spark, wide):
     problem = Problem("linear", 0.0, 1.0, 1, (0, 1), ((0, 2),), weight=0)
     kept = [i for i in range(40) if i % 3 != 2]
     assert table.sizes([problem]) == [(len(kept), pytest.approx(sum(kept)))]
+
+
+def test_curves_of_many_rows_with_equal_margins(spark):
+    """Equations that are singular to rounding: margins that (nearly) agree, of rows that weigh much."""
+    rows = [(-0.9333 + i % 7 * step, float(i % 5 < 2), 3.3e7) for step in (0.0, 1e-9) for i in range(35)]
+    for part in (rows[:35], rows[35:]):
+        table = spark.createDataFrame(part, "m double, t double, w double")
+        ((a, b),) = B.logistic_curves(table, [(F.col("m"), F.col("t"), F.col("w"))])
+        for m, _, _ in part:
+            assert 1 / (1 + np.exp(-(a * m + b))) == pytest.approx(0.4, abs=1e-3)
+
+
+def test_rows_without_weights_or_indices_travel_without_null_lists(spark):
+    """Spark takes ten times as long to send a list that is null to Python."""
+    df = spark.createDataFrame([(1, [1.0, 2.0])], "doc_id bigint, features array<double>")
+    assert df.select(packed(df, "features")["indices"].alias("i")).first().i == []
